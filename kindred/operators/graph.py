@@ -68,22 +68,23 @@ def graph_vectors(
     n_items: int,
     dim: int = 32,
     iterations: int = 30,
-    oversample: int = 16,
+    width: int = 128,
     seed: int = 42,
     tolerance: float = 1e-6,
 ) -> DataFrame:
     """(item, vec): V * sqrt(sigma) of the symmetric graph's truncated SVD.
 
-    Subspace iteration: with Y = G Q written once per round, Y'Y is a matrix of (dim + oversample)
-    squared, the only thing the driver sees; its spectrum gives the squared singular values and
-    the next orthonormal Q = Y S. Items without edges have zero vectors and are left out.
+    Subspace iteration: with Y = G Q written once per round, Y'Y is a width x width matrix, the only
+    thing the driver sees; its spectrum gives the squared singular values and the next orthonormal
+    Q = Y S. Up to ``width`` items the first round is exact; beyond, the surplus over ``dim``
+    speeds convergence. Items without edges have zero vectors and are left out.
     """
     edges = pin(edges)
     nodes = edges.select("item").distinct()
     found = nodes.count()
     if found == 0:
         return edges.select("item", F.array().cast("array<double>").alias("vec"))
-    wide = max(1, min(dim + oversample, found))
+    wide = max(1, min(max(width, 2 * dim), found))
     take = max(1, min(dim, n_items, wide))
     y = pin(seeded_normals(nodes, "item", wide, seed, 1.0))
     small = _whitening(small_gram(y, wide))
