@@ -160,9 +160,10 @@ cte("knn_unseen", "cgrid chist10 cseen", """SELECT g.user_id, g.item_id, coalesc
     ANTI JOIN cseen s ON g.user_id = s.user_id AND g.item_id = s.item_id""")
 cte("markov_unseen", "markov_time cseen", """SELECT m.* FROM markov_time m
     ANTI JOIN cseen s ON m.user_id = s.user_id AND m.item_id = s.item_id""")
-cte("sessions", "cordered", """SELECT user_id AS request_id, n - pos + 1 AS pos, item_id, value,
-    CASE WHEN NOT (user_id % 3 = 0 AND pos = n) THEN happened END AS happened FROM (SELECT *, max(pos) OVER
-    (PARTITION BY user_id) AS n FROM cordered) WHERE pos > n - 5""")
+cte("sessions", "cordered", """SELECT user_id AS request_id, latest - pos + 1 AS pos, item_id, value,
+    CASE WHEN NOT (user_id % 3 = 0 AND pos = latest) THEN happened END AS happened FROM (SELECT
+    user_id, pos, item_id, value, happened, max(pos) OVER (PARTITION BY user_id) AS latest
+    FROM cordered) WHERE pos > latest - 5""")
 cte("sorder", "sessions", """SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
     CASE WHEN complete THEN epoch_us(happened) END, pos) AS rank FROM (SELECT *,
     bool_and(happened IS NOT NULL) OVER (PARTITION BY request_id) AS complete FROM sessions)""")
