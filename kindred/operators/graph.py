@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.text import seeded_unit
 from kindred.operators.vectors import sum_vectors
-from kindred.session import pin
+from kindred.session import pin, release
 
 
 def seeded_normals(ids: DataFrame, key: str, dim: int, seed: int, scale: float) -> DataFrame:
@@ -99,6 +99,7 @@ def graph_vectors(
         factors = small @ (rotation[:, best] * np.sqrt(sigma))
         if settled or wide == found:
             break
+        release(y)
         y, small = image, _whitening((rotation * squares) @ rotation.T)
     return _times(y, factors)
 

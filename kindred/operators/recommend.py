@@ -133,7 +133,8 @@ def recommend(
     if fusion == "learned":
         from kindred.operators.ranker import learned_topk
 
-        return learned_topk(model.params["trees"], views, batch, space, k, seen)
+        trees = model.params["trees"]
+        return learned_topk(trees, views, batch, space, k, seen, trees["constant"])
     raise ValueError(f"unknown fusion strategy: {fusion}")
 
 

@@ -7,6 +7,7 @@ requests; or inner products. Ranks, top-k and prefixes are exact without request
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,6 +41,10 @@ class ScoreView:
     vectors: tuple[DataFrame, DataFrame] | None = None
 
 
+# Runtimes that turn requests into query vectors: (model, batch) -> (qid, vec).
+ENCODERS: dict[str, Callable[[FittedModel, QueryBatch], DataFrame]] = {}
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -130,9 +135,9 @@ def score_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
         else:
             queries = history_profile(batch.vector, items, model.params["dim"])
         return ScoreView(name, vectors=(queries, items))
-    encode = model.params.get("encode")
-    if encode is not None:
-        return ScoreView(name, vectors=(encode(model, batch), tables["items"]))
+    if model.runtime in ENCODERS:
+        queries = ENCODERS[model.runtime](model, batch)
+        return ScoreView(name, vectors=(queries, tables["items"]))
     raise ValueError(f"unsupported runtime: {model.runtime}")
 
 

@@ -17,7 +17,7 @@ from kindred.operators.graph import seeded_normals
 from kindred.operators.positions import group_positions
 from kindred.operators.split import Prepared, dense_index
 from kindred.operators.vectors import sum_vectors
-from kindred.session import pin
+from kindred.session import pin, release
 
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
@@ -176,7 +176,9 @@ def adam_step(
     )
     c1, c2 = 1 - BETA1**step, 1 - BETA2**step
     move = F.zip_with("m", "v", lambda m, v: (m / c1) / (F.sqrt(v / c2) + EPSILON) * rate)
-    return pin(moved.select("node", subtract(F.col("vec"), move).alias("vec"), "m", "v"))
+    updated = pin(moved.select("node", subtract(F.col("vec"), move).alias("vec"), "m", "v"))
+    release(parameters)
+    return updated
 
 
 @dataclass

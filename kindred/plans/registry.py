@@ -7,7 +7,8 @@ from typing import Any, Generic, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.operators import retrievers
+from kindred.operators import factor, neural, retrievers
+from kindred.operators.recommend import rerank
 from kindred.operators.split import Prepared
 from kindred.plans.fitted import FittedModel
 
@@ -66,6 +67,17 @@ for _name, _fit in {
     "graph_embeddings": retrievers.fit_graph_embeddings,
 }.items():
     RETRIEVERS.register(_name, _fit)
+for _name, _fit in {
+    "bpr": factor.fit_bpr,
+    "lightgcn": factor.fit_lightgcn,
+    "two_tower": factor.fit_two_tower,
+    "multivae": neural.fit_multivae,
+    "sasrec": neural.fit_sasrec,
+}.items():
+    MODELS.register(_name, _fit)
+    RETRIEVERS.register(_name, _fit)
+for _name in ("none", "external"):
+    RERANKERS.register(_name, None if _name == "none" else rerank)
 for _name in ("rrf", "weighted", "learned"):
     FUSIONS.register(_name, _name)
 

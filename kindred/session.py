@@ -51,7 +51,21 @@ def pin(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kindred-pins/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    file_system, hadoop_path = _hadoop(spark, path)
     file_system.deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    pinned = spark.read.schema(df.schema).parquet(path)
+    pinned._kindred_pin = path
+    return pinned
+
+
+def release(df: DataFrame) -> None:
+    """Drop the written copy behind a pinned table that nothing reads any more."""
+    path = getattr(df, "_kindred_pin", None)
+    if path is not None:
+        file_system, hadoop_path = _hadoop(df.sparkSession, path)
+        file_system.delete(hadoop_path, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
