@@ -78,3 +78,33 @@ def identifier_text(name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StructType):
         return F.coalesce(F.col(f"{name}.i").cast("string"), F.col(f"{name}.s"))
     return F.col(name).cast("string")
+
+
+# Python workers compare plain values, so mixed identifiers visit them as strings of equal order.
+_SHIFT = 2**63
+
+
+def plain_ids(df: DataFrame, *names: str) -> DataFrame:
+    """Replace mixed identifiers by strings that sort the same way; other types stay."""
+    mixed = [n for n in names if isinstance(df.schema[n].dataType, T.StructType)]
+    shift = F.lit(_SHIFT).cast("decimal(20,0)")
+    for n in mixed:
+        number = (F.col(f"{n}.i").cast("decimal(20,0)") + shift).cast("decimal(20,0)")
+        digits = F.lpad(number.cast("string"), 20, "0")
+        key = F.when(F.col(f"{n}.kind") == 0, F.concat(F.lit("0"), digits)).otherwise(
+            F.concat(F.lit("1"), F.col(f"{n}.s"))
+        )
+        df = df.withColumn(n, key)
+    return df
+
+
+def restore_ids(df: DataFrame, dtypes: dict[str, T.DataType]) -> DataFrame:
+    """Undo :func:`plain_ids` for the columns whose original type was mixed."""
+    shift = F.lit(_SHIFT).cast("decimal(20,0)")
+    for n, dtype in dtypes.items():
+        if isinstance(dtype, T.StructType):
+            rest = F.substring(F.col(n), 2, 1_000_000_000)
+            is_int = F.substring(F.col(n), 1, 1) == "0"
+            number = F.when(is_int, (rest.cast("decimal(20,0)") - shift).cast("bigint"))
+            df = df.withColumn(n, mixed_id(number, F.when(~is_int, rest)))
+    return df

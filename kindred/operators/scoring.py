@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.functions.ids import plain_ids, restore_ids
 from kindred.functions.numbers import is_finite, quantize
 from kindred.operators import textsim
 from kindred.operators.positions import first_free, group_positions
@@ -381,6 +382,10 @@ def _vector_ranks(
 ) -> DataFrame:
     """Score the pool's pairs, then count the better items tile by tile."""
     queries, items = view.vectors
+    ids = {"request_id": pool.schema["request_id"].dataType,
+           "item_id": pool.schema["item_id"].dataType}
+    queries, items = plain_ids(queries, "qid"), plain_ids(items, "item")
+    pool = plain_ids(pool, "request_id", "item_id")
     q_type = queries.schema["qid"].dataType.simpleString()
     i_type = items.schema["item"].dataType.simpleString()
     pairs = pool.select(F.col("request_id").alias("qid"), F.col("item_id").alias("item"))
@@ -437,6 +442,7 @@ def _vector_ranks(
     ranked = counted.groupBy("qid", "item").agg(
         F.first("score").alias("score"), (F.sum("ahead") + 1).alias("rank")
     ).select(F.col("qid").alias("request_id"), F.col("item").alias("item_id"), "score", "rank")
+    ranked = restore_ids(ranked, ids)
     if masked is None:
         return ranked
     # Masked items ahead of a point have a smaller rank themselves.

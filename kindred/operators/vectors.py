@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.functions.ids import plain_ids, restore_ids
+
 TILE = 4096
 QUERY, ITEM, PAIR = 0, 1, 2
 
@@ -150,6 +152,9 @@ def inner_product_topk(
     tile: int = TILE,
 ) -> DataFrame:
     """(qid, item, score, rank): exact top-k inner products; ``masked`` (qid, item) left out."""
+    ids = {"qid": queries.schema["qid"].dataType, "item": items.schema["item"].dataType}
+    queries, items = plain_ids(queries, "qid"), plain_ids(items, "item")
+    masked = None if masked is None else plain_ids(masked, "qid", "item")
     q_type = queries.schema["qid"].dataType.simpleString()
     i_type = items.schema["item"].dataType.simpleString()
 
@@ -182,9 +187,8 @@ def inner_product_topk(
         queries, items, local, f"qid {q_type}, item {i_type}, score double", masked, tile
     )
     ranked = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item"))
-    return best.withColumn("rank", F.row_number().over(ranked).cast("bigint")).where(
-        F.col("rank") <= k
-    )
+    ranked_rows = best.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
+    return restore_ids(ranked_rows.where(F.col("rank") <= k), ids)
 
 
 def embedding_neighbours(vectors: DataFrame, n: int = 100, tile: int = TILE) -> DataFrame:

@@ -51,8 +51,8 @@ def pin(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kindred-pins/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    file_system, hadoop_path = _hadoop(spark, path)
-    file_system.deleteOnExit(hadoop_path)
+    file_system, target = hadoop_path(spark, path)
+    file_system.deleteOnExit(target)
     pinned = spark.read.schema(df.schema).parquet(path)
     pinned._kindred_pin = path
     return pinned
@@ -62,10 +62,11 @@ def release(df: DataFrame) -> None:
     """Drop the written copy behind a pinned table that nothing reads any more."""
     path = getattr(df, "_kindred_pin", None)
     if path is not None:
-        file_system, hadoop_path = _hadoop(df.sparkSession, path)
-        file_system.delete(hadoop_path, True)
+        file_system, target = hadoop_path(df.sparkSession, path)
+        file_system.delete(target, True)
 
 
-def _hadoop(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) handles for existence checks and deletes on any storage."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
