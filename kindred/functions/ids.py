@@ -87,7 +87,7 @@ _SHIFT = 2**63
 def plain_ids(df: DataFrame, *names: str) -> DataFrame:
     """Replace mixed identifiers by strings that sort the same way; other types stay."""
     mixed = [n for n in names if isinstance(df.schema[n].dataType, T.StructType)]
-    shift = F.lit(_SHIFT).cast("decimal(20,0)")
+    shift = F.lit(str(_SHIFT)).cast("decimal(20,0)")
     for n in mixed:
         number = (F.col(f"{n}.i").cast("decimal(20,0)") + shift).cast("decimal(20,0)")
         digits = F.lpad(number.cast("string"), 20, "0")
@@ -100,7 +100,7 @@ def plain_ids(df: DataFrame, *names: str) -> DataFrame:
 
 def restore_ids(df: DataFrame, dtypes: dict[str, T.DataType]) -> DataFrame:
     """Undo :func:`plain_ids` for the columns whose original type was mixed."""
-    shift = F.lit(_SHIFT).cast("decimal(20,0)")
+    shift = F.lit(str(_SHIFT)).cast("decimal(20,0)")
     for n, dtype in dtypes.items():
         if isinstance(dtype, T.StructType):
             rest = F.substring(F.col(n), 2, 1_000_000_000)

@@ -67,7 +67,9 @@ def fit_markov(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     train = prepared.part("train")
     ordered = sequences.ordered_events(train, prepared.order, prepared.hot_users)
     edges = sequences.transition_probabilities(sequences.transitions(ordered))
-    edges = edges.withColumn("weight", quantize(F.col("weight")))
+    edges = edges.select(
+        F.col("item_id").alias("item"), "other", quantize(F.col("weight")).alias("weight")
+    )
     return FittedModel(
         "markov",
         "sequential",
