@@ -276,7 +276,23 @@ cte("reranked", "pop_unseen", f"""SELECT user_id, item_id,
     ((user_id * 31 + item_id * 17) % 101) / 100 AS score FROM ({top('pop_unseen', 10)})""")
 cte("session_top3", "sunseen", top("sunseen", 3, "request_id"))
 
+cte("munseen", "dense cseen", """SELECT d.*, row_number() OVER (PARTITION BY d.user_id, component
+    ORDER BY score DESC, d.item_id) AS rank FROM dense d ANTI JOIN cseen s ON d.user_id = s.user_id
+    AND d.item_id = s.item_id WHERE component <> 'markov'""")
+cte("mpool", "munseen", "SELECT DISTINCT user_id, item_id FROM munseen WHERE rank <= 20")
+
 ORACLES: dict[str, str] = {
+    "fusion_training_set": sql("munseen mpool cr_validation", f"""SELECT m.user_id, m.item_id,
+        {r6("max(score) FILTER (component = 'popularity')")} AS popularity_score,
+        {q9("max(1.0::DOUBLE / (60 + rank)) FILTER (component = 'popularity')")} AS popularity_rr,
+        {r6("max(score) FILTER (component = 'itemknn')")} AS itemknn_score,
+        {q9("max(1.0::DOUBLE / (60 + rank)) FILTER (component = 'itemknn')")} AS itemknn_rr,
+        CAST((m.user_id, m.item_id) IN (SELECT (user_id, item_id) FROM cr_validation) AS BIGINT) AS label
+        FROM munseen m JOIN mpool USING (user_id, item_id)
+        WHERE m.user_id IN (SELECT user_id FROM cr_validation) GROUP BY ALL"""),
+    "pair_samples": sql("cr_train", """SELECT (SELECT count(*) FROM cr_train) AS draws,
+        (SELECT count(*) FROM cr_train) AS stored_positives, 0::BIGINT AS stored_negatives,
+        count(*) AS users FROM (SELECT user_id FROM cr_train GROUP BY 1)"""),
     "normalize_purchases": sql("purchases", """SELECT user_id, item_id, value, epoch_us(happened) AS ts_us,
         l_orderkey FROM purchases"""),
     "normalize_clicks": sql("clicks", """SELECT user_id, item_id, value, epoch_us(happened) AS ts_us,

@@ -13,9 +13,10 @@ from kindred.functions.numbers import clean_metadata, quantize
 from kindred.functions.text import document, hash_column, hash_sign, tokens
 from kindred.functions.times import micros
 from kindred.operators import evaluate, fusion, pairs, recommend, scoring, sequences, split, textsim
-from kindred.operators import contract, graph
+from kindred.operators import contract, graph, ranker, training
 from kindred.operators.retrievers import item_space
 from kindred.operators.vectors import embedding_neighbours, inner_product_topk, l2_normalize
+from kindred.plans import hybrid
 from kindred.plans.fitted import HISTORY, FittedModel, QueryBatch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -617,3 +618,87 @@ def propagate_2_layers(spark, sf):
         ).select("side", "id", F.col("dim").cast("bigint").alias("dim"), r6("x"))
 
     return long(users, "user_id", "user").unionByName(long(items, "item_id", "item"))
+
+
+# --------------------------------------------------------------------------- training
+
+
+@query
+def fusion_training_set(spark, sf):
+    """Ranking features of each component's 20 best unseen items, labelled by validation items."""
+    data = views.prepared_clicks(spark, sf)
+    truth = data.ratings("validation").select(F.col("user_id").alias("request_id"), "item_id")
+    batch = recommend.restrict(_user_batch(data, HISTORY), truth.select("request_id").distinct())
+    rows = ranker.fusion_training_set(
+        _views(spark, sf, ("popularity", "itemknn"), batch), batch, item_space(data), truth, 20
+    )
+    return rows.select(
+        F.col("request_id").alias("user_id"), "item_id", r6("popularity_score"),
+        quantize(F.col("popularity_rr"), 9).alias("popularity_rr"), r6("itemknn_score"),
+        quantize(F.col("itemknn_rr"), 9).alias("itemknn_rr"), big("label"),
+    )
+
+
+@query
+def lambdamart_top10(spark, sf):
+    """Learned fusion trained on validation rows, served over the whole catalog."""
+    key = ("learned", sf, spark.sparkContext.applicationId)
+    if key not in views._MODELS:
+        data = views.prepared_clicks(spark, sf)
+        parts = _hybrid(spark, sf, ("popularity", "itemknn")).components
+        trees = hybrid.fit_learned_fusion(
+            data, list(parts), HISTORY, {"rounds": 5, "candidate_pool_size": 20}, 42
+        )
+        views._MODELS[key] = FittedModel(
+            "hybrid", "hybrid", (HISTORY,), {}, {"fusion": "learned", "trees": trees}, parts
+        )
+    return _topk(_recommend(spark, sf, "clicks", views._MODELS[key], HISTORY))
+
+
+def _trained(spark, sf, name: str, **params) -> DataFrame:
+    m = views.model(spark, sf, "clicks", name, learning_rate=0.05, epochs=1, **params)
+    return _topk(_recommend(spark, sf, "clicks", m, "known_user"))
+
+
+@query
+def pair_samples(spark, sf):
+    """Pairwise draws for every stored click entry, checked against the stored entries."""
+    data = views.prepared_clicks(spark, sf)
+    space = training.NodeSpace.of(data)
+    size = data.ratings("train").count()
+    drawn = training.sample_pairs(space, size, 1, 7)
+    held = space.entries.select("user", "item", F.lit(1).alias("held"))
+    marked = drawn.join(
+        held.withColumnsRenamed({"item": "positive", "held": "p"}), ["user", "positive"], "left"
+    ).join(held.withColumnsRenamed({"item": "negative", "held": "n"}), ["user", "negative"], "left")
+    return marked.agg(
+        F.count(F.lit(1)).alias("draws"), F.count("p").alias("stored_positives"),
+        F.count("n").alias("stored_negatives"), F.count_distinct("user").alias("users"),
+    )
+
+
+@query
+def bpr_top10(spark, sf):
+    return _trained(spark, sf, "bpr", embedding_dim=16, steps=4, batch_size=8192)
+
+
+@query
+def lightgcn_top10(spark, sf):
+    return _trained(spark, sf, "lightgcn", embedding_dim=16, steps=2, batch_size=8192)
+
+
+@query
+def two_tower_top10(spark, sf):
+    return _trained(spark, sf, "two_tower", embedding_dim=8, steps=3, batch_size=8192)
+
+
+@query
+def multivae_top10(spark, sf):
+    return _trained(spark, sf, "multivae", hidden_dim=32, latent_dim=16, batch_size=1024)
+
+
+@query
+def sasrec_top10(spark, sf):
+    return _trained(
+        spark, sf, "sasrec", embedding_dim=16, max_length=10, layers=1, batch_size=1 << 17
+    )
