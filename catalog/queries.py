@@ -398,9 +398,9 @@ def score_tfidf_factored(spark, sf):
     last = sequences.last_items(data.part("train"), data.order).select(
         F.col("user_id").alias("request_id"), "item_id", F.lit(1.0).alias("value")
     )
-    scores = textsim.factored_scores(last, item_docs, weights)
-    best = scoring.top_k(scores.withColumn("score", quantize(F.col("score"))), K)
-    return _topk(best)
+    near = textsim.near_documents(last, item_docs, weights)
+    scores = textsim.factored_candidates(near, last, textsim.with_places(item_docs), K)
+    return _topk(scoring.top_k(scores, K))
 
 
 # --------------------------------------------------------------------------- fusion

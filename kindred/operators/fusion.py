@@ -82,6 +82,7 @@ def rrf_topk(
         raise ValueError("rank_constant must be positive")
     if not views:
         raise ValueError("fusion requires at least one component")
+    views = [v.expanded() for v in views]
     depth = pool_depth(batch, len(views), k, constant, seen is not None)
     pool = candidate_pool(views, batch, space, depth)
     if seen is not None:
@@ -187,7 +188,7 @@ def weighted_topk(
     """
     if not views:
         raise ValueError("fusion requires at least one component")
-    weights = weights or {}
+    weights, views = weights or {}, [v.expanded() for v in views]
     moments = union_all([
         _moments(v, batch, space).select(
             "request_id", F.lit(v.name).alias("component"),

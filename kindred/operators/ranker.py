@@ -69,7 +69,7 @@ def fusion_training_set(
 
     Only requests with a true item take part; seen items are masked before ranking.
     """
-    seen = pin(seen_pairs(batch))
+    seen, views = pin(seen_pairs(batch)), [v.expanded() for v in views]
     pool = pin(union_all([
         view_topk(v, batch, space, pool_size, seen).select("request_id", "item_id") for v in views
     ]).distinct())
@@ -221,6 +221,7 @@ def learned_topk(
     Trees are piecewise constant: unscored items ranked deeper than every split reach the same
     leaves, so of those only the k with the lowest ids can be in the result.
     """
+    views = [v.expanded() for v in views]
     depth = batch.requests.select(
         "request_id", F.lit(serving_depth(ensemble, views, space, constant)).alias("depth")
     )

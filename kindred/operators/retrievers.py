@@ -46,7 +46,7 @@ def fit_itemknn(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
 def fit_tfidf(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     """Kept factored: the full similarity matrix is T T' minus its diagonal."""
     item_docs, texts = textsim.distinct_documents(item_documents(prepared))
-    item_docs = pin(item_docs)
+    item_docs = pin(textsim.with_places(item_docs))
     weights = pin(textsim.tfidf(texts, prepared.n_items))
     tables = {"item_docs": item_docs, "weights": weights}
     return FittedModel(

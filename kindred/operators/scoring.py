@@ -33,6 +33,8 @@ class ScoreView:
     """``nonzero`` (request_id, item_id, score), ``base`` (item_id, score, pos), or ``vectors``.
 
     ``base_requests`` lists the requests that use the base; None means all of them.
+    ``factored`` (near, history, item_docs) states text scores per document; they are expanded to
+    ``nonzero`` rows only where a caller needs every one of them.
     """
 
     name: str
@@ -40,6 +42,20 @@ class ScoreView:
     base: DataFrame | None = None
     base_requests: DataFrame | None = None
     vectors: tuple[DataFrame, DataFrame] | None = None
+    factored: tuple[DataFrame, DataFrame, DataFrame] | None = None
+    _ranked: DataFrame | None = None
+
+    def expanded(self) -> "ScoreView":
+        """The same view with its factored scores written out per item."""
+        if self.factored is None or self.nonzero is not None:
+            return self
+        return ScoreView(self.name, nonzero=pin(textsim.factored_scores(*self.factored)))
+
+    def ranked(self, batch: QueryBatch) -> DataFrame:
+        """Explicit scores with their rank among those of the same sign, written once."""
+        if self._ranked is None:
+            self._ranked = pin(_signed_ranks(self.nonzero, batch))
+        return self._ranked
 
 
 # Runtimes that turn requests into query vectors: (model, batch) -> (qid, vec).
@@ -103,10 +119,9 @@ def score_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
         return ScoreView(name, base=tables["scores"])
     if model.runtime == "sparse":
         if model.params.get("form") == "factored":
-            scores = textsim.factored_scores(
-                batch.vector.where(F.col("value") != 0), tables["item_docs"], tables["weights"]
-            ).withColumn("score", quantize(F.col("score")))
-            return ScoreView(name, nonzero=pin(scores.where(F.col("score") != 0)))
+            history = batch.vector.where(F.col("value") != 0)
+            near = pin(textsim.near_documents(history, tables["item_docs"], tables["weights"]))
+            return ScoreView(name, factored=(near, history, tables["item_docs"]))
         if model.params.get("aggregation") == "last_item" and batch.last is not None:
             return ScoreView(name, nonzero=pin(last_item_rows(batch.last, tables["similarity"])))
         return ScoreView(name, nonzero=pin(weighted_history(batch.vector, tables["similarity"])))
@@ -187,6 +202,8 @@ def view_topk(
     view: ScoreView, batch: QueryBatch, space: ItemSpace, k: int, seen: DataFrame | None
 ) -> DataFrame:
     """(request_id, item_id, score, rank): exact top-k over the whole catalog."""
+    if view.factored is not None and view.nonzero is None:
+        return _factored_topk(view, batch, space, k, seen)
     parts: list[DataFrame] = []
     none_seen = seen is None
     if view.vectors is not None:
@@ -230,6 +247,29 @@ def view_topk(
     return top_k(union_all(parts), k)
 
 
+def _factored_topk(
+    view: ScoreView, batch: QueryBatch, space: ItemSpace, k: int, seen: DataFrame | None
+) -> DataFrame:
+    """Positive scores come from the best documents; only requests short of k expand the rest."""
+    near, history, item_docs = view.factored
+    candidates = textsim.factored_candidates(near, history, item_docs, k)
+    above = pin(top_k(candidates.where(F.col("score") > 0), k, seen))
+    full = above.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+    short = pin(batch.requests.select("request_id").join(full, "request_id", "left_anti"))
+    if short.isEmpty():
+        return above
+
+    def only(df: DataFrame | None) -> DataFrame | None:
+        return None if df is None else df.join(short, "request_id", "left_semi")
+
+    some = QueryBatch(batch.mode, short, only(batch.vector), hot=batch.hot)
+    rest = ScoreView(view.name, nonzero=pin(textsim.factored_scores(
+        only(near), only(history), item_docs
+    )))
+    served = above.join(short, "request_id", "left_anti")
+    return served.unionByName(view_topk(rest, some, space, k, only(seen)).select(served.columns))
+
+
 def _empty_positions(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.lit(1).cast("bigint").alias("pos")).limit(0)
 
@@ -238,6 +278,7 @@ def prefix(
     view: ScoreView, batch: QueryBatch, space: ItemSpace, depth: DataFrame
 ) -> DataFrame:
     """(request_id, item_id): items ranked within ``depth`` (request_id, depth) by the view."""
+    view = view.expanded()
     parts: list[DataFrame] = []
     if view.vectors is not None:
         deepest = min(space.n, depth.agg(F.max("depth")).first()[0] or 1)
@@ -253,7 +294,7 @@ def prefix(
         parts.append(listed.join(view.base, "pos"))
     if view.nonzero is not None:
         spans = depth.join(_sparse_requests(view, batch.requests), "request_id", "left_semi")
-        signed = _signed_ranks(view.nonzero, batch)
+        signed = view.ranked(batch)
         above = signed.where(F.col("score") > 0).join(spans, "request_id").where(
             F.col("rank") <= F.col("depth")
         )
@@ -321,6 +362,7 @@ def view_ranks(
 
     With ``masked`` the ranking leaves those pairs out (the pool must not contain them).
     """
+    view = view.expanded()
     parts: list[DataFrame] = []
     pool = pool.select("request_id", "item_id")
     if view.vectors is not None:
@@ -345,7 +387,7 @@ def view_ranks(
         live = stored if masked is None else stored.join(
             masked, ["request_id", "item_id"], "left_anti"
         )
-        ranked = _signed_ranks(live, batch)
+        ranked = view.ranked(batch) if masked is None else _signed_ranks(live, batch)
         sizes = _sizes(live)
         marks = live.select("request_id", "item_id")
         if masked is not None:

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.functions.numbers import quantize
 from kindred.functions.text import hash_column, hash_sign, tokens
 from kindred.operators.pairs import gram, mirror
+from kindred.operators.positions import group_positions
 from kindred.operators.vectors import TILE, inner_product_topk
 
 
@@ -121,16 +123,10 @@ def document_neighbours(
     )
 
 
-def factored_scores(
-    history: DataFrame, item_docs: DataFrame, weights: DataFrame
-) -> DataFrame:
-    """(request_id, item_id, score) of the uncapped tf-idf similarity, without building it.
-
-    The profile sum(v_i * T_i) of a request meets the postings of its tokens; the diagonal is
-    taken off at the end. Scores are per document until the last join.
-    """
+def near_documents(history: DataFrame, item_docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(request_id, doc_key, s): the profile sum(v_i * T_i) of a request against all documents."""
     per_doc = (
-        history.join(item_docs, "item_id")
+        history.join(item_docs.select("item_id", "doc_key"), "item_id")
         .groupBy("request_id", "doc_key")
         .agg(F.sum("value").alias("value"))
     )
@@ -139,17 +135,61 @@ def factored_scores(
         .groupBy("request_id", "token")
         .agg(F.sum(F.col("value") * F.col("weight")).alias("p"))
     )
-    near = (
+    return (
         profile.join(weights, "token")
         .groupBy("request_id", "doc_key")
-        .agg(F.sum(F.col("p") * F.col("weight")).alias("s"))
+        .agg(quantize(F.sum(F.col("p") * F.col("weight"))).alias("s"))
+        .where(F.col("s") != 0)
     )
-    own = history.select("request_id", "item_id", "value")
-    return (
-        near.join(item_docs, "doc_key")
-        .join(own, ["request_id", "item_id"], "left")
-        .select(
-            "request_id", "item_id",
-            (F.col("s") - F.coalesce(F.col("value"), F.lit(0.0))).alias("score"),
-        )
+
+
+def own_scores(near: DataFrame, history: DataFrame, item_docs: DataFrame) -> DataFrame:
+    """(request_id, item_id, score) of the history items: their own unit similarity is taken off."""
+    placed = history.join(item_docs.select("item_id", "doc_key"), "item_id")
+    return placed.join(near, ["request_id", "doc_key"], "left").select(
+        "request_id", "item_id",
+        quantize(F.coalesce("s", F.lit(0.0)) - F.col("value")).alias("score"),
     )
+
+
+def factored_scores(near: DataFrame, history: DataFrame, item_docs: DataFrame) -> DataFrame:
+    """(request_id, item_id, score): every non-zero score, one row per item."""
+    others = near.join(item_docs.select("item_id", "doc_key"), "doc_key").join(
+        history.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti"
+    ).select("request_id", "item_id", F.col("s").alias("score"))
+    own = own_scores(near, history, item_docs)
+    return others.unionByName(own).where(F.col("score") != 0)
+
+
+def factored_candidates(
+    near: DataFrame, history: DataFrame, item_docs: DataFrame, k: int
+) -> DataFrame:
+    """(request_id, item_id, score): enough positive scores for an exact top k.
+
+    With h history items, an item in place j of the i-th best document has at least i + j - 2
+    better ones, of which at most h are in the history. So only i + j - 1 <= k + h can matter, and
+    exactly these pairs are looked up; ``item_docs`` is (item_id, doc_key, place).
+    """
+    reach = history.groupBy("request_id").agg((F.count(F.lit(1)) + k).alias("reach"))
+    heads = item_docs.where(F.col("place") == 1).select("doc_key", F.col("item_id").alias("head"))
+    best = Window.partitionBy("request_id").orderBy(F.col("s").desc(), F.col("head"))
+    docs = (
+        near.where(F.col("s") > 0)
+        .join(heads, "doc_key")
+        .withColumn("i", F.row_number().over(best))
+        .join(reach, "request_id")
+        .where(F.col("i") <= F.col("reach"))
+    )
+    places = F.sequence(F.lit(1).cast("bigint"), F.col("reach") - F.col("i") + 1)
+    others = (
+        docs.select("request_id", "doc_key", "s", F.explode(places).alias("place"))
+        .join(item_docs, ["doc_key", "place"])
+        .join(history.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
+        .select("request_id", "item_id", F.col("s").alias("score"))
+    )
+    return others.unionByName(own_scores(near, history, item_docs))
+
+
+def with_places(item_docs: DataFrame) -> DataFrame:
+    """Add ``place``: the item's position among the items of its document, by id."""
+    return group_positions(item_docs, ["doc_key"], [F.col("item_id")], "place")

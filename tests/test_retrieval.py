@@ -353,3 +353,44 @@ def test_embedding_neighbours_mixed(spark):
     ids = [(r.item.i if r.item.kind == 0 else r.item.s, r.other.i if r.other.kind == 0 else r.other.s)
            for r in rows]
     assert ids == [(-5, 7), (-5, "é"), (7, -5), (7, "é"), ("é", -5), ("é", 7)]
+
+
+@pytest.mark.parametrize("k", [2, 30])
+@pytest.mark.parametrize("mask", [True, False])
+def test_factored_text_scores_equal_the_full_similarity(spark, k, mask):
+    """Many items share documents, some have no common token with anything."""
+    texts = [["red apple", "green apple", "blue sky", "lone"][i % 4] for i in range(11)] + [
+        "red sky", "other word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "item_id long, doc string")
+    item_docs, distinct = textsim.distinct_documents(docs)
+    weights = textsim.tfidf(distinct, 13).cache()
+    model = FittedModel("tfidf", "sparse", (HISTORY,), {
+        "item_docs": textsim.with_places(item_docs), "weights": weights}, {"form": "factored"})
+    key = {r.item_id: r.doc_key for r in item_docs.collect()}
+    tokens = sorted({r.token for r in weights.collect()})
+    dense = {}
+    for r in weights.collect():
+        dense.setdefault(r.doc_key, np.zeros(len(tokens)))[tokens.index(r.token)] = r.weight
+    t = np.stack([dense[key[i]] for i in range(13)])
+    sim = t @ t.T
+    np.fill_diagonal(sim, 0)
+    history = [("a", 0, 1.0), ("a", 4, 2.0), ("b", 3, 1.0), ("c", 11, -1.0), ("d", 12, 1.0)]
+    rows = spark.createDataFrame([(r, n, i, v) for n, (r, i, v) in enumerate(history)],
+                                 "request_id string, pos long, item_id long, value double")
+    space = ItemSpace(docs.select("item_id", (F.col("item_id") + 1).alias("pos")), 13)
+    got = {}
+    for r in recommend(model, session_batch(rows), space, k, mask).collect():
+        got[r.request_id, r["rank"]] = r.item_id
+    want = {}
+    for request in "abcd":
+        v = np.zeros(13)
+        for r, i, x in history:
+            if r == request:
+                v[i] += x
+        s = np.rint(v @ sim * 1e9) / 1e9
+        if mask:
+            s[v != 0] = -np.inf
+        for n, i in enumerate(np.lexsort((np.arange(13), -s))[:k]):
+            if np.isfinite(s[i]):
+                want[request, n + 1] = int(i)
+    assert got == want
