@@ -197,17 +197,19 @@ def weighted_topk(
         )
         for v in views
     ])
+    moments = pin(moments)
     explicit = [v.nonzero.select("request_id", "item_id") for v in views if v.nonzero is not None]
-    pools: list[DataFrame] = []
+    touched = explicit[0] if len(explicit) == 1 else (
+        pin(union_all(explicit).distinct()) if explicit else None
+    )
     taken = seen.select("request_id", "item_id") if seen is not None else None
-    if explicit:
-        touched = union_all(explicit).distinct()
-        pools.append(touched)
+    if touched is not None:
         taken = touched if taken is None else taken.union(touched).distinct()
     dense = [v for v in views if v.base is not None or v.vectors is not None]
     need = batch.requests.select("request_id", F.lit(k).alias("need"))
+    rest: list[DataFrame] = []  # best items outside the explicit ones, disjoint from them
     if not dense:
-        pools.append(_free_items(taken, need, space.items, batch, space))
+        rest.append(_free_items(taken, need, space.items, batch, space))
     elif len(dense) == 1 and dense[0].base is not None:
         view, weight = dense[0], float(weights.get(dense[0].name, 1.0))
         order = view.base
@@ -217,54 +219,46 @@ def weighted_topk(
         elif weight == 0:
             order = space.items
         using = need.join(_base_requests(view, batch.requests), "request_id", "left_semi")
-        pools.append(_free_items(taken, using, order, batch, space))
+        rest.append(_free_items(taken, using, order, batch, space))
         if view.base_requests is not None:
             others = need.join(view.base_requests, "request_id", "left_anti")
-            pools.append(_free_items(taken, others, space.items, batch, space))
+            rest.append(_free_items(taken, others, space.items, batch, space))
     else:
-        pools.append(_dense_pool(dense, moments, batch, k, taken))
-    pool = union_all(pools).distinct()
-    if seen is not None:
-        pool = pool.join(seen, ["request_id", "item_id"], "left_anti")
-    scored = component_scores(views, batch, space, pin(pool))
-    fused = (
-        scored.join(moments, ["request_id", "component"])
-        .groupBy("request_id", "item_id")
-        .agg(quantize(F.sum(F.col("slope") * F.col("score") + F.col("shift"))).alias("score"))
-    )
-    return top_k(fused, k)
-
-
-def component_scores(
-    views: list[ScoreView], batch: QueryBatch, space: ItemSpace, pool: DataFrame
-) -> DataFrame:
-    """(request_id, item_id, component, score) of the pool; ranks only where they come free."""
-    parts = []
+        rest.append(_dense_pool(dense, moments, batch, k, taken))
+    outside = pin(union_all(rest))
+    pool = outside if touched is None else outside.unionByName(touched)
+    parts = [outside.select("request_id", "item_id", F.lit(0.0).alias("part"))]
     for v in views:
-        if v.vectors is not None:
-            scores = view_ranks(v, batch, space, pool).drop("rank")
-        else:
-            scores = _pool_scores(v, pool)
-        parts.append(scores.withColumn("component", F.lit(v.name)))
-    return union_all(parts)
+        slope = moments.where(F.col("component") == v.name).select("request_id", "slope")
+        for scores in _explicit_and_dense(v, batch, space, pool):
+            parts.append(scores.join(slope, "request_id").select(
+                "request_id", "item_id", (F.col("slope") * F.col("score")).alias("part")
+            ))
+    summed = union_all(parts).groupBy("request_id", "item_id").agg(F.sum("part").alias("part"))
+    shifts = moments.groupBy("request_id").agg(F.sum("shift").alias("shift"))
+    fused = summed.join(shifts, "request_id").select(
+        "request_id", "item_id", quantize(F.col("part") + F.col("shift")).alias("score")
+    )
+    return top_k(fused, k, seen)
 
 
-def _pool_scores(view: ScoreView, pool: DataFrame) -> DataFrame:
+def _explicit_and_dense(
+    view: ScoreView, batch: QueryBatch, space: ItemSpace, pool: DataFrame
+) -> list[DataFrame]:
+    """(request_id, item_id, score) tables that add up to the view's scores of the pool."""
+    if view.vectors is not None:
+        return [view_ranks(view, batch, space, pool).drop("rank")]
     parts = []
-    sparse = pool
+    if view.nonzero is not None:
+        parts.append(view.nonzero.select("request_id", "item_id", "score"))
     if view.base is not None:
         mine = pool
         if view.base_requests is not None:
             mine = pool.join(view.base_requests, "request_id", "left_semi")
-            sparse = pool.join(view.base_requests, "request_id", "left_anti")
         parts.append(mine.join(view.base.select("item_id", "score"), "item_id").select(
             "request_id", "item_id", "score"
         ))
-    if view.nonzero is not None:
-        parts.append(sparse.join(view.nonzero, ["request_id", "item_id"], "left").select(
-            "request_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score")
-        ))
-    return union_all(parts)
+    return parts
 
 
 def _free_items(
