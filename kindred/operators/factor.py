@@ -99,10 +99,8 @@ def propagate_nodes(arcs: DataFrame, vectors: DataFrame, layers: int, dim: int)
     """Mean of layers 0..L of A^k E over one node table (node, vec)."""
     total, current = vectors, vectors
     for _ in range(layers):
-        spread = arcs.join(current.withColumnRenamed("node", "other"), "other").select(
-            "node", scale(F.col("vec"), F.col("w")).alias("vec")
-        )
-        current = sum_vectors(spread.groupBy("node"), "vec", dim)
+        spread = arcs.join(current.withColumnRenamed("node", "other"), "other")
+        current = sum_vectors(spread.groupBy("node"), "vec", dim, weight=F.col("w"))
         total = total.unionByName(current)
     mean = sum_vectors(total.groupBy("node"), "vec", dim)
     return mean.select("node", scale(F.col("vec"), F.lit(1.0 / (layers + 1))).alias("vec"))

@@ -57,10 +57,8 @@ def _times(vectors: DataFrame, small: np.ndarray) -> DataFrame:
 
 def _graph_product(edges: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     right = vectors.select(F.col("item").alias("other"), "vec")
-    weighted = edges.join(right, "other").select(
-        "item", F.transform("vec", lambda x: x * F.col("weight")).alias("vec")
-    )
-    return sum_vectors(weighted.groupBy("item"), "vec", dim)
+    joined = edges.join(right, "other").select("item", "weight", "vec")
+    return sum_vectors(joined.groupBy("item"), "vec", dim, weight=F.col("weight"))
 
 
 def graph_vectors(
@@ -128,10 +126,8 @@ def normalized_edges(ratings: DataFrame) -> DataFrame:
 
 
 def _hop(edges: DataFrame, vectors: DataFrame, source: str, target: str, dim: int) -> DataFrame:
-    weighted = edges.join(vectors, source).select(
-        target, F.transform("vec", lambda x: x * F.col("weight")).alias("vec")
-    )
-    return sum_vectors(weighted.groupBy(target), "vec", dim)
+    joined = edges.join(vectors, source).select(target, "weight", "vec")
+    return sum_vectors(joined.groupBy(target), "vec", dim, weight=F.col("weight"))
 
 
 def _plus(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -104,10 +104,9 @@ def _noise(keys: list, latent: int) -> np.ndarray:
 def _encoder_sums(rows: DataFrame, encoder: DataFrame, hidden: int) -> DataFrame:
     """(user, T, a): sum of x * encoder row over a user's entries (user, item, value, x)."""
     side = encoder.select(F.col("node").alias("item"), "vec")
-    weighted = rows.join(side, "item").select(
-        "user", "value", scale(F.col("vec"), F.col("x")).alias("a")
-    )
-    return sum_vectors(weighted.groupBy("user"), "a", hidden, [F.sum("value").alias("T")])
+    joined = rows.join(side, "item").select("user", "value", "x", F.col("vec").alias("a"))
+    total = F.sum("value").alias("T")
+    return sum_vectors(joined.groupBy("user"), "a", hidden, [total], F.col("x"))
 
 
 def fit_multivae(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
@@ -227,9 +226,9 @@ def encode_autoencoder(model: FittedModel, batch: QueryBatch) -> DataFrame:
     side = model.tables["encoder"].withColumnRenamed("item", "item_id")
     unit = F.when(F.col("norm") > 0, F.col("value") / F.col("norm")).otherwise(F.lit(0.0))
     rows = batch.vector.join(norms, "request_id").join(side, "item_id").select(
-        "request_id", scale(F.col("vec"), unit).alias("a")
+        "request_id", unit.alias("x"), F.col("vec").alias("a")
     )
-    sums = sum_vectors(rows.groupBy("request_id"), "a", hidden)
+    sums = sum_vectors(rows.groupBy("request_id"), "a", hidden, weight=F.col("x"))
     zero = F.array_repeat(F.lit(0.0), hidden)
     sums = batch.requests.select("request_id").join(sums, "request_id", "left").select(
         F.col("request_id").alias("qid"), F.coalesce("a", zero).alias("a")

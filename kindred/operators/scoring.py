@@ -101,11 +101,11 @@ def last_item_rows(last: DataFrame, similarity: DataFrame) -> DataFrame:
 
 def history_profile(vector: DataFrame, items: DataFrame, dim: int) -> DataFrame:
     """(qid, vec): sum(w * e) / sum(|w|) over the history; items is (item, vec)."""
-    weighted = vector.where(F.col("value") != 0).join(
+    joined = vector.where(F.col("value") != 0).join(
         items.withColumnRenamed("item", "item_id"), "item_id"
-    ).select("request_id", "value", F.transform("vec", lambda x: x * F.col("value")).alias("vec"))
+    ).select("request_id", "value", F.col("vec").cast("array<double>").alias("vec"))
     total = F.sum(F.abs("value")).alias("total")
-    summed = sum_vectors(weighted.groupBy("request_id"), "vec", dim, [total])
+    summed = sum_vectors(joined.groupBy("request_id"), "vec", dim, [total], F.col("value"))
     scale = F.when(F.col("total") > 0, F.col("total")).otherwise(F.lit(1.0))
     return summed.select(
         F.col("request_id").alias("qid"), F.transform("vec", lambda x: x / scale).alias("vec")

@@ -34,9 +34,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def sum_vectors(grouped, vector: str, dim: int, extra: list[Column] = ()) -> DataFrame:
-    """Element-wise sum of an array column as ``dim`` plain sums (partial aggregation, codegen)."""
-    summed = grouped.agg(*[F.sum(F.col(vector)[d]).alias(f"_d{d}") for d in range(dim)], *extra)
+def sum_vectors(
+    grouped, vector: str, dim: int, extra: list[Column] = (), weight: Column | None = None
+) -> DataFrame:
+    """Element-wise (weighted) sum of an array column as ``dim`` plain sums.
+
+    Sums aggregate partially before the shuffle and stay in generated code.
+    """
+    def cell(d: int) -> Column:
+        return F.col(vector)[d] if weight is None else F.col(vector)[d] * weight
+
+    summed = grouped.agg(*[F.sum(cell(d)).alias(f"_d{d}") for d in range(dim)], *extra)
     names = [f"_d{d}" for d in range(dim)]
     return summed.withColumn(vector, F.array(*names)).drop(*names)
 

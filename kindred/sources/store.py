@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.numbers import clean_metadata, is_finite
+from kindred.operators.positions import hot_groups
 from kindred.operators.split import Prepared, Split, split_integrity
 from kindred.plans.fitted import FittedModel
 from kindred.sources.digests import canonical_json, digest_token, plain, table_digest, value_digest
@@ -104,6 +105,7 @@ def load_prepared(spark: SparkSession, path: str, verify: bool = True) -> Prepar
     prepared = Prepared(
         events=events, order=tuple(settings["order"]), split=Split(**settings["split"]),
         catalog=catalog, adapter=settings["adapter"], digest=manifest["dataset_digest"],
+        hot_users=hot_groups(events, ["user_id"]),
     )
     if verify:
         _verify_prepared(prepared, manifest)
