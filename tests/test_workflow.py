@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators.contract import Columns, ContractError, normalize
+from kindred.operators.contract import ContractError, normalize
 from kindred.operators.retrievers import item_space
 from kindred.operators.split import Split, prepare
 from kindred.plans.hybrid import fit_hybrid
