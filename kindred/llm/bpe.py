@@ -15,17 +15,20 @@ from functools import lru_cache
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kindred.llm.common import table
+from kindred.session import pin
 
 FILE = "byte_bpe_multi_50k.tiktoken"
 #: Most tokens of a vocabulary: the private alphabet is the basic plane without surrogates.
 MOST = 63_000
 #: Words whose encoding is looked up instead of folded where they occur: a bound for the literal,
 #: not for the result.
-FREQUENT = 65_536
-_BUCKETS = 32_768
+FREQUENT = 262_144
+_BUCKETS = 65_536
+#: From this length on, a step merges all places of its pair instead of the first.
+_LONG = 256
 _OFFSET, _GAP = 0x100, 0xD800
 
 
@@ -76,20 +79,78 @@ def _find(literal: Column, key: Column) -> Column:
     return F.try_element_at(F.element_at(literal, (F.crc32(key.cast("binary")) % _BUCKETS + 1).cast("int")), key)
 
 
+def tables(path: str, **more: Column) -> Column:
+    """The literals of a vocabulary in one struct, so that each stands in a plan once."""
+    vocab = vocabulary(path)
+    size = max(vocab.ranks.values()) + 1
+    pieces = [""] * size
+    for token, rank in vocab.ranks.items():
+        pieces[rank] = token.hex()
+    texts = lambda values: F.from_json(F.lit(json.dumps(values)), "array<string>")
+    return F.struct(
+        _literal(vocab.pairs, "string").alias("pairs"),
+        _literal({t.decode("latin-1"): char(r) for t, r in vocab.ranks.items() if len(t) > 1}, "string").alias("whole"),
+        F.lit("".join(char(vocab.ranks[bytes([i])]) for i in range(256))).alias("bytes"),
+        texts([i.to_bytes(4, "little").hex() for i in range(size)]).alias("codes"),
+        texts(pieces).alias("pieces"),
+        *[column.alias(name) for name, column in more.items()],
+    )
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """Matches of the pattern, in order; together they are the whole text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0))
+    # The same alternatives with their common first character written once: fewer tries a place.
+    pattern = public_tokenizers.PATTERN.replace("'s|'t|'re|'ve|'m|'ll|'d|", "'(?:s|t|re|ve|m|ll|d)|")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def _merged(word: Column, vocab: Vocabulary) -> Column:
-    """The word's tokens as a string of the private alphabet."""
-    bytes_as_text = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    latin = "".join(map(chr, range(256)))
-    start = F.translate(bytes_as_text, latin, "".join(char(vocab.ranks[bytes([i])]) for i in range(256)))
-    pairs = _literal(vocab.pairs, "string")
-    whole = _literal({t.decode("latin-1"): char(r) for t, r in vocab.ranks.items() if len(t) > 1}, "string")
-    none = F.lit(None).cast("string")
+def _by_first(start: Column, pairs: Column) -> Column:
+    """Merges the first place of the least pair, again and again.
+
+    Carries what each neighbouring pair becomes, so that a merge looks up two pairs only.
+    """
+    nothing = F.lit("\uffff")  # after all characters of the alphabet
+
+    def become(a, b):
+        return F.coalesce(_find(pairs, F.concat(a, b)), nothing)
 
+    def step(state, _):
+        chars, to, at = state["chars"], state["to"], state["at"]
+        n = F.size(to)
+        new = F.substring(F.element_at(to, at), 1, 1)
+        left = F.when(at > 1, F.array(become(F.element_at(chars, at - 1), new))).otherwise(F.array())
+        right = F.when(at < n, F.array(become(new, F.element_at(chars, at + 2)))).otherwise(F.array())
+        cut = F.struct(
+            F.concat(F.slice(chars, 1, at - 1), F.array(new), F.slice(chars, at + 2, n)).alias("chars"),
+            F.concat(F.slice(to, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(to, at + 2, n)).alias("to"),
+        )
+        return F.when(at == 0, state).otherwise(let(cut, _state))
+
+    def _state(x):
+        least = F.coalesce(F.array_min(x["to"]), nothing)
+        at = F.when(least == nothing, F.lit(0)).otherwise(F.array_position(x["to"], least).cast("int"))
+        return F.struct(x["chars"].alias("chars"), x["to"].alias("to"), at.alias("at"))
+
+    def fold(chars):
+        n = F.size(chars)
+        to = F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n), become)
+        begin = let(F.struct(chars.alias("chars"), to.alias("to")), _state)
+        return F.aggregate(F.sequence(F.lit(2), n), begin, step, lambda x: F.array_join(x["chars"], ""))
+
+    return let(F.split(start, ""), fold)
+
+
+def _by_pair(start: Column, pairs: Column) -> Column:
+    """Merges all places of the least pair in a step: for long words.
+
+    That is the same as one by one, first to last, unless a merge brings a pair that goes before
+    it; pairs that can do so are marked and merged one place a step.
+    """
     def step(state, _):
         now = state["now"]
         chars = F.split(now, "")
@@ -104,13 +165,23 @@ def _merged(word: Column, vocab: Vocabulary) -> Column:
             after = F.when(F.substring(best, 2, 1) == "!", once).otherwise(F.replace(now, pair, to))
             return F.struct(F.coalesce(after, now).alias("now"), best.isNull().alias("done"))
 
-        moved = F.element_at(F.transform(F.array(best), go), 1)
-        return F.when(state["done"] | (F.length(now) < 2), state).otherwise(moved)
+        return F.when(state["done"] | (F.length(now) < 2), state).otherwise(let(best, go))
 
     begin = F.struct(start.alias("now"), F.lit(False).alias("done"))
-    turns = F.when(F.length(start) > 1, F.sequence(F.lit(2), F.length(start))).otherwise(F.expr("cast(array() as array<int>)"))
-    folded = F.aggregate(turns, begin, step, lambda s: s["now"])
-    return F.coalesce(_find(whole, bytes_as_text), folded, none)
+    return F.aggregate(F.sequence(F.lit(2), F.length(start)), begin, step, lambda s: s["now"])
+
+
+def _merged(word: Column, t: Column) -> Column:
+    """The word's tokens as a string of the private alphabet."""
+    latin = F.lit("".join(map(chr, range(256))))
+
+    def folded(one):
+        start = F.call_function("translate", one, latin, t["bytes"])
+        size = F.length(one)
+        slow = F.when(size < 2, start).when(size < _LONG, _by_first(start, t["pairs"])).otherwise(_by_pair(start, t["pairs"]))
+        return F.coalesce(_find(t["whole"], one), slow)
+
+    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), folded)
 
 
 def _ids(tokens: Column) -> Column:
@@ -122,39 +193,36 @@ def _ids(tokens: Column) -> Column:
     return F.transform(F.filter(F.split(tokens, ""), lambda c: c != ""), one)
 
 
-def encode(word: Column, path: str) -> Column:
-    """Ids of a text that is one match of the pattern."""
-    return _ids(_merged(word, vocabulary(path)))
+def encode(word: Column, t: Column) -> Column:
+    """Ids of a text that is one match of the pattern; t: the tables."""
+    return _ids(_merged(word, t))
 
 
-def decode(ids: Column, path: str) -> Column:
-    """Bytes of the tokens of an array of ids, concatenated."""
-    pieces = [""] * (max(vocabulary(path).ranks.values()) + 1)
-    for token, rank in vocabulary(path).ranks.items():
-        pieces[rank] = token.hex()
-    literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(literal, i + 1)), ""))
+def decode(ids: Column, t: Column) -> Column:
+    """Hex of the bytes of the tokens of an array of ids, concatenated."""
+    return F.array_join(F.transform(ids, lambda i: F.element_at(t["pieces"], i + 1)), "")
 
 
-def packed(ids: Column) -> Column:
+def packed(ids: Column, t: Column) -> Column:
     """Hex of ids as little-endian unsigned 32-bit integers."""
-    def one(i):
-        return F.concat(*[F.lpad(F.hex(F.shiftright(i, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])
+    return F.array_join(F.transform(ids, lambda i: F.element_at(t["codes"], i + 1)), "")
 
-    return F.array_join(F.transform(ids, one), "")
 
+def _coded(word: Column, t: Column) -> Column:
+    """Hex of a word's ids, a bar, and hex of the bytes decoded from them."""
+    return let(encode(word, t), lambda ids: F.concat(packed(ids, t), F.lit("|"), decode(ids, t)))
 
-def _coded(word: Column, path: str) -> Column:
-    """(ids, text) of a word, both in hex; the text is decoded from the ids."""
-    ids = encode(word, path)
-    both = lambda i: F.struct(packed(i).alias("ids"), F.hex(decode(i, path)).alias("text"))
-    return F.element_at(F.transform(F.array(ids), both), 1)
 
-
-def frequent_words(docs: DataFrame, most: int) -> list[tuple[str, str, str]]:
-    """The `most` words of `docs` with the most occurrences, encoded: at most that many rows."""
+def frequent_words(docs: DataFrame, path: str, most: int) -> dict[str, str]:
+    """At most `most` words of `docs`, those with the most occurrences, with their codes."""
     counts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    counts = pin(counts)
+    # Words of one number of occurrences go in together, as far as they fit.
+    steps = Window.orderBy(F.desc("n"))
+    levels = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("so_far", F.sum("words").over(steps))
+    least = levels.where(F.col("so_far") <= most).agg(F.min("n")).first()[0]
+    chosen = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
+    return {r["word"]: r["code"] for r in chosen.select("word", let(tables(path), lambda t: _coded(F.col("word"), t)).alias("code")).collect()}
 
 
 def tokenize(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
@@ -165,17 +233,13 @@ def tokenize(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     stand, so nothing is exploded or shuffled for the encoding itself. ids_hex has 8 digits a
     token. Null texts are empty: no tokens, no bytes. Columns of these names in `docs` are replaced.
     """
-    spark = docs.sparkSession
-    common = frequent_words(docs, frequent)
-    coded = spark.createDataFrame(common, "word string").select("word", _coded(F.col("word"), path).alias("coded")).collect() if common else []
-    known = _literal({r["word"]: {"ids": r["coded"]["ids"], "text": r["coded"]["text"]} for r in coded}, "struct<ids:string,text:string>")
-    each = F.transform(words(F.col("text")), lambda w: F.coalesce(_find(known, w), _coded(w, path)))
+    known = _literal(frequent_words(docs, path, frequent), "string")
+    coded = lambda t: F.transform(words(F.col("text")), lambda w: F.coalesce(_find(t["known"], w), _coded(w, t)))
+    each = let(tables(path, known=known), coded)
     kept = docs.drop("n_tokens", "ids_hex", "decoded", "coded")
-    rows = kept.withColumn("coded", each)
-    ids = F.array_join(F.col("coded.ids"), "")
-    return rows.select(*kept.columns, ids.alias("ids_hex"), F.unhex(F.array_join(F.col("coded.text"), "")).alias("decoded")).withColumn(
-        "n_tokens", (F.length("ids_hex") / 8).cast("long")
-    )
+    joined = lambda part: F.array_join(F.transform(F.col("coded"), lambda c: F.substring_index(c, "|", part)), "")
+    rows = kept.withColumn("coded", each).select(*kept.columns, joined(1).alias("ids_hex"), F.unhex(joined(-1)).alias("decoded"))
+    return rows.withColumn("n_tokens", (F.length("ids_hex") / 8).cast("long"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
