@@ -23,10 +23,10 @@ from kindred.session import pin
 FILE = "byte_bpe_multi_50k.tiktoken"
 #: Most tokens of a vocabulary: the private alphabet is the basic plane without surrogates.
 MOST = 63_000
-#: Words whose encoding is looked up instead of folded where they occur: a bound for the literal,
-#: not for the result.
-FREQUENT = 262_144
-_BUCKETS = 65_536
+#: Words whose encoding is looked up instead of folded where they occur: a bound for the table that
+#: goes to all tasks (about 60 bytes a word), not for the result.
+FREQUENT = 1 << 20
+_BUCKETS = 1 << 16
 #: From this length on, a step merges all places of its pair instead of the first.
 _LONG = 256
 _OFFSET, _GAP = 0x100, 0xD800
@@ -75,8 +75,12 @@ def _literal(entries: dict[str, object], kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{kind}>>")
 
 
-def _find(literal: Column, key: Column) -> Column:
-    return F.try_element_at(F.element_at(literal, (F.crc32(key.cast("binary")) % _BUCKETS + 1).cast("int")), key)
+def _place(key: Column, buckets: int) -> Column:
+    return (F.crc32(key.cast("binary")) % buckets).cast("int")
+
+
+def _find(maps: Column, key: Column, buckets: int = _BUCKETS) -> Column:
+    return F.try_element_at(F.element_at(maps, _place(key, buckets) + 1), key)
 
 
 def tables(path: str, **more: Column) -> Column:
@@ -213,8 +217,11 @@ def _coded(word: Column, t: Column) -> Column:
     return let(encode(word, t), lambda ids: F.concat(packed(ids, t), F.lit("|"), decode(ids, t)))
 
 
-def frequent_words(docs: DataFrame, path: str, most: int) -> dict[str, str]:
-    """At most `most` words of `docs`, those with the most occurrences, with their codes."""
+def frequent_words(docs: DataFrame, path: str, most: int, buckets: int) -> Column:
+    """The codes of at most `most` words of `docs`, those with the most occurrences, as small maps.
+
+    The maps are one value of bounded size, a scalar subquery that Spark sends along with the tasks.
+    """
     counts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = pin(counts)
     # Words of one number of occurrences go in together, as far as they fit.
@@ -222,7 +229,12 @@ def frequent_words(docs: DataFrame, path: str, most: int) -> dict[str, str]:
     levels = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("so_far", F.sum("words").over(steps))
     least = levels.where(F.col("so_far") <= most).agg(F.min("n")).first()[0]
     chosen = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
-    return {r["word"]: r["code"] for r in chosen.select("word", let(tables(path), lambda t: _coded(F.col("word"), t)).alias("code")).collect()}
+    coded = pin(chosen.select("word", let(tables(path), lambda t: _coded(F.col("word"), t)).alias("code")))
+    entries = coded.groupBy(_place(F.col("word"), buckets).alias("at")).agg(F.collect_list(F.struct("word", "code")).alias("entries"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("at")).join(entries, "at", "left")
+    none = F.expr("cast(array() as array<struct<word:string,code:string>>)")
+    ordered = F.array_sort(F.collect_list(F.struct("at", F.coalesce("entries", none).alias("entries"))))
+    return every.agg(F.transform(ordered, lambda x: F.map_from_entries(x["entries"])).alias("maps")).scalar()
 
 
 def tokenize(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
@@ -233,12 +245,14 @@ def tokenize(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     stand, so nothing is exploded or shuffled for the encoding itself. ids_hex has 8 digits a
     token. Null texts are empty: no tokens, no bytes. Columns of these names in `docs` are replaced.
     """
-    known = _literal(frequent_words(docs, path, frequent), "string")
-    coded = lambda t: F.transform(words(F.col("text")), lambda w: F.coalesce(_find(t["known"], w), _coded(w, t)))
-    each = let(tables(path, known=known), coded)
-    kept = docs.drop("n_tokens", "ids_hex", "decoded", "coded")
+    buckets = max(1, frequent // 4)
+    known = frequent_words(docs, path, frequent, buckets)
+    coded = lambda t: F.transform(words(F.col("text")), lambda w: F.coalesce(_find(t["known"], w, buckets), _coded(w, t)))
+    # Higher-order functions take no subquery as written; a column that is used once is one to them.
+    each = let(tables(path, known=F.col("known_words")), coded)
+    kept = docs.drop("n_tokens", "ids_hex", "decoded", "coded", "known_words")
     joined = lambda part: F.array_join(F.transform(F.col("coded"), lambda c: F.substring_index(c, "|", part)), "")
-    rows = kept.withColumn("coded", each).select(*kept.columns, joined(1).alias("ids_hex"), F.unhex(joined(-1)).alias("decoded"))
+    rows = kept.withColumn("known_words", known).select(*kept.columns, each.alias("coded")).select(*kept.columns, joined(1).alias("ids_hex"), F.unhex(joined(-1)).alias("decoded"))
     return rows.withColumn("n_tokens", (F.length("ids_hex") / 8).cast("long"))
 
 
