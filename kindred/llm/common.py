@@ -95,6 +95,38 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def whole_runs(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Rows of many whole groups at once, with the places where a group begins, and the end.
+
+    Groups are of bounded size here, so a piece holds about `rows` rows and one group more.
+    """
+    held: list[pd.DataFrame] = []
+    many = 0
+
+    def cut(piece: pd.DataFrame) -> list[int]:
+        change = np.ones(len(piece), bool)
+        change[1:] = False
+        for key in keys:
+            values = piece[key].to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        return [*np.flatnonzero(change).tolist(), len(piece)]
+
+    for batch in batches:
+        held.append(batch)
+        many += len(batch)
+        if many < rows:
+            continue
+        piece = pd.concat(held, ignore_index=True)
+        bounds = cut(piece)
+        if len(bounds) > 2:  # the last group may go on
+            yield piece.iloc[: bounds[-2]], bounds[:-1]
+            piece = piece.iloc[bounds[-2] :]
+        held, many = [piece], len(piece)
+    piece = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+    if len(piece):
+        yield piece, cut(piece)
+
+
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Component label of 0..n-1 under the links left[i] - right[i]: the least index."""
     label = np.arange(n)

@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm.common import components, dealt, forest, in_blocks, runs, table, text_key
+from kindred.llm.common import components, dealt, forest, in_blocks, table, text_key, whole_runs
 from kindred.session import pin
 
 #: Edits between two lines that count as one, and code points from which edits are allowed for.
@@ -120,25 +120,35 @@ def _banded(lines, sizes, short, long, c):
 
 def _near(edits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece in runs(batches, ["segment", "left", "right"]):
-            lines = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in piece["line"]]
-            own = piece["own"].to_numpy()
-            first, second = np.flatnonzero(own == piece["left"].iloc[0]), np.flatnonzero(own == piece["right"].iloc[0])
+        for piece, bounds in whole_runs(batches, ["segment", "left", "right"]):
+            ids, which = np.unique(piece["line_key"].to_numpy(), return_inverse=True)
+            first = np.full(len(ids), -1)
+            first[which[::-1]] = np.arange(len(piece))[::-1]
+            texts = piece["line"].to_numpy()
+            lines = [np.frombuffer(texts[k].encode("utf-32-le", "surrogatepass"), np.uint32) for k in first]
             # An edit changes a count of characters by two at the most.
             counts = np.stack([np.bincount(x & 31, minlength=32) for x in lines]).astype(np.int32)
-            i, j = [], []
-            for a in first:
-                far = np.abs(counts[second] - counts[a]).sum(axis=1)
-                at = second[far <= 2 * edits]
-                at = at[at > a] if piece["left"].iloc[0] == piece["right"].iloc[0] else at
-                i.append(np.full(len(at), a))
-                j.append(at)
-            i, j = np.concatenate(i), np.concatenate(j)
-            keep = within(lines, i, j, edits)
-            label = forest(len(lines), i[keep], j[keep])
-            far = label != np.arange(len(lines))
+            own, left, right = piece["own"].to_numpy(), piece["left"].to_numpy(), piece["right"].to_numpy()
+            pairs = []
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                if hi - lo == 2:
+                    pairs.append(which[lo:hi][None, :])
+                    continue
+                a = lo + np.flatnonzero(own[lo:hi] == left[lo])
+                b = lo + np.flatnonzero(own[lo:hi] == right[lo])
+                for k in a:
+                    at = b[b > k] if left[lo] == right[lo] else b
+                    far = np.abs(counts[which[at]] - counts[which[k]]).sum(axis=1)
+                    near = which[at[far <= 2 * edits]]
+                    pairs.append(np.stack([np.full(len(near), which[k]), near], axis=1))
+            links = np.concatenate(pairs)
+            links = np.unique(np.sort(links, axis=1), axis=0)  # two lines can share several segments
+            links = links[(links[:, 0] != links[:, 1])]
+            links = links[np.abs(counts[links[:, 0]] - counts[links[:, 1]]).sum(axis=1) <= 2 * edits]
+            keep = within(lines, links[:, 0], links[:, 1], edits)
+            label = forest(len(ids), links[keep, 0], links[keep, 1])
+            far = label != np.arange(len(ids))
             if far.any():
-                ids = piece["line_key"].to_numpy()
                 yield pd.DataFrame({"a": ids[far], "b": ids[label[far]]})
 
     return run
@@ -150,7 +160,8 @@ def line_classes(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     index = known.where(F.length("line") >= least).mapInPandas(_indexed(edits, least), "segment long, line_id long")
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     index = index.repartition(parts, "segment")  # one exchange for the counts and the join
-    shared = index.groupBy("segment").agg(F.count("*").alias("members")).where("members > 1").select("segment")
+    # Both columns are read here too, so that the exchange is the same one.
+    shared = index.groupBy("segment").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo < hi").select("segment")
     met = pin(index.join(shared, "segment"))
     needed = met.select("line_id").distinct()
     texts = pin(known.join(needed, "line_id", "left_semi"))
@@ -182,7 +193,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     """
     docs = docs.drop("kept_text", "n_lines", "n_removed", "gone", "text_hash")
     own = [F.col("doc_id").isNull().alias("anonymous"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("number"), text_key().alias("text_hash")]
-    rows = docs.select(*own, F.posexplode(F.split("text", "\n")).alias("at", "line")).where("line <> ''")
+    # Keys of a text are worked out before its lines are, once a text.
+    parts = docs.select(*own, F.split("text", "\n").alias("parts"))
+    rows = parts.select("anonymous", "number", "text_hash", F.posexplode("parts").alias("at", "line")).where("line <> ''")
     distinct = rows.groupBy("line").agg(F.count("*").alias("times"))
     linked = line_classes(distinct.select("line"), edits, least)
     places = pin(rows.select("anonymous", "number", "text_hash", "at", text_key("line").alias("line_key")))
