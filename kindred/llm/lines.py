@@ -15,6 +15,8 @@ from kindred.session import pin
 #: Edits between two lines that count as one, and code points from which edits are allowed for.
 EDITS, LEAST_CHARS = 2, 20
 BLOCK = 512
+#: Ids of 8 bytes that may be broadcast.
+SENT_IDS = 1_000_000
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -44,15 +46,14 @@ def probes(length: int, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _indexed(edits: int, least: int):
+def _indexed(edits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plans: dict[int, list] = {}
         for batch in batches:
             keys, owners = [], []
-            for line, owner in zip(batch["line"], batch["line_id"]):
+            # Copies inside a batch count once; what copies in other batches add changes nothing.
+            for line, owner in dict(zip(batch["line"], batch["line_id"])).items():
                 n = len(line)
-                if n < least:
-                    continue
                 plan = plans.get(n)
                 if plan is None:  # a line's own segments are among its probes of length n
                     plan = plans[n] = [(at, at + size, (target << 8) + i) for target, i, at, size in probes(n, edits)]
@@ -155,16 +156,18 @@ def _near(edits: int):
 
 
 def line_classes(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Distinct `line`s -> (node, root), keys of lines that some other line is linked with."""
-    known = lines.withColumn("line_id", F.xxhash64("line")).withColumn("line_key", text_key("line"))
-    index = known.where(F.length("line") >= least).mapInPandas(_indexed(edits, least), "segment long, line_id long")
+    """`line`s, copies allowed -> (node, root), keys of lines that some other line is linked with."""
+    known = lines.where(F.length("line") >= least).select("line", F.xxhash64("line").alias("line_id"))
+    index = known.mapInPandas(_indexed(edits), "segment long, line_id long")
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = index.repartition(parts, "segment")  # one exchange for the counts and the join
-    # Both columns are read here too, so that the exchange is the same one.
+    index = index.repartition(parts, "segment")  # one exchange for the aggregate and the join
     shared = index.groupBy("segment").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo < hi").select("segment")
-    met = pin(index.join(shared, "segment"))
-    needed = met.select("line_id").distinct()
-    texts = pin(known.join(needed, "line_id", "left_semi"))
+    met = pin(index.join(shared, "segment").distinct())
+    needed = pin(met.select("line_id").distinct())
+    # Few lines meet another: their ids go to all tasks if they are few, else the lines move.
+    if needed.count() <= SENT_IDS:
+        needed = F.broadcast(needed)
+    texts = pin(known.join(needed, "line_id", "left_semi").distinct().withColumn("line_key", text_key("line")))
     pieces = in_blocks(met.join(texts, "line_id"), "segment", "line_key", BLOCK)
     return components(dealt(pieces, "segment", "left", "right").mapInPandas(_near(edits), "a binary, b binary"))
 
@@ -196,8 +199,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     # Keys of a text are worked out before its lines are, once a text.
     parts = docs.select(*own, F.split("text", "\n").alias("parts"))
     rows = parts.select("anonymous", "number", "text_hash", F.posexplode("parts").alias("at", "line")).where("line <> ''")
-    distinct = rows.groupBy("line").agg(F.count("*").alias("times"))
-    linked = line_classes(distinct.select("line"), edits, least)
+    linked = line_classes(rows.select("line"), edits, least)
     places = pin(rows.select("anonymous", "number", "text_hash", "at", text_key("line").alias("line_key")))
     classed = places.join(linked, places["line_key"] == linked["node"], "left").select(
         "anonymous", "number", "text_hash", "at", F.coalesce("root", "line_key").alias("line_class")
