@@ -25,7 +25,7 @@ FILE = "byte_bpe_multi_50k.tiktoken"
 MOST = 63_000
 #: Words whose encoding is looked up instead of folded where they occur: a bound for the table that
 #: goes to all tasks (about 60 bytes a word), not for the result.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 _BUCKETS = 1 << 16
 #: From this length on, a step merges all places of its pair instead of the first.
 _LONG = 256
