@@ -25,10 +25,8 @@ FILE = "byte_bpe_multi_50k.tiktoken"
 MOST = 63_000
 #: Words whose encoding is looked up instead of folded where they occur: a bound for the table that
 #: goes to all tasks (about 60 bytes a word), not for the result.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 _BUCKETS = 1 << 16
-#: From this length on, a step merges all places of its pair instead of the first.
-_LONG = 256
 _OFFSET, _GAP = 0x100, 0xD800
 
 
@@ -113,44 +111,8 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def _by_first(start: Column, pairs: Column) -> Column:
-    """Merges the first place of the least pair, again and again.
-
-    Carries what each neighbouring pair becomes, so that a merge looks up two pairs only.
-    """
-    nothing = F.lit("\uffff")  # after all characters of the alphabet
-
-    def become(a, b):
-        return F.coalesce(_find(pairs, F.concat(a, b)), nothing)
-
-    def step(state, _):
-        chars, to, at = state["chars"], state["to"], state["at"]
-        n = F.size(to)
-        new = F.substring(F.element_at(to, at), 1, 1)
-        left = F.when(at > 1, F.array(become(F.element_at(chars, at - 1), new))).otherwise(F.array())
-        right = F.when(at < n, F.array(become(new, F.element_at(chars, at + 2)))).otherwise(F.array())
-        cut = F.struct(
-            F.concat(F.slice(chars, 1, at - 1), F.array(new), F.slice(chars, at + 2, n)).alias("chars"),
-            F.concat(F.slice(to, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(to, at + 2, n)).alias("to"),
-        )
-        return F.when(at == 0, state).otherwise(let(cut, _state))
-
-    def _state(x):
-        least = F.coalesce(F.array_min(x["to"]), nothing)
-        at = F.when(least == nothing, F.lit(0)).otherwise(F.array_position(x["to"], least).cast("int"))
-        return F.struct(x["chars"].alias("chars"), x["to"].alias("to"), at.alias("at"))
-
-    def fold(chars):
-        n = F.size(chars)
-        to = F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n), become)
-        begin = let(F.struct(chars.alias("chars"), to.alias("to")), _state)
-        return F.aggregate(F.sequence(F.lit(2), n), begin, step, lambda x: F.array_join(x["chars"], ""))
-
-    return let(F.split(start, ""), fold)
-
-
 def _by_pair(start: Column, pairs: Column) -> Column:
-    """Merges all places of the least pair in a step: for long words.
+    """Merges all places of the least pair in a step.
 
     That is the same as one by one, first to last, unless a merge brings a pair that goes before
     it; pairs that can do so are marked and merged one place a step.
@@ -182,7 +144,7 @@ def _merged(word: Column, t: Column) -> Column:
     def folded(one):
         start = F.call_function("translate", one, latin, t["bytes"])
         size = F.length(one)
-        slow = F.when(size < 2, start).when(size < _LONG, _by_first(start, t["pairs"])).otherwise(_by_pair(start, t["pairs"]))
+        slow = F.when(size < 2, start).otherwise(_by_pair(start, t["pairs"]))
         return F.coalesce(_find(t["whole"], one), slow)
 
     return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), folded)

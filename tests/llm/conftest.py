@@ -1,0 +1,8 @@
+import pytest
+
+from kindred.session import local_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return local_session(4)
