@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCORE_DIGITS = 9
+DUST = 1e-12
 
 
 def quantize(value: Column, digits: int = SCORE_DIGITS) -> Column:
-    """Snap a sum to a decimal grid so that partial-sum order cannot flip a tie."""
+    """Snap a sum to a decimal grid so that partial-sum order cannot flip a tie.
+
+    A value too small for the grid keeps six digits of its own instead of becoming zero, down to
+    the dust that cancelling terms leave.
+    """
     scale = F.lit(float(10**digits))
-    return F.rint(value * scale) / scale
+    snapped = F.rint(value * scale) / scale
+    fine = F.pow(F.lit(10.0), F.lit(6.0) - F.floor(F.log10(F.abs(value))))
+    tiny = (snapped == 0) & (F.abs(value) > F.lit(DUST))
+    return F.when(tiny, F.rint(value * fine) / fine).otherwise(snapped)
 
 
 def is_finite(value: Column) -> Column:

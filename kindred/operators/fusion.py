@@ -112,20 +112,32 @@ def _moments(view: ScoreView, batch: QueryBatch, space: ItemSpace) -> DataFrame:
             "request_id", mean.alias("mean"), F.when(flat, 1.0).otherwise(F.sqrt(var)).alias("std")
         )
 
+    # Explicit scores: spread of the listed ones around their own mean, then the implicit zeros, so
+    # that large scores lying close together keep their spread. Only equal scores have none.
+    listed = [
+        F.count("score").alias("c"), F.avg("score").alias("m"), F.var_pop("score").alias("v"),
+        F.min("score").alias("lo"), F.max("score").alias("hi"),
+    ]
+
+    def spread(stats: DataFrame) -> DataFrame:
+        stats = stats.select("request_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("c", "m", "v", "lo", "hi")])
+        share = F.col("c") / n
+        mean = share * F.col("m")
+        off = F.col("m") - mean
+        var = share * (F.col("v") + off * off) + (1 - share) * mean * mean
+        flat = (F.col("lo") == F.col("hi")) & ((F.col("c") == n) | (F.col("hi") == 0))
+        return stats.select(
+            "request_id", mean.alias("mean"), F.when(flat, 1.0).otherwise(F.sqrt(var)).alias("std")
+        )
+
     if view.base is not None:
-        total = view.base.agg(F.sum("score"), F.sum(F.col("score") * F.col("score"))).first()
-        parts.append(finish(_base_requests(view, batch.requests).select(
-            "request_id", F.lit(total[0]).alias("s"), F.lit(total[1]).alias("ss")
+        total = view.base.agg(*listed).first()
+        parts.append(spread(_base_requests(view, batch.requests).select(
+            "request_id", *[F.lit(total[c]).cast("double").alias(c) for c in ("c", "m", "v", "lo", "hi")]
         )))
     if view.nonzero is not None:
-        sums = view.nonzero.groupBy("request_id").agg(
-            F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss")
-        )
-        all_requests = _sparse_requests(view, batch.requests).join(sums, "request_id", "left")
-        parts.append(finish(all_requests.select(
-            "request_id", F.coalesce("s", F.lit(0.0)).alias("s"),
-            F.coalesce("ss", F.lit(0.0)).alias("ss"),
-        )))
+        stats = view.nonzero.groupBy("request_id").agg(*listed)
+        parts.append(spread(_sparse_requests(view, batch.requests).join(stats, "request_id", "left")))
     if view.vectors is not None:
         queries, items = view.vectors
         mean, second = item_moments(items)

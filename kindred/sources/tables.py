@@ -27,19 +27,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def discover(spark: SparkSession, path: str, candidates: Sequence[str]) -> str:
     """The path itself, or in a directory the first candidate that exists (else the first)."""
-    if any(path.endswith(c.rsplit(".", 1)[-1]) for c in candidates):
+    if any(path.endswith("." + c.rsplit(".", 1)[-1]) for c in candidates):
         return path
     found = [f"{path}/{c}" for c in candidates if path_exists(spark, f"{path}/{c}")]
     return found[0] if found else f"{path}/{candidates[0]}"
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV or Parquet by format or suffix. Give a schema for big CSVs: inference reads them twice."""
+    """CSV or Parquet by format or suffix. Give a schema for big CSVs: inference reads them twice.
+
+    Quoted CSV fields may hold line breaks and doubled quotes. A file is then read by one task;
+    ``multi_line=False`` splits large files whose fields hold no line breaks.
+    """
     kind = (fmt or path.rsplit(".", 1)[-1]).lower()
     if kind == "csv":
-        reader = spark.read.option("header", True)
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
         return reader.csv(path)
     if kind in ("parquet", "pq"):
