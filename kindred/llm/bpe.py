@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -61,18 +60,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(ranks, merged)
 
 
-def _bucket(key: str) -> int:
-    return zlib.crc32(key.encode()) % _BUCKETS
-
-
-def _literal(entries: dict[str, object], kind: str) -> Column:
-    """A map literal as an array of small maps, so that a look-up does not scan all entries."""
-    buckets: list[dict] = [{} for _ in range(_BUCKETS)]
-    for key, value in entries.items():
-        buckets[_bucket(key)][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{kind}>>")
-
-
 def _place(key: Column, buckets: int) -> Column:
     return (F.crc32(key.cast("binary")) % buckets).cast("int")
 
@@ -81,22 +68,40 @@ def _find(maps: Column, key: Column, buckets: int = _BUCKETS) -> Column:
     return F.try_element_at(F.element_at(maps, _place(key, buckets) + 1), key)
 
 
-def tables(path: str, **more: Column) -> Column:
-    """The literals of a vocabulary in one struct, so that each stands in a plan once."""
-    vocab = vocabulary(path)
+def _maps(entries: DataFrame, buckets: int) -> Column:
+    """(key, value) rows of a bounded table -> one literal value: an array of small maps.
+
+    A look-up in one large map scans all its entries. The value comes as a scalar subquery, which
+    goes along with the tasks as bytes instead of as written text.
+    """
+    grouped = entries.groupBy(_place(F.col("key"), buckets).alias("at")).agg(F.collect_list(F.struct("key", "value")).alias("entries"))
+    every = entries.sparkSession.range(buckets).select(F.col("id").cast("int").alias("at")).join(grouped, "at", "left")
+    none = F.expr("cast(array() as array<struct<key:string,value:string>>)")
+    ordered = F.array_sort(F.collect_list(F.struct("at", F.coalesce("entries", none).alias("entries"))))
+    return every.agg(F.transform(ordered, lambda x: F.map_from_entries(x["entries"])).alias("maps")).scalar()
+
+
+def with_tables(rows: DataFrame, path: str, use, name: str, **more: Column) -> DataFrame:
+    """Adds column `name`, use(tables of the vocabulary), to rows.
+
+    Higher-order functions take no subquery as written; a column that is used once is one to them.
+    """
+    vocab, spark = vocabulary(path), rows.sparkSession
     size = max(vocab.ranks.values()) + 1
     pieces = [""] * size
     for token, rank in vocab.ranks.items():
         pieces[rank] = token.hex()
+    whole = [(t.decode("latin-1"), char(r)) for t, r in vocab.ranks.items() if len(t) > 1]
+    more["pairs"] = _maps(spark.createDataFrame(list(vocab.pairs.items()), "key string, value string"), _BUCKETS)
+    more["whole"] = _maps(spark.createDataFrame(whole, "key string, value string"), _BUCKETS)
     texts = lambda values: F.from_json(F.lit(json.dumps(values)), "array<string>")
-    return F.struct(
-        _literal(vocab.pairs, "string").alias("pairs"),
-        _literal({t.decode("latin-1"): char(r) for t, r in vocab.ranks.items() if len(t) > 1}, "string").alias("whole"),
+    t = F.struct(
         F.lit("".join(char(vocab.ranks[bytes([i])]) for i in range(256))).alias("bytes"),
         texts([i.to_bytes(4, "little").hex() for i in range(size)]).alias("codes"),
         texts(pieces).alias("pieces"),
-        *[column.alias(name) for name, column in more.items()],
+        *[F.col(f"bpe_{field}").alias(field) for field in more],
     )
+    return rows.withColumns({f"bpe_{field}": value for field, value in more.items()}).select(*rows.columns, let(t, use).alias(name))
 
 
 def let(value: Column, use) -> Column:
@@ -191,12 +196,8 @@ def frequent_words(docs: DataFrame, path: str, most: int, buckets: int) -> Colum
     levels = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("so_far", F.sum("words").over(steps))
     least = levels.where(F.col("so_far") <= most).agg(F.min("n")).first()[0]
     chosen = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
-    coded = pin(chosen.select("word", let(tables(path), lambda t: _coded(F.col("word"), t)).alias("code")))
-    entries = coded.groupBy(_place(F.col("word"), buckets).alias("at")).agg(F.collect_list(F.struct("word", "code")).alias("entries"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("at")).join(entries, "at", "left")
-    none = F.expr("cast(array() as array<struct<word:string,code:string>>)")
-    ordered = F.array_sort(F.collect_list(F.struct("at", F.coalesce("entries", none).alias("entries"))))
-    return every.agg(F.transform(ordered, lambda x: F.map_from_entries(x["entries"])).alias("maps")).scalar()
+    coded = pin(with_tables(chosen.select(F.col("word").alias("key")), path, lambda t: _coded(F.col("key"), t), "value"))
+    return _maps(coded, buckets)
 
 
 def tokenize(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
@@ -210,11 +211,9 @@ def tokenize(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     buckets = max(1, frequent // 4)
     known = frequent_words(docs, path, frequent, buckets)
     coded = lambda t: F.transform(words(F.col("text")), lambda w: F.coalesce(_find(t["known"], w, buckets), _coded(w, t)))
-    # Higher-order functions take no subquery as written; a column that is used once is one to them.
-    each = let(tables(path, known=F.col("known_words")), coded)
-    kept = docs.drop("n_tokens", "ids_hex", "decoded", "coded", "known_words")
+    kept = docs.drop("n_tokens", "ids_hex", "decoded", "coded", "bpe_known", "bpe_pairs", "bpe_whole")
     joined = lambda part: F.array_join(F.transform(F.col("coded"), lambda c: F.substring_index(c, "|", part)), "")
-    rows = kept.withColumn("known_words", known).select(*kept.columns, each.alias("coded")).select(*kept.columns, joined(1).alias("ids_hex"), F.unhex(joined(-1)).alias("decoded"))
+    rows = with_tables(kept, path, coded, "coded", known=known).select(*kept.columns, joined(1).alias("ids_hex"), F.unhex(joined(-1)).alias("decoded"))
     return rows.withColumn("n_tokens", (F.length("ids_hex") / 8).cast("long"))
 
 
