@@ -8,7 +8,6 @@ least entry of the rank map among its neighbouring characters.
 from __future__ import annotations
 
 import base64
-import json
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -37,35 +36,43 @@ def char(token: int) -> str:
 @dataclass(frozen=True)
 class Vocabulary:
     ranks: dict[bytes, int]
-    pairs: dict[str, str]  # two token characters -> merged character, then a mark if one at a time
+    pairs: dict[str, str]  # two token characters -> merged character, a mark if one at a time, the two
 
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    """Reads a rank file: base64 of a token's bytes and its rank on each line."""
+    """Reads a rank file: base64 of a token's bytes and its rank on each line.
+
+    Merges inside a token's bytes go the same way alone as within a word, so of all the pairs that
+    spell a token only the one its own bytes come to last is ever merged; only that is kept.
+    """
     with Path(path).open("rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
     if len(ranks) > MOST or max(ranks.values()) >= MOST or any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError(f"a vocabulary needs all single bytes and ranks under {MOST}")
-    pairs, late = {}, set()
+    pairs = {}
     for token, rank in ranks.items():
-        for i in range(1, len(token)):
-            left, right = ranks.get(token[:i]), ranks.get(token[i:])
-            if left is None or right is None:
-                continue
-            pairs[char(left) + char(right)] = rank
-            # A part of later rank than the whole: joining it can bring a pair that goes first.
-            late |= {x for x in (left, right) if x > rank}
-    merged = {pair: char(rank) + ("!" if rank in late else "") for pair, rank in pairs.items()}
-    return Vocabulary(ranks, merged)
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            joins = [ranks.get(a + b, MOST) for a, b in zip(parts, parts[1:])]
+            at = joins.index(min(joins))
+            if joins[at] == MOST:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
+            # Joining it can bring a pair that goes first if a part has a later rank than the whole.
+            mark = "!" if max(ranks[x] for x in parts) > rank else ""
+            pair = char(ranks[parts[0]]) + char(ranks[parts[1]])
+            pairs[pair] = char(rank) + mark + pair
+    return Vocabulary(ranks, pairs)
 
 
 def _place(key: Column, buckets: int) -> Column:
-    return (F.crc32(key.cast("binary")) % buckets).cast("int")
+    return F.pmod(F.hash(key), F.lit(buckets))
 
 
 def _find(maps: Column, key: Column, buckets: int = _BUCKETS) -> Column:
-    return F.try_element_at(F.element_at(maps, _place(key, buckets) + 1), key)
+    return F.try_element_at(F.get(maps, _place(key, buckets)), key)
 
 
 def _maps(entries: DataFrame, buckets: int) -> Column:
@@ -81,6 +88,13 @@ def _maps(entries: DataFrame, buckets: int) -> Column:
     return every.agg(F.transform(ordered, lambda x: F.map_from_entries(x["entries"])).alias("maps")).scalar()
 
 
+def _list(spark: SparkSession, values: list[str]) -> Column:
+    """A bounded list of texts -> one value, an array in the same order, as a scalar subquery."""
+    entries = spark.createDataFrame(list(enumerate(values)), "at int, value string")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "value")))
+    return entries.agg(F.transform(ordered, lambda x: x["value"]).alias("list")).scalar()
+
+
 def with_tables(rows: DataFrame, path: str, use, name: str, **more: Column) -> DataFrame:
     """Adds column `name`, use(tables of the vocabulary), to rows.
 
@@ -94,11 +108,10 @@ def with_tables(rows: DataFrame, path: str, use, name: str, **more: Column) -> D
     whole = [(t.decode("latin-1"), char(r)) for t, r in vocab.ranks.items() if len(t) > 1]
     more["pairs"] = _maps(spark.createDataFrame(list(vocab.pairs.items()), "key string, value string"), _BUCKETS)
     more["whole"] = _maps(spark.createDataFrame(whole, "key string, value string"), _BUCKETS)
-    texts = lambda values: F.from_json(F.lit(json.dumps(values)), "array<string>")
+    more["codes"] = _list(spark, [i.to_bytes(4, "little").hex() for i in range(size)])
+    more["pieces"] = _list(spark, pieces)
     t = F.struct(
         F.lit("".join(char(vocab.ranks[bytes([i])]) for i in range(256))).alias("bytes"),
-        texts([i.to_bytes(4, "little").hex() for i in range(size)]).alias("codes"),
-        texts(pieces).alias("pieces"),
         *[F.col(f"bpe_{field}").alias(field) for field in more],
     )
     return rows.withColumns({f"bpe_{field}": value for field, value in more.items()}).select(*rows.columns, let(t, use).alias(name))
@@ -124,13 +137,11 @@ def _by_pair(start: Column, pairs: Column) -> Column:
     """
     def step(state, _):
         now = state["now"]
-        chars = F.split(now, "")
-        n = F.size(chars) - 1
-        joined = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b))
-        best = F.array_min(F.transform(joined, lambda p: F.concat(_find(pairs, p), F.lit(" "), p)))
+        places = F.sequence(F.lit(1), F.length(now) - 1)
+        best = F.array_min(F.transform(places, lambda i: _find(pairs, F.substring(now, i, F.lit(2)))))
 
         def go(best):
-            pair, to = F.substring_index(best, " ", -1), F.substring(best, 1, 1)
+            pair, to = F.substring(best, -2, 2), F.substring(best, 1, 1)
             first = F.instr(now, pair)
             once = F.concat(F.substring(now, F.lit(1), first - 1), to, F.substring(now, first + 2, F.length(now)))
             after = F.when(F.substring(best, 2, 1) == "!", once).otherwise(F.replace(now, pair, to))
@@ -211,7 +222,7 @@ def tokenize(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     buckets = max(1, frequent // 4)
     known = frequent_words(docs, path, frequent, buckets)
     coded = lambda t: F.transform(words(F.col("text")), lambda w: F.coalesce(_find(t["known"], w, buckets), _coded(w, t)))
-    kept = docs.drop("n_tokens", "ids_hex", "decoded", "coded", "bpe_known", "bpe_pairs", "bpe_whole")
+    kept = docs.drop("n_tokens", "ids_hex", "decoded", "coded", *(f"bpe_{x}" for x in ("known", "pairs", "whole", "codes", "pieces")))
     joined = lambda part: F.array_join(F.transform(F.col("coded"), lambda c: F.substring_index(c, "|", part)), "")
     rows = with_tables(kept, path, coded, "coded", known=known).select(*kept.columns, joined(1).alias("ids_hex"), F.unhex(joined(-1)).alias("decoded"))
     return rows.withColumn("n_tokens", (F.length("ids_hex") / 8).cast("long"))
