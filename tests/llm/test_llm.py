@@ -202,7 +202,9 @@ def test_secrets(spark):
     assert again.where("size(spans) > 0").count() == found.where("size(spans) > 0").count() + 1
 
 
-def test_search(docs, empty):
+@pytest.mark.parametrize("shard", [search.SHARD, 3])
+def test_search(docs, empty, monkeypatch, shard):
+    monkeypatch.setattr(search, "SHARD", shard)  # with 3, best scores go on over many shards
     words = [Counter(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in ROWS]
     n, average = len(ROWS), sum(sum(w.values()) for w in words) / len(ROWS)
     df = Counter(x for w in words for x in w)
