@@ -23,7 +23,7 @@ FILE = "byte_bpe_multi_50k.tiktoken"
 MOST = 63_000
 #: Words whose encoding is looked up instead of folded where they occur: a bound for the table that
 #: goes to all tasks (about 60 bytes a word), not for the result.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 _BUCKETS = 1 << 16
 _OFFSET, _GAP = 0x100, 0xD800
 
