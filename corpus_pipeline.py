@@ -58,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, number and digest of the token ids, digest of the decoded bytes."""
     done = tokenize(docs.select("doc_id", "source", "text"), public_tokenizers.path(FILE))
     return done.select(
-        "doc_id", "source", "n_tokens", F.sha2(F.unhex("ids_hex"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 

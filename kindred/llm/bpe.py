@@ -78,12 +78,15 @@ def _find(maps: Column, key: Column, buckets: int = _BUCKETS) -> Column:
 def _maps(entries: DataFrame, buckets: int) -> Column:
     """(key, value) rows of a bounded table -> one literal value: an array of small maps.
 
-    A look-up in one large map scans all its entries. The value comes as a scalar subquery, which
+    A look-up in one large map scans all its entries; in a small one it ends at the key, so keys of
+    a large `n`, where the table has it, come first. The value comes as a scalar subquery, which
     goes along with the tasks as bytes instead of as written text.
     """
-    grouped = entries.groupBy(_place(F.col("key"), buckets).alias("at")).agg(F.collect_list(F.struct("key", "value")).alias("entries"))
+    first = [(-F.col("n")).alias("n")] if "n" in entries.columns else []
+    inside = F.transform(F.array_sort(F.collect_list(F.struct(*first, "key", "value"))), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    grouped = entries.groupBy(_place(F.col("key"), buckets).alias("at")).agg(inside.alias("entries"))
     every = entries.sparkSession.range(buckets).select(F.col("id").cast("int").alias("at")).join(grouped, "at", "left")
-    none = F.expr("cast(array() as array<struct<key:string,value:string>>)")
+    none = F.array().cast(grouped.schema["entries"].dataType)
     ordered = F.array_sort(F.collect_list(F.struct("at", F.coalesce("entries", none).alias("entries"))))
     return every.agg(F.transform(ordered, lambda x: F.map_from_entries(x["entries"])).alias("maps")).scalar()
 
@@ -104,11 +107,11 @@ def with_tables(rows: DataFrame, path: str, use, name: str, **more: Column) -> D
     size = max(vocab.ranks.values()) + 1
     pieces = [""] * size
     for token, rank in vocab.ranks.items():
-        pieces[rank] = token.hex()
+        pieces[rank] = token.decode("latin-1")
     whole = [(t.decode("latin-1"), char(r)) for t, r in vocab.ranks.items() if len(t) > 1]
     more["pairs"] = _maps(spark.createDataFrame(list(vocab.pairs.items()), "key string, value string"), _BUCKETS)
     more["whole"] = _maps(spark.createDataFrame(whole, "key string, value string"), _BUCKETS)
-    more["codes"] = _list(spark, [i.to_bytes(4, "little").hex() for i in range(size)])
+    more["codes"] = _list(spark, [i.to_bytes(4, "little").decode("latin-1") for i in range(size)])
     more["pieces"] = _list(spark, pieces)
     t = F.struct(
         F.lit("".join(char(vocab.ranks[bytes([i])]) for i in range(256))).alias("bytes"),
@@ -181,18 +184,18 @@ def encode(word: Column, t: Column) -> Column:
 
 
 def decode(ids: Column, t: Column) -> Column:
-    """Hex of the bytes of the tokens of an array of ids, concatenated."""
+    """The bytes of the tokens of an array of ids, concatenated; a character a byte."""
     return F.array_join(F.transform(ids, lambda i: F.element_at(t["pieces"], i + 1)), "")
 
 
 def packed(ids: Column, t: Column) -> Column:
-    """Hex of ids as little-endian unsigned 32-bit integers."""
+    """Ids as little-endian unsigned 32-bit integers; a character a byte."""
     return F.array_join(F.transform(ids, lambda i: F.element_at(t["codes"], i + 1)), "")
 
 
 def _coded(word: Column, t: Column) -> Column:
-    """Hex of a word's ids, a bar, and hex of the bytes decoded from them."""
-    return let(encode(word, t), lambda ids: F.concat(packed(ids, t), F.lit("|"), decode(ids, t)))
+    """A word's ids and the bytes decoded from them, a character a byte."""
+    return let(encode(word, t), lambda ids: F.struct(packed(ids, t).alias("ids"), decode(ids, t).alias("bytes")))
 
 
 def frequent_words(docs: DataFrame, path: str, most: int, buckets: int) -> Column:
@@ -207,29 +210,29 @@ def frequent_words(docs: DataFrame, path: str, most: int, buckets: int) -> Colum
     levels = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("so_far", F.sum("words").over(steps))
     least = levels.where(F.col("so_far") <= most).agg(F.min("n")).first()[0]
     chosen = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
-    coded = pin(with_tables(chosen.select(F.col("word").alias("key")), path, lambda t: _coded(F.col("key"), t), "value"))
+    coded = pin(with_tables(chosen.select(F.col("word").alias("key"), "n"), path, lambda t: _coded(F.col("key"), t), "value"))
     return _maps(coded, buckets)
 
 
 def tokenize(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
-    """The columns of `docs` with n_tokens, ids_hex and decoded for each whole text.
+    """The columns of `docs` with n_tokens, ids and decoded for each whole text.
 
     Every match of the pattern is encoded on its own. The distinct words are counted and the most
     frequent, a fixed number, are encoded once and looked up; all other words are folded where they
-    stand, so nothing is exploded or shuffled for the encoding itself. ids_hex has 8 digits a
+    stand, so nothing is exploded or shuffled for the encoding itself. ids is binary, 4 bytes a
     token. Null texts are empty: no tokens, no bytes. Columns of these names in `docs` are replaced.
     """
     buckets = max(1, frequent // 4)
     known = frequent_words(docs, path, frequent, buckets)
     coded = lambda t: F.transform(words(F.col("text")), lambda w: F.coalesce(_find(t["known"], w, buckets), _coded(w, t)))
-    kept = docs.drop("n_tokens", "ids_hex", "decoded", "coded", *(f"bpe_{x}" for x in ("known", "pairs", "whole", "codes", "pieces")))
-    joined = lambda part: F.array_join(F.transform(F.col("coded"), lambda c: F.substring_index(c, "|", part)), "")
-    rows = with_tables(kept, path, coded, "coded", known=known).select(*kept.columns, joined(1).alias("ids_hex"), F.unhex(joined(-1)).alias("decoded"))
-    return rows.withColumn("n_tokens", (F.length("ids_hex") / 8).cast("long"))
+    kept = docs.drop("n_tokens", "ids", "decoded", "coded", *(f"bpe_{x}" for x in ("known", "pairs", "whole", "codes", "pieces")))
+    joined = lambda part: F.encode(F.array_join(F.col("coded")[part], ""), "ISO-8859-1")
+    rows = with_tables(kept, path, coded, "coded", known=known).select(*kept.columns, joined("ids").alias("ids"), joined("bytes").alias("decoded"))
+    return rows.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(FILE))
     return done.select(
-        "doc_id", "n_tokens", F.sha2(F.unhex("ids_hex"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
