@@ -223,6 +223,15 @@ def test_search(docs, empty, monkeypatch, shard):
     assert search.search(empty, queries).count() == 0
 
 
+def test_search_ties_by_id(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD", 4)
+    rows = [(i, "same words here") for i in range(40, 0, -1)] + [(None, "same words here"), (50, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    queries = docs.where("doc_id in (7, 50)").selectExpr("doc_id query_id", "text")
+    got = [(r.query_id, r.place, r.doc_id) for r in search.search(docs, queries, 5).orderBy("query_id", "place").collect()]
+    assert got == [(7, p, p) for p in range(1, 6)] + [(50, 1, 50)]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
