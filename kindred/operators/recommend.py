@@ -211,18 +211,17 @@ def prompts(
     history: DataFrame,
     catalog: DataFrame,
     template: str = PROMPT_TEMPLATE,
-    max_history: int = MAX_INTERACTIONS,
 ) -> DataFrame:
     """(request_id, item_id, prompt) for an external scorer.
 
-    ``history`` is (request_id, pos, item_id, value); the request contract bounds it.
+    ``history`` is (request_id, pos, item_id, value) and goes in whole: sessions are bounded by
+    the request contract (`request_status`), known users by what they did.
     """
     columns = [c for c in catalog.columns if c != "item_id"]
     record = catalog.select("item_id", F.struct(*columns).alias("metadata"))
     line = F.struct("pos", F.to_json(F.struct("item_id", "value", "metadata")).alias("j"))
     lines = (
-        history.where(F.col("pos") <= max_history)
-        .join(record, "item_id", "left")
+        history.join(record, "item_id", "left")
         .groupBy("request_id")
         .agg(F.array_sort(F.collect_list(line)).alias("lines"))
         .select("request_id", F.concat(
