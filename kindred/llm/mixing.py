@@ -76,7 +76,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = "mix") ->
     placed = pin(placed)
 
     def finish(turn):
-        return (turn * F.col("source_size") + F.col("up_to")) / F.col("target")
+        # Null for sources without words: this is evaluated before their rows are left out.
+        return F.try_divide(turn * F.col("source_size") + F.col("up_to"), F.col("target"))
 
     slots = max(64, -(-n * cap // ROWS))
     offers = (

@@ -96,6 +96,17 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_source_without_words(spark):
+    """A source of empty and null texts only takes nothing; the others take what they take without it."""
+    rows = [(i, prose(5 + 7 * i), "en", f"t{i % 2}", 1) for i in range(8)]
+    bare = [(20, None, "en", "v", 0), (21, "", "en", "v", 0), (22, " \n\t", "en", None, 0)]
+    take = lambda data: {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in mixing.mix(spark.createDataFrame(data, SCHEMA)).collect()}
+    got = take(rows + bare)
+    assert got == take(rows) | {r[0]: (0, 0, 0.0, 0) for r in bare}
+    assert sum(x[3] for x in got.values()) > 0
+    assert take(bare) == {r[0]: (0, 0, 0.0, 0) for r in bare}
+
+
 def test_suffix_array_and_windows():
     for _ in range(60):
         k = RNG.choice([1, 2, 3, 200])
