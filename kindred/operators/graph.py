@@ -65,7 +65,7 @@ def graph_vectors(
     edges: DataFrame,
     n_items: int,
     dim: int = 32,
-    iterations: int = 30,
+    iterations: int = 1000,
     width: int = 128,
     seed: int = 42,
     tolerance: float = 1e-6,
@@ -75,7 +75,9 @@ def graph_vectors(
     Subspace iteration: with Y = G Q written once per round, Y'Y is a width x width matrix, the only
     thing the driver sees; its spectrum gives the squared singular values and the next orthonormal
     Q = Y S. Up to ``width`` items the first round is exact; beyond, the surplus over ``dim``
-    speeds convergence. Items without edges have zero vectors and are left out.
+    speeds convergence, and rounds go on until no singular value moves by more than ``tolerance`` of
+    the largest; an error says so if ``iterations`` rounds were not enough. Items without edges have
+    zero vectors and are left out.
     """
     edges = pin(edges)
     nodes = edges.select("item").distinct()
@@ -92,14 +94,17 @@ def graph_vectors(
         squares, rotation = np.linalg.eigh(small_gram(image, wide))
         best = np.argsort(-squares, kind="stable")[:take]
         fresh = np.sqrt(np.maximum(squares[best], 0.0))
-        settled = np.max(np.abs(fresh - sigma)) <= tolerance * max(fresh[0], 1e-300)
+        moved = np.max(np.abs(fresh - sigma)) / max(fresh[0], 1e-300)
         sigma = fresh
         factors = small @ (rotation[:, best] * np.sqrt(sigma))
-        if settled or wide == found:
-            break
+        if moved <= tolerance or wide == found:
+            return _times(y, factors)
         release(y)
         y, small = image, _whitening((rotation * squares) @ rotation.T)
-    return _times(y, factors)
+    raise RuntimeError(
+        f"spectrum not settled after {max(1, iterations)} rounds: a singular value still moves by "
+        f"{moved:.1e} of the largest, tolerance {tolerance:.1e}"
+    )
 
 
 def _whitening(gram: np.ndarray) -> np.ndarray:

@@ -162,8 +162,9 @@ def fit_lambdamart(
         steps = (
             scored.select("request_id", "item_id", "score", "label")
             .groupBy("request_id").applyInPandas(group, schema)
-            .where(F.col("h") > 1e-12)
-            .withColumn("target", F.col("g") / F.col("h"))
+            # Rows that nothing pulls at count for splits and min_rows, with weight 0.
+            .withColumn("h", F.when(F.col("h") > 1e-12, F.col("h")).otherwise(0.0))
+            .withColumn("target", F.coalesce(F.try_divide("g", "h"), F.lit(0.0)))
         )
         data = pin(current.join(steps, ["request_id", "item_id"]).select(*names, "target", "h"))
         learner = DecisionTreeRegressor(

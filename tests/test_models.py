@@ -238,6 +238,23 @@ def test_trees_load_and_score(spark):
         ranker.fit_lambdamart(df.withColumn("label", F.lit(0)), ["a", "b"])
 
 
+def test_trees_count_rows_of_pools_with_one_label(spark):
+    """Request 1 has only one label: its rows count for ``min_rows`` and weigh nothing."""
+    own = [(0, i, float(i), int(i >= 2)) for i in range(4)]
+    other = [(1, i, float(i), 0) for i in range(4)]
+    kind = "request_id long, item_id long, a double, label int"
+
+    def tree(rows):
+        return ranker.fit_lambdamart(
+            spark.createDataFrame(rows, kind), ["a"], rounds=1, depth=1, min_rows=4)["trees"][0]
+
+    alone, both = tree(own), tree(own + other)
+    assert "value" in alone and both["feature"] == 0 and 1 <= both["threshold"] < 2
+    assert both["left"]["value"] < 0 < both["right"]["value"]
+    same = [(g, i, float(i), g) for g in range(2) for i in range(4)]
+    assert tree(same) == {"value": 0.0}
+
+
 def test_learned_serving_is_exact(small_prepared):
     """Same top k as scoring the features of every unseen item."""
     model = fit_hybrid(small_prepared, ["popularity", "itemknn"], "learned",

@@ -96,6 +96,15 @@ def test_graph_vectors_match_numpy(spark):
     assert np.abs(e @ e.T - want).max() < 1e-3 * np.abs(want).max()
 
 
+def test_graph_vectors_raise_when_not_settled(spark):
+    """A path: its singular values lie close together, so that few rounds are not enough."""
+    n = 60
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n],
+                                  "item long, other long, weight double")
+    with pytest.raises(RuntimeError, match="not settled after 3 rounds"):
+        graph_vectors(edges, n, 2, iterations=3, width=4)
+
+
 # ------------------------------------------------------------------ dense reference for fusion
 
 
