@@ -646,9 +646,7 @@ def lambdamart_top10(spark, sf):
     if key not in views._MODELS:
         data = views.prepared_clicks(spark, sf)
         parts = _hybrid(spark, sf, ("popularity", "itemknn")).components
-        trees = hybrid.fit_learned_fusion(
-            data, list(parts), HISTORY, {"rounds": 5, "candidate_pool_size": 20}, 42
-        )
+        trees = hybrid.fit_learned_fusion(data, list(parts), HISTORY, {}, 42)
         views._MODELS[key] = FittedModel(
             "hybrid", "hybrid", (HISTORY,), {}, {"fusion": "learned", "trees": trees}, parts
         )
@@ -679,17 +677,17 @@ def pair_samples(spark, sf):
 
 @query
 def bpr_top10(spark, sf):
-    return _trained(spark, sf, "bpr", embedding_dim=16, steps=4, batch_size=8192)
+    return _trained(spark, sf, "bpr", embedding_dim=16, batch_size=8192)
 
 
 @query
 def lightgcn_top10(spark, sf):
-    return _trained(spark, sf, "lightgcn", embedding_dim=16, steps=2, batch_size=8192)
+    return _trained(spark, sf, "lightgcn", embedding_dim=16, batch_size=8192)
 
 
 @query
 def two_tower_top10(spark, sf):
-    return _trained(spark, sf, "two_tower", embedding_dim=8, steps=3, batch_size=8192)
+    return _trained(spark, sf, "two_tower", embedding_dim=8, batch_size=8192)
 
 
 @query

@@ -221,6 +221,33 @@ def test_training_lowers_the_loss(small_prepared):
     assert score(12) > score(1)
 
 
+@pytest.mark.parametrize("name", ["bpr", "lightgcn", "two_tower"])
+def test_registered_training_grows_with_the_data(monkeypatch, name):
+    from catalog import queries, views
+    from kindred.operators.training import Training
+
+    seen = {}
+    monkeypatch.setattr(views, "model", lambda spark, sf, view, name, **params: seen.update(params))
+    monkeypatch.setattr(queries, "_recommend", lambda *a: None)
+    monkeypatch.setattr(queries, "_topk", lambda df: df)
+    queries.QUERIES[f"{name}_top10"](None, "")
+    assert Training.of(seen).steps(seen, 100 * 8192) == 100
+
+
+def test_registered_fusion_is_trained_in_full(monkeypatch, spark):
+    from catalog import queries, views
+
+    asked = []
+    monkeypatch.setattr(views, "_MODELS", {})
+    monkeypatch.setattr(views, "prepared_clicks", lambda *a: None)
+    monkeypatch.setattr(queries, "_hybrid", lambda *a: queries.FittedModel("hybrid", "hybrid", (), {}, {}, ()))
+    monkeypatch.setattr(queries.hybrid, "fit_learned_fusion", lambda *a: asked.append(a[3]) or {})
+    monkeypatch.setattr(queries, "_recommend", lambda *a: None)
+    monkeypatch.setattr(queries, "_topk", lambda df: df)
+    queries.lambdamart_top10(spark, "")
+    assert asked[0].get("rounds", 50) >= 50 and asked[0].get("candidate_pool_size", 100) >= 100
+
+
 def test_lambdas_push_positives_up():
     g, h = ranker.lambdas(np.array([0.3, 0.1, 0.2]), np.array([0, 1, 0]))
     assert g[1] > 0 > g[0] and g.sum() == pytest.approx(0) and (h >= 0).all()
