@@ -73,7 +73,8 @@ def read_movielens(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.schema(RATINGS_DAT).option("sep", "::").csv(source)
     else:
         names = {"userId": "user_id", "movieId": "item_id", "rating": "value"}
-        df = read_table(spark, source, "csv").withColumnsRenamed(names)
+        # Ratings are numbers, without line breaks: large files are split.
+        df = read_table(spark, source, "csv", multi_line=False).withColumnsRenamed(names)
     return _finish(df, from_unix_seconds(F.expr("try_cast(timestamp AS double)")), "MovieLens")
 
 

@@ -57,6 +57,18 @@ def test_other_formats_are_errors(spark, tmp_path):
             load_interactions(spark, config)
 
 
+def test_movielens_csv_is_split(spark, tmp_path):
+    rows = "".join(f"{i},{i % 9},3.5,{1000 + i}\n" for i in range(2000))
+    (tmp_path / "ratings.csv").write_text("userId,movieId,rating,timestamp\n" + rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_movielens(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_movielens(spark, tmp_path):
     csv = write(tmp_path / "a/ratings.csv", "userId,movieId,rating,timestamp\n1,2,3.5,1700000000\n")
     row = read_movielens(spark, csv.rsplit("/", 1)[0]).first()
