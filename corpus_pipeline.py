@@ -64,7 +64,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("tokens", tokens)]
 
-#: No SQL: the classifier and the tokens have none. Tested against a brute-force version.
+#: No SQL: the classifier and the tokens have none. A brute-force test of the whole chain is missing.
 ORACLE_SQL = None
 
 
