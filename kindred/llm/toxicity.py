@@ -15,9 +15,9 @@ from kindred.llm.common import table
 from kindred.session import pin, release
 
 #: Bounds of what is fitted on: labelled rows for the learnt lexicons, texts for the classifier.
-LABELLED, SAMPLE = 20_000, 20_000
+LABELLED, SAMPLE = 12_000, 12_000
 #: Stems that the learnt lexicons share, and stems that the classifier weighs.
-LEXICON, STEMS = 64, 1024
+LEXICON, STEMS = 64, 256
 THRESHOLD = 0.5
 #: Share of a text's words from which a stem counts as dense, a mark of its own.
 DENSE = 0.01
@@ -29,10 +29,10 @@ INSULTS = {
     "filth": "trash scum garbage filth vermin disgusting vile repulsive parasite",
     "ridicule": "clown buffoon laughable ridiculous",
 }
-#: Patterns, one voter each.
+#: Patterns, one voter each; those of words look at the text in lower case.
 PATTERNS = {
-    "threat": r"(?i)\b(?:shut up|get lost|drop dead|hate you|kill you|hurt you)\b",
-    "address": r"(?i)\byou(?:'re| are) (?:an? |such |so |all )",
+    "threat": r"\b(?:shut up|get lost|drop dead|hate you|kill you|hurt you)\b",
+    "address": r"\byou(?:'re| are) (?:an? |such |so |all )",
     "shouting": r"(?:\b[A-Z]{3,}\b[^A-Za-z]+){3}",
     "bangs": r"[!?]{3,}",
 }
@@ -41,6 +41,9 @@ NAMES = [*INSULTS, *PATTERNS, *[f"stems{i}" for i in range(LEARNT)]]
 
 _WORD = re.compile(r"[^\W\d_]+")
 _COMPILED = [re.compile(p) for p in PATTERNS.values()]
+#: One of these stands in a text where the pattern matches; most texts hold none.
+_HINTS = [("shut up", "get lost", "drop dead", "e you", "l you", "t you"), ("you",), ("",), ("!!", "??", "!?", "?!")]
+_CAPITALS = re.compile("[A-Z]{3}")
 _FIXED = {word: 1 << i for i, words in enumerate(INSULTS.values()) for word in words.split()}
 
 
@@ -49,55 +52,56 @@ def stems(word: str) -> list[str]:
     return [word[:n] for n in range(3, min(len(word), 7) + 1)] + [word + "$"]
 
 
-def _words(text: str | None) -> Counter[str]:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
 
-def _all_marks(words: Counter[str]) -> set[str]:
+def _all_marks(words: list[str]) -> set[str]:
     """Every stem of a text, and, with a plus, those that make up a share of DENSE of its words."""
     counts: dict[str, int] = {}
-    for word, times in words.items():
+    for word, times in Counter(words).items():
         if len(word) <= 40:
             for stem in stems(word):
                 counts[stem] = counts.get(stem, 0) + times
-    least = DENSE * words.total()
+    least = DENSE * len(words)
     return set(counts) | {stem + "+" for stem, times in counts.items() if times >= least}
 
 
-def _looked_up(marks: dict[str, int]) -> Callable[[Counter[str]], set[int]]:
-    """words -> marks of their stems, as `_all_marks` has them; words are remembered up to a bound."""
-    known: dict[str, list[str]] = {}
+def _looked_up(marks: dict[str, int]) -> Callable[[list[str]], set[int]]:
+    """words -> marks of their stems, as `_all_marks` has them.
+
+    A stem has three letters or is a whole word, so the first three letters of a word rule out most.
+    """
     wanted = {m.removesuffix("+") for m in marks}
+    heads = {m.removesuffix("$")[:3] for m in wanted}
 
-    def of(words: Counter[str]) -> set[int]:
-        if not wanted:
-            return set()
+    def of(words: list[str]) -> set[int]:
         counts: dict[str, int] = {}
-        for word, times in words.items():
-            found = known.get(word)
-            if found is None:
-                if len(known) > 200_000:
-                    known.clear()
-                found = known[word] = [s for s in stems(word) if s in wanted] if len(word) <= 40 else []
-            for stem in found:
-                counts[stem] = counts.get(stem, 0) + times
-        least = DENSE * words.total()
+        for word in words:
+            if word[:3] in heads and len(word) <= 40:
+                for stem in stems(word):
+                    if stem in wanted:
+                        counts[stem] = counts.get(stem, 0) + 1
+        least = DENSE * len(words)
         out = {marks[s] for s in counts if s in marks}
         return out | {marks[s + "+"] for s, times in counts.items() if times >= least and s + "+" in marks}
 
     return of
 
 
-def _vote(text: str | None, words: Counter[str], learnt: Callable[[Counter[str]], set[int]]) -> int:
+def _vote(text: str | None, words: list[str], learnt: Callable[[list[str]], set[int]]) -> int:
     """One bit a voter: 1 if it calls the text toxic, 0 if it abstains."""
     bits = 0
-    for word in words:
-        bits |= _FIXED.get(word, 0)
+    for word in _FIXED.keys() & set(words):
+        bits |= _FIXED[word]
     for bit in learnt(words):
         bits |= bit
-    for i, pattern in enumerate(_COMPILED):
-        if text and pattern.search(text):
-            bits |= 1 << (len(INSULTS) + i)
+    if text:
+        low = text.lower()
+        for i, (pattern, hints) in enumerate(zip(_COMPILED, _HINTS)):
+            seen = low if i < 2 else text
+            if any(h in seen for h in hints) and (i != 2 or _CAPITALS.search(seen)) and pattern.search(seen):
+                bits |= 1 << (len(INSULTS) + i)
     return bits
 
 
@@ -368,7 +372,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, sample:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": batch["text"], "votes": bits, "q": label_model.posterior(_bits(bits))})
 
     texts = pin(texts.mapInPandas(judged, "doc_id long, text string, votes long, q double"))
-    marks = {s: i for i, s in enumerate(_telling(texts, STEMS, -3.0, True))}
+    marks = {s: i for i, s in enumerate(_telling(texts, STEMS, 2.0, True))}
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = _looked_up(marks)
