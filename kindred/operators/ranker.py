@@ -1,19 +1,19 @@
 """Learned fusion: a lambdarank gradient-boosted tree ensemble over component features.
 
-Lambdas are computed per query group (bounded by the candidate pool), trees are grown by Spark ML
-on the Newton target lambda / hessian with the hessian as weight, so that a leaf's weighted mean is
-its Newton value, and scoring is nested CASE expressions inside the plan.
+Lambdas are computed per query group (bounded by the candidate pool) on a table that carries the
+scores from round to round; trees grow from histograms of binned features, one aggregate a level; rows
+are scored in batches of arrays, or by one expression where the ensemble is small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from math import ceil
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,9 @@ from kindred.operators.scoring import (
 from kindred.plans.fitted import ItemSpace, QueryBatch
 from kindred.session import pin, release
 
-TRUNCATION = 30
+TRUNCATION = 30  # ranks that pairs are taken from
+BINS = 255  # a bin fits a byte
+FIXED = 2.0**30  # gradients are added up as integers of this scale
 
 
 def feature_names(views: list[ScoreView]) -> list[str]:
@@ -81,18 +83,6 @@ def fusion_training_set(
 # --------------------------------------------------------------------------- trees
 
 
-def _export(node) -> dict[str, Any]:
-    if node.getClass().getSimpleName() == "LeafNode":
-        return {"value": node.prediction()}
-    split = node.split()
-    return {
-        "feature": split.featureIndex(),
-        "threshold": split.threshold(),
-        "left": _export(node.leftChild()),
-        "right": _export(node.rightChild()),
-    }
-
-
 def tree_column(tree: dict[str, Any], names: list[str]) -> Column:
     """Left when the feature is at most the threshold."""
     if "value" in tree:
@@ -104,14 +94,98 @@ def tree_column(tree: dict[str, Any], names: list[str]) -> Column:
 
 
 def ensemble_column(ensemble: dict[str, Any]) -> Column:
+    """The whole ensemble as one expression; for a handful of trees, as generated code is bounded."""
     total = F.lit(0.0)
     for tree in ensemble["trees"]:
         total = total + F.lit(float(ensemble["rate"])) * tree_column(tree, ensemble["features"])
     return total
 
 
-def lambdas(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lambdarank gradients (ascent direction) and hessians of one group, binary labels."""
+@dataclass
+class FlatTree:
+    """A tree as arrays; node 0 is the root, ``feature`` -1 marks a leaf."""
+
+    feature: list[int] = field(default_factory=lambda: [-1])
+    cut: list[float] = field(default_factory=lambda: [0.0])
+    left: list[int] = field(default_factory=lambda: [0])
+    right: list[int] = field(default_factory=lambda: [0])
+    value: list[float] = field(default_factory=lambda: [0.0])
+
+    def split(self, node: int, feature: int, cut: float) -> tuple[int, int]:
+        made = len(self.feature)
+        self.feature[node], self.cut[node] = feature, cut
+        self.left[node], self.right[node] = made, made + 1
+        for _ in range(2):
+            self.feature.append(-1)
+            self.cut.append(0.0)
+            self.left.append(0)
+            self.right.append(0)
+            self.value.append(0.0)
+        return made, made + 1
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """Node that each row of ``x`` (rows, features) ends in; a missing value goes right."""
+        feature, cut = np.array(self.feature), np.array(self.cut)
+        left, right = np.array(self.left), np.array(self.right)
+        at = np.zeros(len(x), dtype=int)
+        rows = np.arange(len(x))
+        while True:
+            f = feature[at]
+            if (f < 0).all():
+                return at
+            below = x[rows, np.maximum(f, 0)] <= cut[at]
+            at = np.where(f < 0, at, np.where(below, left[at], right[at]))
+
+    def nested(self, edges: list[np.ndarray], node: int = 0) -> dict[str, Any]:
+        """As plain data, with thresholds instead of bins."""
+        f = self.feature[node]
+        if f < 0:
+            return {"value": self.value[node]}
+        return {
+            "feature": f, "threshold": float(edges[f][int(self.cut[node])]),
+            "left": self.nested(edges, self.left[node]), "right": self.nested(edges, self.right[node]),
+        }
+
+
+def flat(tree: dict[str, Any]) -> FlatTree:
+    out = FlatTree()
+    open_ = [(0, tree)]
+    while open_:
+        node, part = open_.pop()
+        if "value" in part:
+            out.value[node] = float(part["value"])
+            continue
+        left, right = out.split(node, int(part["feature"]), float(part["threshold"]))
+        open_ += [(left, part["left"]), (right, part["right"])]
+    return out
+
+
+def ensemble_scores(ensemble: dict[str, Any], columns: list[Column] | None = None) -> Column:
+    """Score of every row, many rows at once; equal to :func:`ensemble_column` for any number of trees."""
+    trees, rate = [flat(t) for t in ensemble["trees"]], float(ensemble["rate"])
+
+    def score(x: pd.Series) -> pd.Series:
+        total = np.zeros(len(x))
+        if len(x):
+            table = np.stack(x.to_numpy()).astype(float)
+            for tree in trees:
+                total = total + rate * np.array(tree.value)[tree.leaves(table)]
+        return pd.Series(total)
+
+    named = [F.col(n).cast("double") for n in ensemble["features"]]
+    return F.pandas_udf(score, "double")(F.array(*(columns or named)))
+
+
+# --------------------------------------------------------------------------- training
+
+
+def lambdas(
+    scores: np.ndarray, labels: np.ndarray, truncation: int = TRUNCATION
+) -> tuple[np.ndarray, np.ndarray]:
+    """Lambdarank gradients (ascent direction) and hessians of one group, binary labels.
+
+    Pairs count where one of the two stands among the first ``truncation``.
+    """
     gradient, hessian = np.zeros(len(scores)), np.zeros(len(scores))
     positives = int(labels.sum())
     if positives == 0 or positives == len(labels):
@@ -120,10 +194,10 @@ def lambdas(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     place = np.empty(len(scores), dtype=int)
     place[order] = np.arange(len(scores))
     discount = 1.0 / np.log2(place + 2.0)
-    ideal = (1.0 / np.log2(np.arange(min(positives, len(scores))) + 2.0)).sum()
+    ideal = (1.0 / np.log2(np.arange(min(positives, truncation)) + 2.0)).sum()
     up, down = np.flatnonzero(labels > 0), np.flatnonzero(labels == 0)
     delta = np.abs(discount[up][:, None] - discount[down][None, :]) / ideal
-    near = (place[up][:, None] < TRUNCATION) | (place[down][None, :] < TRUNCATION)
+    near = (place[up][:, None] < truncation) | (place[down][None, :] < truncation)
     miss = 1.0 / (1.0 + np.exp(scores[up][:, None] - scores[down][None, :]))
     pull, curve = miss * delta * near, miss * (1 - miss) * delta * near
     gradient[up], gradient[down] = pull.sum(axis=1), -pull.sum(axis=0)
@@ -131,6 +205,166 @@ def lambdas(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return gradient, hessian
 
 
+def bin_edges(rows: DataFrame, names: list[str], bins: int = BINS) -> list[np.ndarray]:
+    """Upper bounds of each feature's bins but the last one, at most ``bins`` of them.
+
+    A feature with few values gets a bound between any two neighbours, others get quantiles.
+    """
+    values = rows.select(F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("f", "v")).where(
+        F.col("v").isNotNull() & ~F.isnan("v")
+    )
+    distinct = pin(values.distinct())
+    counts = {r["f"]: r["n"] for r in distinct.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = [f for f, n in counts.items() if n <= bins + 1]
+    edges = [np.empty(0) for _ in names]
+    listed: dict[int, list[float]] = {f: [] for f in few}
+    for f, v in distinct.where(F.col("f").isin(few)).collect():  # at most names * (bins + 1) values
+        listed[f].append(v)
+    for f, v in listed.items():
+        v = np.sort(v)
+        edges[f] = np.maximum((v[:-1] + v[1:]) / 2, v[:-1])
+    if len(few) < len(counts):
+        shares = [(i + 1) / (bins + 1) for i in range(bins)]
+        wide = values.where(~F.col("f").isin(few)).groupBy("f").agg(F.percentile_approx("v", shares, 100_000).alias("q"))
+        for f, q in wide.collect():
+            edges[f] = np.unique(q)
+    release(distinct)
+    return edges
+
+
+_STATE = "codes binary, label binary, score binary, g binary, h binary"
+_HISTOGRAM = "node int, feature int, bin int, g bigint, h bigint, n bigint"
+
+
+def _packed(rows: DataFrame, names: list[str], edges: list[np.ndarray]) -> DataFrame:
+    """One row a request: bins of its items' features, labels, scores of 0. A pool bounds a request."""
+    x = F.array(*[F.col(n).cast("double") for n in names])
+    listed = F.array_sort(F.collect_list(F.struct("item_id", F.col("label").cast("int").alias("label"), x.alias("x"))))
+    packed = rows.groupBy("request_id").agg(listed.alias("t")).select(
+        F.transform("t", lambda r: r["label"]).alias("label"),
+        F.flatten(F.transform("t", lambda r: r["x"])).alias("x"),
+    )
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for label, flat_x in zip(frame["label"], frame["x"]):
+                label = np.asarray(label, dtype=np.uint8)
+                table = np.asarray(flat_x, dtype=float).reshape(len(label), len(edges))
+                # Bin b holds values up to edge b; a missing one sorts last.
+                codes = np.stack([np.searchsorted(e, table[:, f]) for f, e in enumerate(edges)], axis=1)
+                zeros = np.zeros(len(label)).tobytes()
+                out.append((codes.astype(np.uint8).tobytes(), label.tobytes(), zeros, b"", b""))
+            yield pd.DataFrame(out, columns=["codes", "label", "score", "g", "h"])
+
+    return packed.mapInPandas(pack, _STATE)
+
+
+def _codes(raw: bytes, features: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(-1, features)
+
+
+def _advance(state: DataFrame, tree: FlatTree | None, features: int, rate: float, truncation: int) -> DataFrame:
+    """Scores with the last tree added, and the gradients at them in fixed point, so that sums are exact."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for codes, label, score in zip(frame["codes"], frame["label"], frame["score"]):
+                now = np.frombuffer(score)
+                if tree is not None:
+                    now = now + rate * np.array(tree.value)[tree.leaves(_codes(codes, features))]
+                g, h = lambdas(now, np.frombuffer(label, np.uint8).astype(int), truncation)
+                fixed = [np.rint(v * FIXED).astype(np.int64).tobytes() for v in (g, h)]
+                out.append((codes, label, now.tobytes(), *fixed))
+            yield pd.DataFrame(out, columns=["codes", "label", "score", "g", "h"])
+
+    return state.mapInPandas(run, _STATE)
+
+
+def _histogram(state: DataFrame, tree: FlatTree, nodes: list[int], features: int) -> np.ndarray:
+    """(node, feature, bin, [g, h, n]) sums of the rows in the given leaves, exact integers.
+
+    Every task adds up its rows first; nodes x features x bins cells come to the driver.
+    """
+    slot = np.full(len(tree.feature), -1)
+    slot[nodes] = np.arange(len(nodes))
+    shape = (len(nodes), features, BINS + 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((3, int(np.prod(shape))), dtype=np.int64)
+        for frame in frames:
+            if not len(frame):
+                continue
+            codes = _codes(b"".join(frame["codes"]), features)
+            own = slot[tree.leaves(codes)]
+            g, h = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("g", "h"))
+            codes, g, h, own = codes[own >= 0], g[own >= 0], h[own >= 0], own[own >= 0]
+            for f in range(features):
+                cell = (own * features + f) * (BINS + 1) + codes[:, f]
+                for at, v in enumerate((g, h, 1)):
+                    np.add.at(sums[at], cell, v)
+        cell = np.flatnonzero(sums[2])
+        node, feature, bin_ = np.unravel_index(cell, shape)
+        yield pd.DataFrame({
+            "node": node.astype(np.int32), "feature": feature.astype(np.int32), "bin": bin_.astype(np.int32),
+            "g": sums[0][cell], "h": sums[1][cell], "n": sums[2][cell],
+        })
+
+    cells = state.mapInPandas(run, _HISTOGRAM).groupBy("node", "feature", "bin").agg(
+        *[F.sum(c).alias(c) for c in ("g", "h", "n")]
+    )
+    out = np.zeros((*shape, 3), dtype=np.int64)
+    for r in cells.collect():
+        out[r["node"], r["feature"], r["bin"]] = r["g"], r["h"], r["n"]
+    return out
+
+
+def _best_split(cells: np.ndarray, edges: list[np.ndarray], min_rows: int, min_hessian: float):
+    """(gain, feature, bin, left sums, right sums) of one node, or None; the first of equal gains."""
+    total = cells[0].sum(axis=0)
+
+    def worth(g, h):
+        return np.where(h > 0, g * g / np.maximum(h, 1e-300), 0.0)
+
+    best = None
+    for f, e in enumerate(edges):
+        left = np.cumsum(cells[f], axis=0)[: len(e)]
+        right = total - left
+        g, h = left[:, 0] / FIXED, left[:, 1] / FIXED
+        G, H = right[:, 0] / FIXED, right[:, 1] / FIXED
+        gain = worth(g, h) + worth(G, H) - worth(total[0] / FIXED, total[1] / FIXED)
+        fits = (left[:, 2] >= min_rows) & (right[:, 2] >= min_rows) & (h >= min_hessian) & (H >= min_hessian)
+        gain = np.where(fits, gain, -np.inf)
+        if len(e) and gain.max() > 1e-12 and (best is None or gain.max() > best[0]):
+            b = int(np.argmax(gain))
+            best = (float(gain[b]), f, b, left[b], right[b])
+    return best
+
+
+def _grow(
+    state: DataFrame, edges: list[np.ndarray], depth: int, leaves: int, min_rows: int, min_hessian: float
+) -> FlatTree:
+    """One tree, a level at a time: one aggregate a level, splits by gain while leaves are left."""
+    tree, frontier = FlatTree(), [0]
+    for level in range(max(1, depth)):
+        cells = _histogram(state, tree, frontier, len(edges))
+        if level == 0:
+            g, h, _ = cells[0][0].sum(axis=0)
+            tree.value[0] = float(g / h) if h > 0 else 0.0
+        found = [(node, _best_split(c, edges, min_rows, min_hessian)) for node, c in zip(frontier, cells)]
+        found = sorted(((n, s) for n, s in found if s is not None), key=lambda x: (-x[1][0], x[0]))
+        room = leaves - sum(f < 0 for f in tree.feature)
+        frontier = []
+        for node, (_, feature, bin_, *sides) in found[: max(0, room)]:
+            for child, (g, h, _) in zip(tree.split(node, feature, bin_), sides):
+                tree.value[child] = float(g / h) if h > 0 else 0.0
+                frontier.append(child)
+        if not frontier:
+            break
+    return tree
+
+
 def fit_lambdamart(
     rows: DataFrame,
     names: list[str],
@@ -138,42 +372,34 @@ def fit_lambdamart(
     depth: int = 5,
     rate: float = 0.1,
     min_rows: int = 20,
+    leaves: int = 31,
+    truncation: int = TRUNCATION,
+    min_hessian: float = 1e-3,
+    bins: int = BINS,
     seed: int = 42,
 ) -> dict[str, Any]:
-    """Ensemble as plain data: {"features", "rate", "trees"}. ``rows``: (request_id, names, label)."""
+    """Ensemble as plain data: {"features", "rate", "trees"}. ``rows``: (request_id, item_id, names, label).
+
+    Features are binned once. A round adds the last tree to the scores that the table of requests
+    carries, takes the gradients at them, and grows one tree from histograms: one small aggregate a
+    level, so cost is linear in rounds. A leaf's value is its Newton step. Rows that nothing pulls at
+    count for ``min_rows`` and weigh nothing. ``leaves`` bounds a tree, ``truncation`` the ranks that
+    pairs are taken from. Nothing is drawn, so ``seed`` changes nothing; sums are integers, so reruns agree.
+    """
     if rows.where(F.col("label") == 1).isEmpty():
         raise ValueError("learned fusion needs validation positives in the candidate pools")
-    kind = rows.schema["request_id"].dataType.simpleString()
-    item = rows.schema["item_id"].dataType.simpleString()
-    schema = f"request_id {kind}, item_id {item}, g double, h double"
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("item_id", ignore_index=True)
-        g, h = lambdas(frame["score"].to_numpy(), frame["label"].to_numpy())
-        return pd.DataFrame(
-            {"request_id": frame["request_id"], "item_id": frame["item_id"], "g": g, "h": h}
-        )
-
-    trees: list[dict[str, Any]] = []
-    current = pin(rows)
-    for number in range(max(1, rounds)):
-        total = ensemble_column({"features": names, "rate": rate, "trees": trees})
-        scored = current.withColumn("score", total)
-        steps = (
-            scored.select("request_id", "item_id", "score", "label")
-            .groupBy("request_id").applyInPandas(group, schema)
-            # Rows that nothing pulls at count for splits and min_rows, with weight 0.
-            .withColumn("h", F.when(F.col("h") > 1e-12, F.col("h")).otherwise(0.0))
-            .withColumn("target", F.coalesce(F.try_divide("g", "h"), F.lit(0.0)))
-        )
-        data = pin(current.join(steps, ["request_id", "item_id"]).select(*names, "target", "h"))
-        learner = DecisionTreeRegressor(
-            featuresCol="x", labelCol="target", weightCol="h", maxDepth=depth,
-            minInstancesPerNode=min_rows, maxBins=255, seed=seed + number, maxMemoryInMB=512,
-        )
-        fitted = learner.fit(VectorAssembler(inputCols=names, outputCol="x").transform(data))
-        trees.append(_export(fitted._call_java("rootNode")))
-        release(data)
+    if not 1 <= bins <= BINS or leaves < 2 or truncation < 1:
+        raise ValueError(f"bins must be 1 to {BINS}, leaves at least 2 and truncation positive")
+    edges = bin_edges(rows, names, bins)
+    state = pin(_packed(rows, names, edges))
+    tree, trees = None, []
+    for _ in range(max(1, rounds)):
+        after = pin(_advance(state, tree, len(names), rate, truncation))
+        release(state)
+        state = after
+        tree = _grow(state, edges, depth, leaves, min_rows, min_hessian)
+        trees.append(tree.nested(edges))
+    release(state)
     return {"features": names, "rate": rate, "trees": trees}
 
 
@@ -243,4 +469,4 @@ def learned_topk(
     rest = rest.join(space.items, "pos").select("request_id", "item_id")
     pool = pin(pool.union(rest))
     rows = features(views, batch, space, pool, seen, constant)
-    return top_k(rows.select("request_id", "item_id", ensemble_column(ensemble).alias("score")), k)
+    return top_k(rows.select("request_id", "item_id", ensemble_scores(ensemble).alias("score")), k)
