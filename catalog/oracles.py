@@ -109,19 +109,17 @@ cte("pairs", "cordered", """SELECT item_id, next_item, count(*) AS n FROM (SELEC
 cte("trans", "pairs", f"""SELECT item_id AS item, next_item AS other,
     {q9('n / sum(n) OVER (PARTITION BY item_id)')} AS weight FROM pairs""")
 cte("lastc", "cordered", "SELECT user_id, arg_max(item_id, pos) AS item FROM cordered GROUP BY 1")
-cte("lastidx", "cseen", "SELECT user_id, max(item_id) AS item FROM cseen GROUP BY 1")
-for name, last in (("markov_time", "lastc"), ("markov_idx", "lastidx")):
-    cte(name, f"cgrid cpop trans {last}", f"""SELECT g.user_id, g.item_id, CASE WHEN g.user_id IN
-        (SELECT user_id FROM {last} JOIN trans USING (item)) THEN coalesce(t.weight, 0)
-        ELSE p.score END AS score FROM cgrid g JOIN cpop p USING (item_id)
-        LEFT JOIN {last} l ON g.user_id = l.user_id
-        LEFT JOIN trans t ON t.item = l.item AND t.other = g.item_id""")
-cte("dense", "cgrid cpop chist10 markov_idx", """
+cte("markov_time", "cgrid cpop trans lastc", """SELECT g.user_id, g.item_id, CASE WHEN g.user_id IN
+    (SELECT user_id FROM lastc JOIN trans USING (item)) THEN coalesce(t.weight, 0)
+    ELSE p.score END AS score FROM cgrid g JOIN cpop p USING (item_id)
+    LEFT JOIN lastc l ON g.user_id = l.user_id
+    LEFT JOIN trans t ON t.item = l.item AND t.other = g.item_id""")
+cte("dense", "cgrid cpop chist10 markov_time", """
     SELECT g.user_id, g.item_id, 'popularity' AS component, score FROM cgrid g JOIN cpop
     USING (item_id) UNION ALL
     SELECT g.user_id, g.item_id, 'itemknn', coalesce(h.score, 0) FROM cgrid g LEFT JOIN chist10 h
     USING (user_id, item_id) UNION ALL
-    SELECT user_id, item_id, 'markov', score FROM markov_idx""")
+    SELECT user_id, item_id, 'markov', score FROM markov_time""")
 cte("ranked", "dense", """SELECT *, row_number() OVER (PARTITION BY user_id, component
     ORDER BY score DESC, item_id) AS rank FROM dense""")
 cte("pdense", "pgrid ppop phist20", """
@@ -133,8 +131,8 @@ cte("pranked", "pdense", """SELECT *, row_number() OVER (PARTITION BY user_id, c
     ORDER BY score DESC, item_id) AS rank FROM pdense""")
 
 
-def rrf(ranked: str, seen: str, where: str = "TRUE") -> str:
-    return f"""SELECT user_id, item_id, {snap('sum(1.0::DOUBLE / (60 + rank))', 12)} AS score
+def rrf(ranked: str, seen: str, where: str = "TRUE", constant: int = 60) -> str:
+    return f"""SELECT user_id, item_id, {snap(f'sum(1.0::DOUBLE / ({constant} + rank))', 12)} AS score
         FROM {ranked} WHERE {where} AND (user_id, item_id) NOT IN (SELECT (user_id, item_id)
         FROM {seen}) GROUP BY ALL"""
 
@@ -149,6 +147,7 @@ def weighted(dense: str, seen: str, weight: str) -> str:
 
 cte("rrf3", "ranked cseen", rrf("ranked", "cseen"))
 cte("rrf2", "ranked cseen", rrf("ranked", "cseen", "component <> 'markov'"))
+cte("rrf5", "ranked cseen", rrf("ranked", "cseen", "component <> 'markov'", 5))
 cte("prrf", "pranked pseen", rrf("pranked", "pseen"))
 cte("wz", "dense cseen", weighted("dense", "cseen", """CASE component WHEN 'popularity' THEN 0.5
     WHEN 'itemknn' THEN 2.0 ELSE 1.0 END"""))
@@ -163,7 +162,7 @@ cte("markov_unseen", "markov_time cseen", """SELECT m.* FROM markov_time m
 cte("sessions", "cordered", """SELECT user_id AS request_id, latest - pos + 1 AS pos, item_id, value,
     CASE WHEN NOT (user_id % 3 = 0 AND pos = latest) THEN happened END AS happened FROM (SELECT
     user_id, pos, item_id, value, happened, max(pos) OVER (PARTITION BY user_id) AS latest
-    FROM cordered) WHERE pos > latest - 5""")
+    FROM cordered)""")
 cte("sorder", "sessions", """SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
     CASE WHEN complete THEN epoch_us(happened) END, pos) AS rank FROM (SELECT *,
     bool_and(happened IS NOT NULL) OVER (PARTITION BY request_id) AS complete FROM sessions)""")
@@ -281,7 +280,32 @@ cte("munseen", "dense cseen", """SELECT d.*, row_number() OVER (PARTITION BY d.u
     AND d.item_id = s.item_id WHERE component <> 'markov'""")
 cte("mpool", "munseen", "SELECT DISTINCT user_id, item_id FROM munseen WHERE rank <= 20")
 
+cte("mfeat", "munseen mpool cr_validation", """SELECT m.user_id, m.item_id,
+    max(score) FILTER (component = 'popularity') AS popularity_score,
+    max(1.0::DOUBLE / (60 + rank)) FILTER (component = 'popularity') AS popularity_rr,
+    max(score) FILTER (component = 'itemknn') AS itemknn_score,
+    max(1.0::DOUBLE / (60 + rank)) FILTER (component = 'itemknn') AS itemknn_rr,
+    CAST((m.user_id, m.item_id) IN (SELECT (user_id, item_id) FROM cr_validation) AS BIGINT) AS label
+    FROM munseen m JOIN mpool USING (user_id, item_id)
+    WHERE m.user_id IN (SELECT user_id FROM cr_validation) GROUP BY ALL""")
+cte("mplace", "mfeat", """SELECT user_id, item_id, label, place, 1.0::DOUBLE / log2(place + 2) AS discount, (SELECT
+    sum(1.0::DOUBLE / log2(p + 1)) FROM range(1, 31) x(p) WHERE p <= positives) AS ideal FROM (SELECT user_id,
+    item_id, label, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS place,
+    sum(label) OVER (PARTITION BY user_id) AS positives FROM mfeat)""")
+cte("mpairs", "mplace", """SELECT a.user_id, a.item_id AS up, b.item_id AS down,
+    abs(a.discount - b.discount) / a.ideal AS delta FROM mplace a JOIN mplace b ON a.user_id = b.user_id
+    AND a.label = 1 AND b.label = 0 AND (a.place < 30 OR b.place < 30)""")
+cte("mpulls", "mpairs", """SELECT user_id, up AS item_id, delta AS d FROM mpairs
+    UNION ALL SELECT user_id, down, -delta FROM mpairs""")
+
 ORACLES: dict[str, str] = {
+    "lambda_gradients": sql("mplace mpulls", f"""SELECT m.user_id, m.item_id, {r6('coalesce(sum(d), 0) / 2')} AS g,
+        {r6('coalesce(sum(abs(d)), 0) / 4')} AS h FROM mplace m LEFT JOIN mpulls p
+        ON m.user_id = p.user_id AND m.item_id = p.item_id GROUP BY ALL"""),
+    "tree_scores": sql("mfeat", """SELECT user_id, item_id, 0.25::DOUBLE * CASE WHEN itemknn_rr <= 0.0148
+        THEN CASE WHEN popularity_score <= 33.33333 THEN -1.0 ELSE 0.125 END ELSE 0.75 END + 0.25::DOUBLE * CASE
+        WHEN popularity_rr <= 0.0142 THEN -0.5 WHEN itemknn_score <= 5.12345 THEN 0.25 ELSE 1.5 END AS score
+        FROM mfeat"""),
     "fusion_training_set": sql("munseen mpool cr_validation", f"""SELECT m.user_id, m.item_id,
         {r6("max(score) FILTER (component = 'popularity')")} AS popularity_score,
         {q9("max(1.0::DOUBLE / (60 + rank)) FILTER (component = 'popularity')")} AS popularity_rr,
@@ -371,6 +395,7 @@ ORACLES: dict[str, str] = {
     "component_ranks": sql("ranked cr_test", f"""SELECT user_id, item_id, component,
         {r6('score')} AS score, rank FROM ranked JOIN cr_test USING (user_id, item_id)"""),
     "rrf": sql("rrf3", top("rrf3", 10)),
+    "rrf_constant_5": sql("rrf5", top("rrf5", 10)),
     "rrf_purchases": sql("prrf", top("prrf", 10)),
     "weighted_zscore": sql("wz", top("wz", 10)),
     "weighted_purchases": sql("pwz", top("pwz", 10)),
@@ -403,7 +428,7 @@ ORACLES: dict[str, str] = {
     "prompt_table": sql("session_top3 sorder ccatalog", """SELECT t.request_id, t.item_id, 'H:[' ||
         h.lines || '] C:{"event_type":"' || c.event_type || '"}' AS prompt FROM session_top3 t
         JOIN ccatalog c USING (item_id) JOIN (SELECT request_id, string_agg('{"item_id":' || item_id ||
-        ',"value":1,"metadata":{"event_type":"' || event_type || '"}}', ', ' ORDER BY rank) AS lines
+        ',"value":' || value || ',"metadata":{"event_type":"' || event_type || '"}}', ', ' ORDER BY rank) AS lines
         FROM sorder JOIN ccatalog USING (item_id) GROUP BY 1) h USING (request_id)"""),
     "metrics_popularity": sql("pop_unseen pr_test", metrics(top("pop_unseen", 10), "pr_test")),
     "metrics_itemknn": sql("knn_unseen cr_test", metrics(top("knn_unseen", 10), "cr_test")),

@@ -330,10 +330,8 @@ def graph_embeddings(spark, sf):
 
 
 def _user_batch(data, mode: str | None = None) -> QueryBatch:
-    batch = recommend.user_batch(data)
-    if mode:
-        batch.mode = mode
-    return batch
+    """Training rows of every user; as histories they are in the order of time."""
+    return hybrid.training_batch(data, mode) if mode else recommend.user_batch(data)
 
 
 def _topk(df: DataFrame, key: str = "user_id") -> DataFrame:
@@ -438,6 +436,18 @@ def rrf(spark, sf):
     return _topk(_recommend(spark, sf, "clicks", _hybrid(spark, sf, NAMES, fusion="rrf"), HISTORY))
 
 
+@query
+def rrf_constant_5(spark, sf):
+    """A hybrid as it is fitted by name, with its own rank constant."""
+    key = ("rrf_constant_5", sf, spark.sparkContext.applicationId)
+    if key not in views._MODELS:
+        views._MODELS[key] = hybrid.fit_hybrid(
+            views.prepared_clicks(spark, sf), ["popularity", "itemknn"], "RRF",
+            {"itemknn": {"neighbours": 10}}, fusion_params={"rank_constant": 5},
+        )
+    return _topk(_recommend(spark, sf, "clicks", views._MODELS[key], HISTORY))
+
+
 @query
 def rrf_purchases(spark, sf):
     """Sparse case: nearly all item-neighbour scores are implied zeros."""
@@ -550,7 +560,7 @@ def prompt_table(spark, sf):
     """Prompts for an outside scorer: history and candidate as JSON in a template."""
     data = views.prepared_clicks(spark, sf)
     interactions = sequences.request_order(views.sessions(spark, sf)).select(
-        "request_id", F.col("rank").alias("pos"), "item_id", F.lit(1).alias("value")
+        "request_id", F.col("rank").alias("pos"), "item_id", "value"
     )
     found = recommend.recommend_sessions(
         views.model(spark, sf, "clicks", "itemknn", neighbours=10), item_space(data),
@@ -623,22 +633,50 @@ def propagate_2_layers(spark, sf):
 # --------------------------------------------------------------------------- training
 
 
-@query
-def fusion_training_set(spark, sf):
-    """Ranking features of each component's 20 best unseen items, labelled by validation items."""
+def _training_rows(spark, sf) -> DataFrame:
     data = views.prepared_clicks(spark, sf)
     truth = data.ratings("validation").select(F.col("user_id").alias("request_id"), "item_id")
     batch = recommend.restrict(_user_batch(data, HISTORY), truth.select("request_id").distinct())
-    rows = ranker.fusion_training_set(
-        _views(spark, sf, ("popularity", "itemknn"), batch), batch, item_space(data), truth, 20
-    )
-    return rows.select(
+    parts = _views(spark, sf, ("popularity", "itemknn"), batch)
+    return ranker.fusion_training_set(parts, batch, item_space(data), truth, 20)
+
+
+@query
+def fusion_training_set(spark, sf):
+    """Ranking features of each component's 20 best unseen items, labelled by validation items."""
+    return _training_rows(spark, sf).select(
         F.col("request_id").alias("user_id"), "item_id", r6("popularity_score"),
         quantize(F.col("popularity_rr"), 9).alias("popularity_rr"), r6("itemknn_score"),
         quantize(F.col("itemknn_rr"), 9).alias("itemknn_rr"), big("label"),
     )
 
 
+@query
+def lambda_gradients(spark, sf):
+    """Gradients and hessians that the first tree of the learned fusion is grown on."""
+    rows = _training_rows(spark, sf).withColumn("score", F.lit(0.0))
+    return ranker.gradients(rows).select(F.col("request_id").alias("user_id"), "item_id", r6("g"), r6("h"))
+
+
+#: A given ensemble over the fusion features, itemknn before popularity, score before reciprocal rank.
+ENSEMBLE = {
+    "features": ["itemknn_score", "itemknn_rr", "popularity_score", "popularity_rr"], "rate": 0.25,
+    "trees": [
+        {"feature": 1, "threshold": 0.0148, "right": {"value": 0.75}, "left": {
+            "feature": 2, "threshold": 33.33333, "left": {"value": -1.0}, "right": {"value": 0.125}}},
+        {"feature": 3, "threshold": 0.0142, "left": {"value": -0.5}, "right": {
+            "feature": 0, "threshold": 5.12345, "left": {"value": 0.25}, "right": {"value": 1.5}}},
+    ],
+}
+
+
+@query
+def tree_scores(spark, sf):
+    """Scores of the training rows under a given ensemble."""
+    rows = _training_rows(spark, sf)
+    return rows.select(F.col("request_id").alias("user_id"), "item_id", ranker.ensemble_scores(ENSEMBLE).alias("score"))
+
+
 @query
 def lambdamart_top10(spark, sf):
     """Learned fusion trained on validation rows, served over the whole catalog."""

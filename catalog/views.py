@@ -119,7 +119,7 @@ def model(spark: SparkSession, sf: str, view: str, name: str, **params) -> Fitte
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """(request_id, pos, item_id, value, timestamp): last five training events of each user.
+    """(request_id, pos, item_id, value, timestamp): the training events of each user as a session.
 
     Every third session lacks a timestamp on its first row, so its given order counts.
     """
@@ -133,9 +133,9 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     sizes = ordered.groupBy("user_id").agg(F.max("pos").alias("n"))
     # Given in reverse, so that the time order matters where it is complete.
     place = (F.col("n") - F.col("pos") + 1).alias("pos")
-    last = ordered.join(sizes, "user_id").where(F.col("pos") > F.col("n") - 5)
+    rows = ordered.join(sizes, "user_id")
     timed = F.when(~((F.col("user_id") % 3 == 0) & (F.col("pos") == F.col("n"))), F.col("timestamp"))
-    out = pin(last.select(
+    out = pin(rows.select(
         F.col("user_id").alias("request_id"), place, "item_id", "value", timed.alias("timestamp")
     ))
     _PREPARED[key] = out

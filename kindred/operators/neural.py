@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kindred.functions.text import seeded_unit
 from kindred.operators import attention
 from kindred.operators.factor import _stack
-from kindred.operators.scoring import ENCODERS
+from kindred.operators.scoring import RUNTIMES, encoded
 from kindred.operators.sequences import ordered_events, prefix_examples, recent_items
 from kindred.operators.softmax import softmax_gradient
 from kindred.operators.split import Prepared
@@ -390,5 +390,5 @@ def encode_sequence(model: FittedModel, batch: QueryBatch) -> DataFrame:
     return pin(slots.mapInPandas(run, f"qid {kind}, vec array<double>"))
 
 
-ENCODERS["autoencoder"] = encode_autoencoder
-ENCODERS["sequence"] = encode_sequence
+RUNTIMES["autoencoder"] = encoded(encode_autoencoder)
+RUNTIMES["sequence"] = encoded(encode_sequence)

@@ -205,6 +205,19 @@ def lambdas(
     return gradient, hessian
 
 
+def gradients(rows: DataFrame, truncation: int = TRUNCATION) -> DataFrame:
+    """(request_id, item_id, score, label) -> (request_id, item_id, g, h); equal scores go by item."""
+    ids = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("request_id", "item_id")]
+
+    def group(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("item_id", ignore_index=True)
+        g, h = lambdas(frame["score"].to_numpy(float), frame["label"].to_numpy(), truncation)
+        return pd.DataFrame({"request_id": frame["request_id"], "item_id": frame["item_id"], "g": g, "h": h})
+
+    some = rows.select("request_id", "item_id", "score", "label")
+    return some.groupBy("request_id").applyInPandas(group, ", ".join([*ids, "g double", "h double"]))
+
+
 def bin_edges(rows: DataFrame, names: list[str], bins: int = BINS) -> list[np.ndarray]:
     """Upper bounds of each feature's bins but the last one, at most ``bins`` of them.
 

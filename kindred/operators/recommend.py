@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.names import find
 from kindred.operators.fusion import RRF_CONSTANT, rrf_topk, weighted_topk
 from kindred.operators.positions import hot_groups
+from kindred.operators.ranker import learned_topk
 from kindred.operators.scoring import score_view, seen_pairs, top_k, view_topk
 from kindred.operators.sequences import request_order
 from kindred.operators.split import Prepared
@@ -110,32 +114,57 @@ def with_exhaustion(status: DataFrame, recommended: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- recommendation
 
 
+def _fuse_rrf(views, batch, space, k, seen, params) -> DataFrame:
+    constant = float(params.get("parameters", {}).get("rank_constant", RRF_CONSTANT))
+    return rrf_topk(views, batch, space, k, seen, constant)
+
+
+def _fuse_weighted(views, batch, space, k, seen, params) -> DataFrame:
+    return weighted_topk(views, batch, space, k, seen, params.get("weights"))
+
+
+def _fuse_learned(views, batch, space, k, seen, params) -> DataFrame:
+    return learned_topk(params["trees"], views, batch, space, k, seen, params["trees"]["constant"])
+
+
+def _rerank_external(candidates: DataFrame, batch: QueryBatch, k: int, scores: DataFrame | None) -> DataFrame:
+    """Scores from outside replace the fused ones; before they exist, candidates are as they are."""
+    return candidates if scores is None else rerank(candidates, scores, k)
+
+
+#: (views, batch, space, k, seen, params) -> top k as (request_id, item_id, score, rank). ``params`` are a
+#: hybrid's settings: what `fit_hybrid` got as ``fusion_params`` is in ``params["parameters"]``.
+FUSIONS: dict[str, Callable[..., DataFrame]] = {
+    "rrf": _fuse_rrf, "weighted": _fuse_weighted, "learned": _fuse_learned,
+}
+#: (candidates, batch, k, scores) -> (request_id, item_id, score, rank).
+RERANKERS: dict[str, Callable[..., DataFrame]] = {
+    "none": lambda candidates, batch, k, scores: candidates, "external": _rerank_external,
+}
+
+
 def recommend(
     model: FittedModel,
     batch: QueryBatch,
     space: ItemSpace,
     k: int = 10,
     exclude_seen: bool = True,
+    scores: DataFrame | None = None,
 ) -> DataFrame:
-    """(request_id, item_id, score, rank) for every request of the batch."""
+    """(request_id, item_id, score, rank) for every request of the batch.
+
+    A hybrid's fusion and reranker are looked up by the names it was fitted with; ``scores``
+    (request_id, item_id, score) goes to the reranker.
+    """
     if batch.mode not in model.modes:
         raise ValueError(f"{model.plugin} does not support {batch.mode} queries")
     seen = seen_pairs(batch) if exclude_seen else None
     if model.runtime != "hybrid":
         return view_topk(score_view(model, batch), batch, space, k, seen)
+    fuse = find(FUSIONS, "fusion strategy", model.params.get("fusion", "rrf"))
+    order = find(RERANKERS, "reranker", model.params.get("reranker", "none"))
     views = [score_view(c, batch) for c in model.components]
-    fusion = model.params.get("fusion", "rrf")
-    if fusion == "rrf":
-        constant = model.params.get("rank_constant", RRF_CONSTANT)
-        return rrf_topk(views, batch, space, k, seen, constant)
-    if fusion == "weighted":
-        return weighted_topk(views, batch, space, k, seen, model.params.get("weights"))
-    if fusion == "learned":
-        from kindred.operators.ranker import learned_topk
-
-        trees = model.params["trees"]
-        return learned_topk(trees, views, batch, space, k, seen, trees["constant"])
-    raise ValueError(f"unknown fusion strategy: {fusion}")
+    return order(fuse(views, batch, space, k, seen, model.params), batch, k, scores)
 
 
 def recommend_users(

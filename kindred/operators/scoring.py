@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.ids import plain_ids, restore_ids
+from kindred.functions.names import find
 from kindred.functions.numbers import is_finite, quantize
 from kindred.operators import textsim
 from kindred.operators.positions import first_free, group_positions
@@ -58,10 +59,6 @@ class ScoreView:
         return self._ranked
 
 
-# Runtimes that turn requests into query vectors: (model, batch) -> (qid, vec).
-ENCODERS: dict[str, Callable[[FittedModel, QueryBatch], DataFrame]] = {}
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -112,49 +109,59 @@ def history_profile(vector: DataFrame, items: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def score_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
-    """Scores of one non-hybrid model for a batch of queries; explicit scores are written once."""
+def _popularity_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
+    return ScoreView(model.plugin, base=model.tables["scores"])
+
+
+def _sparse_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
     name, tables = model.plugin, model.tables
-    if model.runtime == "popularity":
-        return ScoreView(name, base=tables["scores"])
-    if model.runtime == "sparse":
-        if model.params.get("form") == "factored":
-            history = batch.vector.where(F.col("value") != 0)
-            near = pin(textsim.near_documents(history, tables["item_docs"], tables["weights"]))
-            return ScoreView(name, factored=(near, history, tables["item_docs"]))
-        if model.params.get("aggregation") == "last_item" and batch.last is not None:
-            return ScoreView(name, nonzero=pin(last_item_rows(batch.last, tables["similarity"])))
-        return ScoreView(name, nonzero=pin(weighted_history(batch.vector, tables["similarity"])))
-    if model.runtime == "sequential":
-        last = batch.last
-        if batch.mode == KNOWN_USER:
-            last = (
-                tables["last_items"].withColumnRenamed("user_id", "request_id")
-                .join(batch.requests.select("request_id"), "request_id", "left_semi")
-            )
-        rows = pin(last_item_rows(last, tables["similarity"]))
-        served = rows.select("request_id").distinct()
-        return ScoreView(
-            name,
-            nonzero=rows,
-            base=tables["scores"],
-            base_requests=batch.requests.select("request_id").join(
-                served, "request_id", "left_anti"
-            ),
+    if model.params.get("form") == "factored":
+        history = batch.vector.where(F.col("value") != 0)
+        near = pin(textsim.near_documents(history, tables["item_docs"], tables["weights"]))
+        return ScoreView(name, factored=(near, history, tables["item_docs"]))
+    if model.params.get("aggregation") == "last_item" and batch.last is not None:
+        return ScoreView(name, nonzero=pin(last_item_rows(batch.last, tables["similarity"])))
+    return ScoreView(name, nonzero=pin(weighted_history(batch.vector, tables["similarity"])))
+
+
+def _sequential_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
+    """The last item's row; requests without one get the popularity base."""
+    tables, last = model.tables, batch.last
+    if batch.mode == KNOWN_USER:
+        last = (
+            tables["last_items"].withColumnRenamed("user_id", "request_id")
+            .join(batch.requests.select("request_id"), "request_id", "left_semi")
         )
-    if model.runtime == "embedding":
-        items = tables["items"]
-        if batch.mode == KNOWN_USER:
-            queries = tables["users"].select(F.col("user_id").alias("qid"), "vec").join(
-                batch.requests.select(F.col("request_id").alias("qid")), "qid", "left_semi"
-            )
-        else:
-            queries = history_profile(batch.vector, items, model.params["dim"])
-        return ScoreView(name, vectors=(queries, items))
-    if model.runtime in ENCODERS:
-        queries = ENCODERS[model.runtime](model, batch)
-        return ScoreView(name, vectors=(queries, tables["items"]))
-    raise ValueError(f"unsupported runtime: {model.runtime}")
+    rows = pin(last_item_rows(last, tables["similarity"]))
+    others = batch.requests.select("request_id").join(rows.select("request_id").distinct(), "request_id", "left_anti")
+    return ScoreView(model.plugin, nonzero=rows, base=tables["scores"], base_requests=others)
+
+
+def _embedding_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
+    items = model.tables["items"]
+    if batch.mode == KNOWN_USER:
+        queries = model.tables["users"].select(F.col("user_id").alias("qid"), "vec").join(
+            batch.requests.select(F.col("request_id").alias("qid")), "qid", "left_semi"
+        )
+    else:
+        queries = history_profile(batch.vector, items, model.params["dim"])
+    return ScoreView(model.plugin, vectors=(queries, items))
+
+
+def encoded(encode: Callable[[FittedModel, QueryBatch], DataFrame]) -> Callable[[FittedModel, QueryBatch], ScoreView]:
+    """Runtime of a model that turns requests into query vectors (qid, vec) for its item vectors."""
+    return lambda model, batch: ScoreView(model.plugin, vectors=(encode(model, batch), model.tables["items"]))
+
+
+#: (model, batch) -> ScoreView, by the runtime that a fitted model names.
+RUNTIMES: dict[str, Callable[[FittedModel, QueryBatch], ScoreView]] = {
+    "popularity": _popularity_view, "sparse": _sparse_view, "sequential": _sequential_view, "embedding": _embedding_view,
+}
+
+
+def score_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
+    """Scores of one non-hybrid model for a batch of queries; explicit scores are written once."""
+    return find(RUNTIMES, "runtime", model.runtime)(model, batch)
 
 
 # --------------------------------------------------------------------------- masks and ranks

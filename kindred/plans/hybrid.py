@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
+from kindred.functions.names import find, plugin_name
 from kindred.operators.ranker import feature_names, fit_lambdamart, fusion_training_set
 from kindred.operators.recommend import restrict, user_batch
 from kindred.operators.retrievers import item_space
@@ -13,7 +14,7 @@ from kindred.operators.scoring import score_view
 from kindred.operators.sequences import last_items, ordered_events
 from kindred.operators.split import Prepared
 from kindred.plans.fitted import HISTORY, KNOWN_USER, FittedModel, QueryBatch
-from kindred.plans.registry import FUSIONS, RERANKERS, fit_component, plugin_name
+from kindred.plans.registry import FUSIONS, RERANKERS, fit_component
 
 POOL_KEYS = ("candidate_pool_size", "rank_constant")
 
@@ -51,10 +52,8 @@ def fit_hybrid(
         raise ValueError("a hybrid needs at least one component")
     if len(set(components)) != len(components):
         raise ValueError("hybrid components must be unique")
-    if fusion not in FUSIONS:
-        raise ValueError(f"unknown fusion strategy: {fusion}")
-    if reranker not in RERANKERS:
-        raise ValueError(f"unknown reranker: {reranker}")
+    find(FUSIONS, "fusion strategy", fusion)
+    find(RERANKERS, "reranker", reranker)
     fitted = [fit_component(n, prepared, (params or {}).get(n, {})) for n in components]
     modes = shared_modes(fitted)
     if not modes:
@@ -62,7 +61,7 @@ def fit_hybrid(
     options = dict(fusion_params or {})
     settings: dict[str, Any] = {
         "fusion": plugin_name(fusion), "weights": dict(weights or {}), "parameters": options,
-        "reranker": reranker,
+        "reranker": plugin_name(reranker),
     }
     if settings["fusion"] == "learned":
         settings["trees"] = fit_learned_fusion(prepared, fitted, modes[0], options, seed)

@@ -1,91 +1,51 @@
-"""Plugin registries: plain functions behind normalized names."""
+"""What can be asked for by name: retrievers, models, fusions, rerankers and runtimes.
+
+Each kind is a dict of functions; `kindred.functions.names.register` adds to one of them, and fitting,
+scoring and recommending look their plugins up there:
+
+* retriever, model: (prepared, params) -> FittedModel
+* fusion: (views, batch, space, k, seen, params) -> (request_id, item_id, score, rank)
+* reranker: (candidates, batch, k, scores) -> (request_id, item_id, score, rank)
+* runtime: (model, batch) -> ScoreView
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.functions.names import find
 from kindred.operators import factor, neural, retrievers
-from kindred.operators.recommend import rerank
+from kindred.operators.recommend import FUSIONS, RERANKERS
+from kindred.operators.scoring import RUNTIMES
 from kindred.operators.split import Prepared
 from kindred.plans.fitted import FittedModel
 
-Fit = Callable[[Prepared, dict[str, Any]], FittedModel]
-
-
-def plugin_name(name: str) -> str:
-    return name.strip().lower().replace("-", "_")
-
-
-class Registry(dict):
-    """A dict of plugins by name, whose keys are spelled in one way."""
-
-    def __init__(self, kind: str) -> None:
-        super().__init__()
-        self.kind = kind
-
-    def register(self, name: str, plugin: Any) -> None:
-        key = plugin_name(name)
-        if not key or key in self:
-            raise ValueError(f"{name!r} cannot name another {self.kind}")
-        self[key] = plugin
-
-    def get(self, name: str) -> Any:
-        try:
-            return self[plugin_name(name)]
-        except KeyError:
-            raise KeyError(f"no {self.kind} {name!r} among {', '.join(self.names())}") from None
-
-    def names(self) -> tuple[str, ...]:
-        return tuple(sorted(self))
-
-    def __contains__(self, name: object) -> bool:
-        return super().__contains__(plugin_name(str(name)))
-
-
-RETRIEVERS: Registry = Registry("retriever")
-MODELS: Registry = Registry("model")
-FUSIONS: Registry = Registry("fusion")
-RERANKERS: Registry = Registry("reranker")
-
-for _name, _fit in {
-    "popularity": retrievers.fit_popularity,
-    "itemknn": retrievers.fit_itemknn,
-    "tfidf": retrievers.fit_tfidf,
-    "semantic": retrievers.fit_semantic,
-    "markov": retrievers.fit_markov,
+MODELS: dict[str, Any] = {
+    "bpr": factor.fit_bpr, "lightgcn": factor.fit_lightgcn, "two_tower": factor.fit_two_tower,
+    "multivae": neural.fit_multivae, "sasrec": neural.fit_sasrec,
+}
+#: Models can stand in as retrievers.
+RETRIEVERS: dict[str, Any] = {
+    "popularity": retrievers.fit_popularity, "itemknn": retrievers.fit_itemknn,
+    "tfidf": retrievers.fit_tfidf, "semantic": retrievers.fit_semantic, "markov": retrievers.fit_markov,
     "graph_cooccurrence": retrievers.fit_graph_cooccurrence,
-    "graph_embeddings": retrievers.fit_graph_embeddings,
-}.items():
-    RETRIEVERS.register(_name, _fit)
-for _name, _fit in {
-    "bpr": factor.fit_bpr,
-    "lightgcn": factor.fit_lightgcn,
-    "two_tower": factor.fit_two_tower,
-    "multivae": neural.fit_multivae,
-    "sasrec": neural.fit_sasrec,
-}.items():
-    MODELS.register(_name, _fit)
-    RETRIEVERS.register(_name, _fit)
-for _name in ("none", "external"):
-    RERANKERS.register(_name, None if _name == "none" else rerank)
-for _name in ("rrf", "weighted", "learned"):
-    FUSIONS.register(_name, _name)
+    "graph_embeddings": retrievers.fit_graph_embeddings, **MODELS,
+}
+PLUGINS = {"fusion": FUSIONS, "model": MODELS, "reranker": RERANKERS, "retriever": RETRIEVERS, "runtime": RUNTIMES}
 
 
 def fit_component(name: str, prepared: Prepared, params: dict[str, Any] | None = None) -> FittedModel:
     """Fit a retriever, or a model used as one."""
-    return RETRIEVERS.get(name)(prepared, dict(params or {}))
+    return find(RETRIEVERS, "retriever", name)(prepared, dict(params or {}))
 
 
 def fit_model(name: str, prepared: Prepared, params: dict[str, Any] | None = None) -> FittedModel:
-    return MODELS.get(name)(prepared, dict(params or {}))
+    return find(MODELS, "model", name)(prepared, dict(params or {}))
 
 
 def list_plugins(spark: SparkSession) -> DataFrame:
-    """(kind, name) of everything registered."""
-    kinds = (RETRIEVERS, MODELS, FUSIONS, RERANKERS)
-    rows = [(r.kind, n) for r in kinds for n in r.names()]
+    """(kind, name) of everything that can be asked for."""
+    rows = [(kind, name) for kind, table in PLUGINS.items() for name in table]
     return spark.createDataFrame(rows, "kind string, name string").orderBy("kind", "name")

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.functions.names import plugin_name
 from kindred.operators.contract import normalize
 from kindred.operators.evaluate import ranking_metrics
 from kindred.operators.recommend import recommend, restrict, session_batch, user_batch
@@ -16,7 +17,7 @@ from kindred.operators.sequences import ordered_events
 from kindred.operators.split import Prepared, Split, prepare
 from kindred.plans.fitted import KNOWN_USER, FittedModel
 from kindred.plans.hybrid import fit_hybrid
-from kindred.plans.registry import fit_model, plugin_name
+from kindred.plans.registry import fit_model
 from kindred.sources.digests import value_digest
 from kindred.sources.store import (
     StoredModel,

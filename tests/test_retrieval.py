@@ -13,7 +13,8 @@ from kindred.operators.retrievers import item_space
 from kindred.operators.scoring import ScoreView
 from kindred.operators.vectors import embedding_neighbours, inner_product_topk
 from kindred.plans.fitted import HISTORY, KNOWN_USER, FittedModel, ItemSpace, QueryBatch
-from kindred.plans.registry import MODELS, RETRIEVERS, Registry, fit_component, list_plugins
+from kindred.functions.names import find, register
+from kindred.plans.registry import MODELS, RETRIEVERS, fit_component, list_plugins
 
 
 def test_topk_ties_mask_and_nan(spark):
@@ -320,19 +321,19 @@ def test_rerank(spark):
     assert [r.item_id for r in rerank(c, s, 2).orderBy("rank").collect()] == [2, 3]
 
 
-def test_registries(spark):
-    assert MODELS.names() == ("bpr", "lightgcn", "multivae", "sasrec", "two_tower")
-    assert len(RETRIEVERS.names()) == 12 and "Graph-Embeddings" in RETRIEVERS
-    r = Registry("thing")
-    r.register("My-Name", 1)
-    assert r.get("my_name") == 1
-    with pytest.raises(ValueError):
-        r.register("my_name", 2)
-    with pytest.raises(ValueError):
-        r.register(" ", 2)
-    with pytest.raises(KeyError, match="my_name"):
-        r.get("other")
-    assert list_plugins(spark).count() == 12 + 5 + 3 + 2
+def test_plugins_by_name(spark):
+    assert sorted(MODELS) == ["bpr", "lightgcn", "multivae", "sasrec", "two_tower"]
+    assert len(RETRIEVERS) == 12 and find(RETRIEVERS, "retriever", "Graph-Embeddings") is RETRIEVERS["graph_embeddings"]
+    own = {}
+    register(own, "My-Name", 1)
+    assert find(own, "thing", " my_name") == 1
+    for name in ("my_name", " "):
+        with pytest.raises(ValueError):
+            register(own, name, 2)
+    with pytest.raises(ValueError, match="my_name"):
+        find(own, "thing", "other")
+    assert list_plugins(spark).groupBy("kind").count().count() == 5
+    assert list_plugins(spark).count() == 12 + 5 + 3 + 2 + 6
 
 
 def test_similarity_is_symmetric_before_pruning(ring_prepared):
