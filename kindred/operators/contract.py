@@ -120,8 +120,10 @@ def item_catalog(events: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def catalog_documents(catalog: DataFrame) -> DataFrame:
-    """(item_id, doc): all metadata values of an item as one text."""
+    """(item_id, doc): all metadata values of an item as one text; nested ones as JSON."""
+    nested = {
+        c: F.to_json(c) for c in catalog.columns
+        if c != "item_id" and isinstance(catalog.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType))
+    }
     columns = [c for c in catalog.columns if c != "item_id"]
-    text_types = (T.StructType, T.ArrayType, T.MapType)
-    readable = [c for c in columns if not isinstance(catalog.schema[c].dataType, text_types)]
-    return catalog.select("item_id", document(readable, F.col("item_id")).alias("doc"))
+    return catalog.withColumns(nested).select("item_id", document(columns, F.col("item_id")).alias("doc"))

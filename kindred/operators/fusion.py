@@ -105,9 +105,9 @@ def _moments(view: ScoreView, batch: QueryBatch, space: ItemSpace) -> DataFrame:
 
     def finish(sums: DataFrame) -> DataFrame:
         mean = F.col("s") / n
-        var = F.col("ss") / n - mean * mean
-        # Rounding dust around an exactly constant score is not a spread.
-        flat = var <= F.lit(1e-12) * F.greatest(mean * mean, F.col("ss") / n)
+        var = F.greatest(F.col("ss") / n, F.lit(0.0))
+        # ``ss`` is taken around the mean vector; what is left of a constant score is rounding.
+        flat = var <= F.lit(1e-24) * mean * mean
         return sums.select(
             "request_id", mean.alias("mean"), F.when(flat, 1.0).otherwise(F.sqrt(var)).alias("std")
         )
@@ -161,28 +161,37 @@ def _moments(view: ScoreView, batch: QueryBatch, space: ItemSpace) -> DataFrame:
 
 
 def item_moments(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and second-moment sum of item vectors: one small partial per partition."""
+    """Sum of item vectors, and the second-moment sum around their mean: small partials per partition.
+
+    Around the mean, so that vectors far from the origin keep their spread.
+    """
+    count, first = _vector_sums(items, None)
+    _, second = _vector_sums(items, first[0] / max(count, 1))
+    return first[0], second
+
+
+def _vector_sums(items: DataFrame, centre: np.ndarray | None) -> tuple[int, np.ndarray]:
+    """(number of vectors, sum of vectors as one row); with a centre, the sum of products around it."""
 
     def partial(frames):
-        first, second = 0.0, 0.0
+        n, total = 0, None
         for frame in frames:
             if len(frame):
                 e = np.stack(frame["vec"].to_numpy()).astype(float)
-                first, second = first + e.sum(axis=0), second + e.T @ e
-        if not np.isscalar(first):
-            dim = len(first)
-            cells = np.concatenate([first[None, :], second]).ravel()
-            yield pd.DataFrame({"cell": np.arange(dim * (dim + 1)), "v": cells})
+                part = e.sum(axis=0)[None, :] if centre is None else (e - centre).T @ (e - centre)
+                n, total = n + len(e), part if total is None else total + part
+        if total is not None:
+            cells = np.concatenate([[float(n)], total.ravel()])
+            yield pd.DataFrame({"cell": np.arange(len(cells)), "v": cells})
 
     cells = items.select("vec").mapInPandas(partial, "cell bigint, v double")
-    # dim * (dim + 1) sums, whatever the number of items.
+    # dim or dim * dim sums, whatever the number of items.
     rows = cells.groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros(len(rows))
+    flat = np.zeros(max(len(rows), 1))
     for row in rows:
         flat[row["cell"]] = row["v"]
-    dim = int((np.sqrt(1 + 4 * len(rows)) - 1) / 2)
-    table = flat.reshape(dim + 1, dim)
-    return table[0], table[1:]
+    size = len(flat) - 1
+    return int(flat[0]), flat[1:].reshape((1, size) if centre is None else (len(centre), len(centre)))
 
 
 def weighted_topk(

@@ -369,7 +369,7 @@ def encode_sequence(model: FittedModel, batch: QueryBatch) -> DataFrame:
     length, dim, layers = (model.params[k] for k in ("max_length", "dim", "layers"))
     weights = weights_from_lists(model.params["weights"])
     if batch.mode == KNOWN_USER:
-        recent = model.tables["known"].withColumnRenamed("user_id", "request_id")
+        recent = batch.of_users(model.tables["known"])
     else:
         recent = recent_items(batch.recent, length, "request_id")
     items = model.tables["items"].withColumnRenamed("item", "node")

@@ -148,17 +148,22 @@ def recommend(
     batch: QueryBatch,
     space: ItemSpace,
     k: int = 10,
-    exclude_seen: bool = True,
+    exclude_seen: bool | DataFrame = True,
     scores: DataFrame | None = None,
 ) -> DataFrame:
     """(request_id, item_id, score, rank) for every request of the batch.
 
+    ``exclude_seen`` can be a table (request_id) of the requests that hide what they have seen.
+
     A hybrid's fusion and reranker are looked up by the names it was fitted with; ``scores``
     (request_id, item_id, score) goes to the reranker.
     """
     if batch.mode not in model.modes:
         raise ValueError(f"{model.plugin} does not support {batch.mode} queries")
-    seen = seen_pairs(batch) if exclude_seen else None
+    if isinstance(exclude_seen, DataFrame):
+        seen = seen_pairs(batch).join(exclude_seen.select("request_id"), "request_id", "left_semi")
+    else:
+        seen = seen_pairs(batch) if exclude_seen else None
     if model.runtime != "hybrid":
         return view_topk(score_view(model, batch), batch, space, k, seen)
     fuse = find(FUSIONS, "fusion strategy", model.params.get("fusion", "rrf"))
@@ -198,12 +203,28 @@ def recommend_sessions(
         "top_k": F.coalesce("top_k", F.lit(k)), "exclude_seen": F.coalesce("exclude_seen", F.lit(True)),
     })
     k = requests.agg(F.max("top_k")).first()[0] or k
-    parts = []
-    for hide in (True, False):
-        some = requests.where(F.col("exclude_seen") == hide).select("request_id", "top_k")
-        part = recommend(model, restrict(batch, some), space, k, hide)
-        parts.append(part.join(some, "request_id").where(F.col("rank") <= F.col("top_k")))
-    return parts[0].unionByName(parts[1]).drop("top_k")
+    hide = requests.where("exclude_seen").select("request_id")
+    found = recommend(model, restrict(batch, requests), space, k, hide)
+    return within_depth(found, requests)
+
+
+def within_depth(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows within each request's own ``top_k``."""
+    deep = requests.select("request_id", "top_k")
+    return found.join(deep, "request_id").where(F.col("rank") <= F.col("top_k")).drop("top_k")
+
+
+def known_user_batch(requests: DataFrame, train: DataFrame) -> QueryBatch:
+    """Requests (request_id, user_id) by known users; several may name one user.
+
+    ``train`` is (user_id, item_id, value); the order of a user's items is id order.
+    """
+    user_of = requests.select("request_id", "user_id")
+    vector = train.join(user_of, "user_id").select("request_id", "item_id", "value")
+    last = vector.where(F.col("value") != 0).groupBy("request_id").agg(F.max("item_id").alias("item_id"))
+    return QueryBatch(
+        KNOWN_USER, user_of.select("request_id"), vector, last, hot=hot_groups(vector, ["request_id"]), user_of=user_of
+    )
 
 
 def restrict(batch: QueryBatch, requests: DataFrame) -> QueryBatch:
@@ -214,7 +235,7 @@ def restrict(batch: QueryBatch, requests: DataFrame) -> QueryBatch:
 
     return QueryBatch(
         batch.mode, only(batch.requests), only(batch.vector), only(batch.last),
-        only(batch.recent), batch.hot,
+        only(batch.recent), batch.hot, only(batch.user_of),
     )
 
 

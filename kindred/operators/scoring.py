@@ -128,10 +128,7 @@ def _sequential_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
     """The last item's row; requests without one get the popularity base."""
     tables, last = model.tables, batch.last
     if batch.mode == KNOWN_USER:
-        last = (
-            tables["last_items"].withColumnRenamed("user_id", "request_id")
-            .join(batch.requests.select("request_id"), "request_id", "left_semi")
-        )
+        last = batch.of_users(tables["last_items"])
     rows = pin(last_item_rows(last, tables["similarity"]))
     others = batch.requests.select("request_id").join(rows.select("request_id").distinct(), "request_id", "left_anti")
     return ScoreView(model.plugin, nonzero=rows, base=tables["scores"], base_requests=others)
@@ -140,9 +137,7 @@ def _sequential_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
 def _embedding_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
     items = model.tables["items"]
     if batch.mode == KNOWN_USER:
-        queries = model.tables["users"].select(F.col("user_id").alias("qid"), "vec").join(
-            batch.requests.select(F.col("request_id").alias("qid")), "qid", "left_semi"
-        )
+        queries = batch.of_users(model.tables["users"]).select(F.col("request_id").alias("qid"), "vec")
     else:
         queries = history_profile(batch.vector, items, model.params["dim"])
     return ScoreView(model.plugin, vectors=(queries, items))
@@ -339,13 +334,16 @@ def _signed_ranks(nonzero: DataFrame, batch: QueryBatch) -> DataFrame:
     ).drop("_up")
 
 
-def _marks_ahead(points: DataFrame, marks: DataFrame, batch: QueryBatch) -> DataFrame:
-    """Add ``ahead``: marks (request_id, pos) of the same request at or before each point."""
+def marks_ahead(points: DataFrame, marks: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Add ``ahead``: marks (request_id, pos) of the same request at or before each point.
+
+    Points and marks are sorted together once and the marks counted on the way.
+    """
     columns = points.columns
     both = points.withColumn("_mark", F.lit(0)).unionByName(
         marks.select("request_id", "pos", F.lit(1).alias("_mark")), allowMissingColumns=True
     )
-    if batch.hot is None:
+    if hot is None:
         window = Window.partitionBy("request_id").orderBy("pos").rangeBetween(
             Window.unboundedPreceding, Window.currentRow
         )
@@ -382,7 +380,7 @@ def view_ranks(
         if masked is None:
             ranked = placed.withColumn("rank", F.col("pos"))
         else:
-            ranked = _marks_ahead(placed, _with_pos(masked, view.base), batch).withColumn(
+            ranked = marks_ahead(placed, _with_pos(masked, view.base), batch.hot).withColumn(
                 "rank", F.col("pos") - F.col("ahead")
             )
         parts.append(ranked)
@@ -412,7 +410,7 @@ def view_ranks(
             space.items, "item_id"
         )
         zeros = (
-            _marks_ahead(zeros, _with_pos(marks, space.items), batch)
+            marks_ahead(zeros, _with_pos(marks, space.items), batch.hot)
             .join(sizes, "request_id", "left")
             .withColumn("score", F.lit(0.0))
             .withColumn(
@@ -498,6 +496,6 @@ def _vector_ranks(
     hidden = _vector_ranks(view, masked, None, batch).select(
         "request_id", F.col("rank").alias("pos")
     )
-    return _marks_ahead(ranked.withColumn("pos", F.col("rank")), hidden, batch).withColumn(
+    return marks_ahead(ranked.withColumn("pos", F.col("rank")), hidden, batch.hot).withColumn(
         "rank", F.col("rank") - F.col("ahead")
     )

@@ -167,9 +167,23 @@ def prepare(
     catalog: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> Prepared:
-    """Split normalized events; the labelled events and the catalog are written once."""
+    """Split normalized events; the labelled events and the catalog are written once.
+
+    One aggregate checks that ``order`` tells all rows apart (ties would make the split and the last
+    catalog record a matter of chance) and, for a temporal split, that every row has a time.
+    """
+    split.check()
+    timed = split.strategy == "temporal" and "timestamp" in events.columns
+    rows, places, untimed = events.agg(
+        F.count(F.lit(1)), F.count_distinct(F.struct(*order)),
+        F.count_if(F.col("timestamp").isNull()) if timed else F.lit(0),
+    ).first()
+    if untimed:
+        raise ContractError("temporal split requires a timestamp for every interaction")
+    if rows != places:
+        raise ContractError(f"{', '.join(order)} must tell all rows apart ({rows - places} ties)")
     hot = hot_groups(events, ["user_id"], hot_rows)
-    labelled = pin(split_events(events, order, split, hot=hot, hot_rows=hot_rows))
+    labelled = pin(split_events(events, order, split, hot=hot, hot_rows=hot_rows, check_times=False))
     return Prepared(
         events=labelled,
         order=tuple(order),

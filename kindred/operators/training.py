@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kindred.functions.text import seeded_unit
 from kindred.operators.graph import seeded_normals
 from kindred.operators.positions import group_positions
+from kindred.operators.scoring import marks_ahead
 from kindred.operators.split import Prepared, dense_index
 from kindred.operators.vectors import sum_vectors
 from kindred.session import pin, release
@@ -109,14 +110,10 @@ def sample_pairs(space: NodeSpace, size: int, steps: int, seed: int) -> DataFram
         "draw", "step", "user", F.col("item").alias("positive"), "free"
     )
     # item - at unseen items lie before a stored entry; it precedes the (free + 1)-th unseen item
-    # exactly when that count does not exceed free.
-    ahead = (
-        draws.select("draw", "user", "free")
-        .join(placed, "user")
-        .where(F.col("item") - F.col("at") <= F.col("free"))
-        .groupBy("draw")
-        .agg(F.count(F.lit(1)).alias("ahead"))
-    )
+    # exactly when that count does not exceed free. Draws and entries of a user are sorted together.
+    marks = placed.select(F.col("user").alias("request_id"), (F.col("item") - F.col("at")).alias("pos"))
+    points = draws.select(F.col("user").alias("request_id"), F.col("free").alias("pos"), "draw")
+    ahead = marks_ahead(points, marks, space.hot).select("draw", "ahead")
     negative = F.col("free") + 1 + F.coalesce("ahead", F.lit(0))
     return positives.join(ahead, "draw", "left").select(
         F.col("step").cast("bigint").alias("step"), "user", "positive", negative.alias("negative")

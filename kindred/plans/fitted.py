@@ -29,7 +29,8 @@ class QueryBatch:
 
     ``requests`` is (request_id), ``vector`` is (request_id, item_id, value) with repeats summed,
     ``last`` is (request_id, item_id), ``recent`` is (request_id, item_id, pos). For known users
-    the request id is the user id. ``hot`` lists requests too large for one task.
+    the request id is the user id, unless ``user_of`` (request_id, user_id) says whose request it is.
+    ``hot`` lists requests too large for one task.
     """
 
     mode: str
@@ -38,6 +39,14 @@ class QueryBatch:
     last: DataFrame | None = None
     recent: DataFrame | None = None
     hot: DataFrame | None = None
+    user_of: DataFrame | None = None
+
+    def of_users(self, table: DataFrame) -> DataFrame:
+        """A table by user_id as one by request_id, for the requests of the batch."""
+        if self.user_of is not None:
+            return table.join(self.user_of, "user_id").drop("user_id")
+        mine = table.withColumnRenamed("user_id", "request_id")
+        return mine.join(self.requests.select("request_id"), "request_id", "left_semi")
 
 
 @dataclass

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +58,31 @@ def pin(df: DataFrame) -> DataFrame:
     file_system.deleteOnExit(target)
     pinned = spark.read.schema(df.schema).parquet(path)
     pinned._kindred_pin = path
+    for scope in getattr(_SCOPES, "open", []):
+        scope.append(pinned)
     return pinned
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def pin_scope() -> Iterator[None]:
+    """Drops every copy that :func:`pin` wrote inside, once the block ends, however it ends.
+
+    For work whose results are written elsewhere, such as a micro-batch.
+    """
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    mine: list[DataFrame] = []
+    scopes.append(mine)
+    try:
+        yield
+    finally:
+        scopes[:] = [s for s in scopes if s is not mine]
+        for df in mine:
+            release(df)
+
+
 def release(df: DataFrame) -> None:
     """Drop the written copy behind a pinned table that nothing reads any more."""
     path = getattr(df, "_kindred_pin", None)

@@ -1,4 +1,4 @@
-"""Structured Streaming: every row of the stream is one whole session request."""
+"""Structured Streaming: every row of the stream is one whole request, by a user or by a session."""
 
 from __future__ import annotations
 
@@ -6,70 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from kindred.operators.recommend import (
-    MAX_TOP_K,
-    attach_metadata,
-    recommend_sessions,
-    request_status,
-    with_exhaustion,
-)
-from kindred.plans.fitted import FittedModel, ItemSpace
-from kindred.session import pin, release
+from kindred.plans.serving import Server
+from kindred.session import pin, pin_scope
 
-REQUEST_SCHEMA = (
-    "request_id string, user_id bigint, top_k int, exclude_seen boolean, "
-    "interactions array<struct<item_id:bigint,value:double,timestamp:timestamp>>"
-)
 
-
-def answer_batch(
-    model: FittedModel, space: ItemSpace, users: DataFrame, catalog: DataFrame, requests: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """(recommendations, status) of one batch of request rows."""
-    requests = requests.withColumns({
-        "top_k": F.coalesce("top_k", F.lit(10)),
-        "exclude_seen": F.coalesce("exclude_seen", F.lit(True)),
-    })
-    interactions = requests.select(
-        "request_id", F.posexplode("interactions").alias("pos", "i")
-    ).select(
-        "request_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("i.item_id"),
-        F.coalesce("i.value", F.lit(1.0)).alias("value"), F.col("i.timestamp"),
+def split_requests(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of `Server.request_schema` as (requests, interactions)."""
+    requests = rows.select("request_id", "user_id", "top_k", "exclude_seen")
+    interactions = rows.select("request_id", F.posexplode("interactions").alias("pos", "i")).select(
+        "request_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("i.item_id").alias("item_id"),
+        F.coalesce("i.value", F.lit(1.0)).alias("value"), F.col("i.timestamp").alias("timestamp"),
     )
-    # Streams carry histories only; a request by user id has no answer here.
-    status = pin(request_status(requests, interactions, users, space.items, ("history",)))
-    good = requests.join(
-        status.where(F.col("status") == "ok"), "request_id", "left_semi"
-    ).select("request_id", "top_k", "exclude_seen")
-    deepest = good.agg(F.max("top_k")).first()[0] or 1
-    found = pin(recommend_sessions(
-        model, space, interactions.join(good, "request_id", "left_semi"), good,
-        min(int(deepest), MAX_TOP_K),
-    ))
-    return attach_metadata(found, catalog), with_exhaustion(status, found)
+    return requests, interactions
 
 
 def recommend_stream(
-    model: FittedModel,
-    space: ItemSpace,
-    users: DataFrame,
-    catalog: DataFrame,
-    stream: DataFrame,
-    sink: str,
-    checkpoint: str,
-    available_now: bool = True,
+    server: Server, stream: DataFrame, sink: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Answer a stream of requests (REQUEST_SCHEMA); stateless, so no watermark.
+    """Answer a stream of requests (`Server.request_schema`); stateless, so no watermark.
 
-    Each micro-batch overwrites its own folder, so a replayed batch leaves no duplicates.
+    Each micro-batch overwrites its own folder, so a replayed batch leaves no duplicates, and drops
+    every copy it has written on the way.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        held = pin(batch)
-        found, status = answer_batch(model, space, users, catalog, held)
-        found.write.mode("overwrite").parquet(f"{sink}/recommendations/batch={number}")
-        status.write.mode("overwrite").parquet(f"{sink}/status/batch={number}")
-        release(held)
+        with pin_scope():
+            found, status = server.answer(*split_requests(pin(batch)))
+            found.write.mode("overwrite").parquet(f"{sink}/recommendations/batch={number}")
+            status.write.mode("overwrite").parquet(f"{sink}/status/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()

@@ -1,21 +1,25 @@
 import json
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators.contract import ContractError, normalize
+from kindred.operators.contract import ContractError, catalog_documents, normalize
+from kindred.operators.recommend import recommend_users
 from kindred.operators.retrievers import item_space
 from kindred.operators.split import Split, prepare
 from kindred.plans.hybrid import fit_hybrid
 from kindred.plans.registry import fit_component
+from kindred.plans.serving import Server
+from kindred.session import pin, pin_scope, release, shared_folder
 from kindred.plans.workflow import evaluate, run
 from kindred.sources.digests import canonical_json, digest_token, table_digest, value_digest
 from kindred.sources.store import (
     IntegrityError, describe, load_model, load_prepared, save_model, save_prepared,
 )
 from kindred.sources.tables import load_interactions, read_movielens, read_table, read_yelp, synthetic
-from kindred.streaming.sessions import REQUEST_SCHEMA, recommend_stream
+from kindred.streaming.sessions import recommend_stream
 
 
 def write(path, text):
@@ -213,26 +217,116 @@ def test_evaluation_checks_the_dataset(small_prepared):
         evaluate(model, small_prepared, 3, trained_on="sha256:other")
 
 
-def test_stream_of_sessions(spark, small_prepared, tmp_path):
-    source = tmp_path / "in"
-    rows = [
-        ("good", None, 3, True, [(0, 1.0, None), (5, 2.0, None)]),
-        ("seen", None, 18, False, [(0, 1.0, None)]),
-        ("odd", None, 3, True, [(999, 1.0, None)]),
-        ("empty", None, 3, True, []),
-    ]
-    spark.createDataFrame(rows, REQUEST_SCHEMA).coalesce(1).write.parquet(str(source))
-    model = fit_component("itemknn", small_prepared)
-    stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(str(source))
-    query = recommend_stream(
-        model, item_space(small_prepared), small_prepared.users, small_prepared.catalog, stream,
-        str(tmp_path / "out"), str(tmp_path / "progress"),
-    )
-    query.awaitTermination()
+def pins(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://")) / "kindred-pins"
+    return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+
+REQUESTS = [
+    ("good", None, 3, True, [(0, 1.0, None), (5, 2.0, None)]),
+    ("seen", None, 18, False, [(0, 1.0, None)]),
+    ("odd", None, 3, True, [(999, 1.0, None)]),
+    ("empty", None, 3, True, []),
+    ("user", 2, 4, True, None),
+    ("user again", 2, 18, False, None),
+    ("nobody", 77, 3, True, None),
+    ("both", 2, 3, True, [(0, 1.0, None)]),
+    ("deep", 1, 2000, True, None),
+    ("plain", 3, None, None, None),
+]
+WANT = {
+    "good": "ok", "seen": "ok", "odd": "unknown_identifier", "empty": "invalid_request", "user": "ok", "user again": "ok",
+    "nobody": "unknown_identifier", "both": "invalid_request", "deep": "invalid_request", "plain": "ok",
+}
+
+
+def test_stream_of_users_and_sessions(spark, small_prepared, tmp_path):
+    """From a stored model alone; every micro-batch frees its copies."""
+    stored = save_model(fit_component("popularity", small_prepared), small_prepared, str(tmp_path / "models"))
+    server = Server.of(load_model(spark, stored.path))
+    schema = server.request_schema()
+    for n in range(2):
+        part = [(f"{r[0]}{n}", *r[1:]) for r in REQUESTS]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    server.space.items.count()
+    before = pins(spark)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    recommend_stream(server, stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert pins(spark) == before
+    status = {r.request_id: r.status for r in spark.read.parquet(str(tmp_path / "out/status")).collect()}
+    assert status == {f"{name}{n}": want for name, want in WANT.items() for n in range(2)}
     out = spark.read.parquet(str(tmp_path / "out/recommendations"))
     counts = {r.request_id: r["count"] for r in out.groupBy("request_id").count().collect()}
-    assert counts == {"good": 3, "seen": 18}
-    status = {r.request_id: r.status for r in
-              spark.read.parquet(str(tmp_path / "out/status")).collect()}
-    assert status == {"good": "ok", "seen": "ok", "odd": "unknown_identifier",
-                      "empty": "invalid_request"}
+    deep = {"good": 3, "seen": 18, "user": 4, "user again": 18, "plain": 10}
+    assert counts == {f"{name}{n}": k for name, k in deep.items() for n in range(2)}
+    direct = recommend_users(stored.model, small_prepared, k=4).where("user_id = 2").orderBy("rank").collect()
+    got = out.where("request_id = 'user0'").orderBy("rank").collect()
+    assert [(r.item_id, r.score) for r in got] == [(r.item_id, r.score) for r in direct]
+
+
+@pytest.mark.parametrize("name", ["markov", "bpr", "sasrec"])
+def test_requests_of_one_user_may_differ(spark, small_prepared, name):
+    """Runtimes with tables by user find them through the request."""
+    params = {"embedding_dim": 4, "epochs": 1, "steps": 1, "max_length": 4, "hidden": 4}
+    model = fit_component(name, small_prepared, params)
+    server = Server.prepared(model, small_prepared)
+    rows = [("a", 0, 2, True), ("b", 0, 18, False), ("c", 1, 3, True)]
+    requests = spark.createDataFrame(rows, "request_id string, user_id long, top_k int, exclude_seen boolean")
+    none = spark.createDataFrame([], "request_id string, pos long, item_id long, value double")
+    found, status = server.answer(requests, none)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.request_id, {})[r["rank"]] = (r.item_id, r.score)
+    assert {r.status for r in status.collect()} == {"ok"}
+    assert {k: len(v) for k, v in got.items()} == {"a": 2, "b": 18, "c": 3}
+    direct = recommend_users(model, small_prepared, k=3).collect()
+    for r in direct:
+        if r.user_id == 1:
+            assert got["c"][r["rank"]][0] == r.item_id
+
+
+def test_pin_scope_frees_copies_when_work_fails(spark):
+    before = pins(spark)
+    with pytest.raises(ValueError):
+        with pin_scope():
+            pin(spark.range(3))
+            with pin_scope():
+                pin(spark.range(4))
+            raise ValueError
+    assert pins(spark) == before
+    kept = pin(spark.range(2))
+    assert len(pins(spark) - before) == 1
+    release(kept)
+
+
+def test_rows_are_numbered_by_file_and_place(spark, tmp_path):
+    """Whatever the sizes of the files and the packing into tasks."""
+    big = "".join(f"u{i},b{i}\n" for i in range(3000))
+    write(tmp_path / "t/b.csv", "user_id,item_id\n" + big)
+    write(tmp_path / "t/a.csv", "user_id,item_id\nu1,a0\nu2,a1\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    numbers = []
+    for most in ("8192", old):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            frame, _, order = load_interactions(spark, {"name": "tabular", "path": str(tmp_path / "t"), "format": "csv"})
+            assert order == ["event_order"]
+            numbers.append({r.item_id: r.event_order for r in frame.collect()})
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert numbers[0] == numbers[1] == {"a0": 1, "a1": 2, **{f"b{i}": i + 3 for i in range(3000)}}
+
+
+def test_ties_of_the_order_are_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (2, 1, 1)], "user_id long, item_id long, o long")
+    with pytest.raises(ContractError, match="1 ties"):
+        prepare(normalize(df), ["o"])
+
+
+def test_nested_metadata_is_part_of_the_document(spark):
+    catalog = spark.createDataFrame(
+        [(1, ["rock", "jazz"], ("x", 2), {"k": "v"}, "t"), (2, None, None, None, None)],
+        "item_id long, tags array<string>, pair struct<a:string,b:int>, more map<string,string>, title string",
+    )
+    docs = {r.item_id: r.doc for r in catalog_documents(catalog).collect()}
+    assert docs == {1: '["rock","jazz"] {"a":"x","b":2} {"k":"v"} t', 2: "2"}
