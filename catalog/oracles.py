@@ -298,7 +298,106 @@ cte("mpairs", "mplace", """SELECT a.user_id, a.item_id AS up, b.item_id AS down,
 cte("mpulls", "mpairs", """SELECT user_id, up AS item_id, delta AS d FROM mpairs
     UNION ALL SELECT user_id, down, -delta FROM mpairs""")
 
+def unit(part: int) -> str:
+    return f"""(('0x' || substr(sha256('7|' || draw || '|{part}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656"""
+
+
+def below(part: int, limit: str) -> str:
+    return f"CAST(least(floor({unit(part)} * ({limit})), ({limit}) - 1) AS BIGINT)"
+
+
+cte("unodes", "cusers", """SELECT user_id, row_number() OVER (ORDER BY user_id) AS pos FROM cusers""")
+cte("entries", "cr_train unodes citems", """SELECT -u.pos AS "user", i.pos AS item FROM cr_train
+    JOIN unodes u USING (user_id) JOIN citems i USING (item_id)""")
+cte("eligible", "entries citems", """SELECT *, row_number() OVER (ORDER BY -"user") AS spot FROM (SELECT "user",
+    count(*) AS stored FROM entries GROUP BY 1) WHERE stored < (SELECT count(*) FROM citems)""")
+cte("drawn", "entries eligible citems", f"""SELECT draw, "user", {below(1, 'stored')} + 1 AS spot,
+    {below(2, '(SELECT count(*) FROM citems) - stored')} + 1 AS free FROM (SELECT draw,
+    {below(0, '(SELECT count(*) FROM eligible)')} + 1 AS spot FROM (SELECT unnest(range((SELECT count(*) FROM cr_train)))
+    AS draw)) JOIN eligible USING (spot)""")
+cte("unseen", "entries citems", """SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY item) AS free
+    FROM (SELECT DISTINCT "user" FROM entries) CROSS JOIN (SELECT pos AS item FROM citems)
+    ANTI JOIN entries USING ("user", item)""")
+cte("draws", "drawn entries unseen", """SELECT d.draw, d."user", p.item AS positive, n.item AS negative FROM drawn d
+    JOIN (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY item) AS spot FROM entries) p
+    ON d."user" = p."user" AND d.spot = p.spot JOIN unseen n ON d."user" = n."user" AND d.free = n.free""")
+cte("given", "unodes citems", """SELECT node, d AS dim, (((node * (d + 3)) % 17 + 17) % 17) / 17 - 0.3 AS x FROM
+    (SELECT -pos AS node FROM unodes UNION ALL SELECT pos FROM citems), range(0, 4) r(d)""")
+cte("narcs", "entries", """SELECT unnest([{'n': "user", 'o': item}, {'n': item, 'o': "user"}], recursive := true), w FROM (SELECT "user",
+    item, 1.0::DOUBLE / sqrt(count(*) OVER (PARTITION BY "user") * count(*) OVER (PARTITION BY item)) AS w FROM entries)""")
+
+
+def spread(name: str, source: str) -> None:
+    """Mean of layers 0 to 2 of a table (node, dim, x)."""
+    layer = "SELECT n AS node, dim, sum(w * x) AS x FROM narcs JOIN {} ON o = node GROUP BY ALL"
+    cte(f"{name}1", f"{source} narcs", layer.format(source))
+    cte(f"{name}2", f"{name}1 narcs", layer.format(f"{name}1"))
+    cte(name, f"{source} {name}1 {name}2", f"""SELECT node, dim, sum(x) / 3 AS x FROM (SELECT node, dim, x FROM {source}
+        UNION ALL SELECT * FROM {name}1 UNION ALL SELECT * FROM {name}2) GROUP BY ALL""")
+
+
+def pulled(name: str, vectors: str) -> None:
+    """Gradient (node, dim, x) of the mean pairwise loss at a table of vectors."""
+    cte(f"{name}_rows", f"draws {vectors}", f"""SELECT d.draw, "user", positive, negative, u.dim, u.x AS u, p.x AS p, n.x AS n,
+        -1.0::DOUBLE / (1 + exp(sum(u.x * (p.x - n.x)) OVER (PARTITION BY d.draw))) / (SELECT count(*) FROM draws) AS c
+        FROM draws d JOIN {vectors} u ON u.node = "user" JOIN {vectors} p ON p.node = positive AND p.dim = u.dim
+        JOIN {vectors} n ON n.node = negative AND n.dim = u.dim""")
+    cte(name, f"{name}_rows", f"""SELECT node, dim, sum(g) AS x FROM (SELECT "user" AS node, dim, c * (p - n) AS g FROM {name}_rows
+        UNION ALL SELECT positive, dim, c * u FROM {name}_rows UNION ALL SELECT negative, dim, -c * u FROM {name}_rows) GROUP BY ALL""")
+
+
+def stepped(gradient: str) -> str:
+    """First step of Adam: the gradient over its own size."""
+    return f"""SELECT node, dim, {r6('s.x - 0.05::DOUBLE * coalesce(g.x / (abs(g.x) + 1e-8), 0)')} AS x
+        FROM given s LEFT JOIN {gradient} g USING (node, dim)"""
+
+
+pulled("bpr_g", "given")
+spread("gcn_e", "given")
+pulled("gcn_o", "gcn_e")
+spread("gcn_b", "gcn_o")
+cte("gcn_g", "gcn_b draws given", """SELECT node, dim, sum(x) AS x FROM (SELECT * FROM gcn_b UNION ALL
+    SELECT node, dim, x * k * (2 * 0.01::DOUBLE / (SELECT count(*) FROM draws)) FROM given JOIN (SELECT node, count(*) AS k FROM
+    (SELECT unnest(["user", positive, negative]) AS node FROM draws) GROUP BY 1) USING (node)) GROUP BY ALL""")
+
+cte("uvec", "cusers citems", """SELECT user_id, item_id, CAST(sum(((user_id * (d + 3)) % 17 / 17 - 0.4) * ((item_id * (d + 3)) % 17 / 17 - 0.4))
+    AS DOUBLE) AS score FROM cusers, citems, range(0, 4) r(d) GROUP BY ALL""")
+cte("uvec_unseen", "uvec cseen", f"""SELECT user_id, item_id, {q9('score')} AS score FROM uvec
+    ANTI JOIN cseen s ON uvec.user_id = s.user_id AND uvec.item_id = s.item_id""")
+cte("mixed", "markov_time cseen", """SELECT * FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id
+    ORDER BY score DESC, item_id) AS rank FROM markov_time m WHERE user_id % 17 <> 0 AND NOT (user_id % 2 = 0
+    AND (user_id, item_id) IN (SELECT (user_id, item_id) FROM cseen))) WHERE rank <= user_id % 10 + 1""")
+REQUESTS = sql("mixed cusers cseen", f"""SELECT CAST(u.user_id AS VARCHAR) AS request_id, CASE WHEN u.user_id % 17 = 0 OR u.user_id % 3 = 0
+    THEN 'known_user' ELSE 'history' END AS mode, CASE WHEN u.user_id % 17 = 0 THEN 'unknown_identifier' ELSE 'ok' END AS status,
+    coalesce(item_id, -1) AS item_id, coalesce({r6('score')}, -1) AS score, coalesce(rank, 0) AS rank FROM (SELECT DISTINCT user_id FROM cseen) u LEFT JOIN mixed USING (user_id)""")
+for turn, cond in ((0, "(user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM cseen)"), (1, "TRUE")):
+    cte(f"turn{turn}", "markov_time cseen", f"""SELECT user_id * 2 + {turn} AS request_id, user_id % 5 + 1 AS deep, item_id, score
+        FROM markov_time WHERE {cond}""")
+cte("turns", "turn0 turn1", "SELECT * FROM turn0 UNION ALL SELECT * FROM turn1")
+EXPORTED = sql("clicks", f"SELECT user_id, item_id, {r6('value')} AS value, CAST(floor(epoch_us(happened) / 1000000) AS BIGINT) AS t FROM clicks")
+
 ORACLES: dict[str, str] = {
+    "pair_draws": sql("draws", """SELECT 0::BIGINT AS step, "user", positive, negative FROM draws"""),
+    "bpr_one_step": sql("given bpr_g", stepped("bpr_g")),
+    "lightgcn_one_step": sql("given gcn_g", stepped("gcn_g")),
+    "scan_csv": f"SELECT event_id, user_id, event_type, props, {r6('value')} AS value FROM events",
+    "scan_movielens_csv": EXPORTED,
+    "scan_movielens_dat": EXPORTED,
+    "scan_yelp_json": EXPORTED,
+    "adapter_row_order": "SELECT event_id, row_number() OVER () AS place FROM events",
+    "prepared_round_trip": sql("csplit", "SELECT event_id, user_id, split FROM csplit"),
+    "model_round_trip": sql("cknn10", f"SELECT item, other, {r6('weight')} AS weight FROM cknn10"),
+    "model_description": sql("citems", """SELECT 'itemknn' AS plugin, 'sparse' AS runtime, 'history' AS capabilities,
+        count(*) AS catalog_size FROM citems"""),
+    "payload_violations": sql("cknn10", """SELECT * FROM (SELECT 'itemknn.non_finite' AS name, count(*) AS n FROM cknn10
+        WHERE item % 7 = 0 UNION ALL SELECT 'itemknn.unknown_other', count(*) FROM cknn10 WHERE other % 11 = 0) WHERE n > 0"""),
+    "evaluate_hybrid": sql("rrf2 cr_test", metrics(top("rrf2", 10), "cr_test")),
+    "run_metrics": sql("rrf2 cr_test", metrics(top("rrf2", 10), "cr_test")),
+    "recommend_requests": REQUESTS,
+    "stream_requests": REQUESTS,
+    "score_embedding_user": sql("uvec_unseen", top("uvec_unseen", 10)),
+    "user_requests": sql("turns", f"""SELECT request_id, item_id, {r6('score')} AS score, rank FROM (SELECT *, row_number() OVER
+        (PARTITION BY request_id ORDER BY score DESC, item_id) AS rank FROM turns) WHERE rank <= deep"""),
     "lambda_gradients": sql("mplace mpulls", f"""SELECT m.user_id, m.item_id, {r6('coalesce(sum(d), 0) / 2')} AS g,
         {r6('coalesce(sum(abs(d)), 0) / 4')} AS h FROM mplace m LEFT JOIN mpulls p
         ON m.user_id = p.user_id AND m.item_id = p.item_id GROUP BY ALL"""),

@@ -13,11 +13,12 @@ from kindred.functions.numbers import clean_metadata, quantize
 from kindred.functions.text import document, hash_column, hash_sign, tokens
 from kindred.functions.times import micros
 from kindred.operators import evaluate, fusion, pairs, recommend, scoring, sequences, split, textsim
-from kindred.operators import contract, graph, ranker, training
+from kindred.operators import contract, factor, graph, ranker, training
 from kindred.operators.retrievers import item_space
 from kindred.operators.vectors import embedding_neighbours, inner_product_topk, l2_normalize
 from kindred.plans import hybrid
 from kindred.plans.fitted import HISTORY, FittedModel, QueryBatch
+from kindred.session import pin
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -738,3 +739,41 @@ def sasrec_top10(spark, sf):
     return _trained(
         spark, sf, "sasrec", embedding_dim=16, max_length=10, layers=1, batch_size=1 << 17
     )
+
+
+def _given_table(space, dim: int = 4) -> DataFrame:
+    """Start vectors that follow from the node numbers."""
+    cells = [F.pmod(F.col("node") * (d + 3), F.lit(17)) / 17 - 0.3 for d in range(dim)]
+    return pin(training.with_moments(training.all_nodes(space).select("node", F.array(*cells).alias("vec")), dim))
+
+
+def _one_step(spark, sf, step) -> DataFrame:
+    data = views.prepared_clicks(spark, sf)
+    space = training.NodeSpace.of(data)
+    size = data.ratings("train").count()
+    table = step(space, _given_table(space), training.sample_pairs(space, size, 1, 7), size)
+    return table.select("node", F.posexplode("vec").alias("dim", "x")).select("node", big("dim"), r6("x"))
+
+
+@query
+def pair_draws(spark, sf):
+    """Every draw of a user, a stored and an unseen item, as node numbers."""
+    data = views.prepared_clicks(spark, sf)
+    space = training.NodeSpace.of(data)
+    drawn = training.sample_pairs(space, data.ratings("train").count(), 1, 7)
+    return drawn.select(*[big(c) for c in ("step", "user", "positive", "negative")])
+
+
+@query
+def bpr_one_step(spark, sf):
+    """Factors after one step of matrix factorization on all draws, from given factors."""
+    return _one_step(spark, sf, lambda space, table, pairs, size: factor.bpr_step(table, pairs, size, 4, 1, 0.05))
+
+
+@query
+def lightgcn_one_step(spark, sf):
+    """Layer-0 vectors after one step through two layers of the click graph."""
+    def step(space, table, pairs, size):
+        return factor.lightgcn_step(table, pin(factor.node_arcs(space)), pin(pairs), size, 4, 2, 0.01, 1, 0.05)
+
+    return _one_step(spark, sf, step)

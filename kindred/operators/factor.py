@@ -64,18 +64,30 @@ def pair_gradient(joined: DataFrame, size: int, extra: Column | None = None) ->
     return rows.select(F.explode(parts).alias("r")).select("r.node", "r.g")
 
 
+def pair_table(space: NodeSpace, training: Training, params: dict[str, Any], entries: int) -> tuple[DataFrame, int, int]:
+    """(pairs, batch size, steps); a step's pairs lie in a folder of their own and are all that it reads."""
+    size, steps = max(1, training.batch_size), training.steps(params, entries)
+    return pin(sample_pairs(space, size, steps, training.seed), by="step"), size, steps
+
+
+def of_step(pairs: DataFrame, step: int) -> DataFrame:
+    return pairs.where(F.col("step") == step)
+
+
+def bpr_step(table: DataFrame, batch: DataFrame, size: int, dim: int, step: int, rate: float) -> DataFrame:
+    """One step on a batch of pairs; ``table`` is (node, vec, m, v)."""
+    gradient = summed_gradient(pair_gradient(with_vectors(batch, table), size), dim)
+    return adam_step(table, gradient, dim, step, rate)
+
+
 def fit_bpr(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     """Matrix factorization with pairwise ranking loss and Adam on the factor table."""
     training, dim = Training.of(params), int(params.get("embedding_dim", 32))
     space = NodeSpace.of(prepared)
-    size = max(1, training.batch_size)
-    steps = training.steps(params, prepared.ratings("train").count())
-    pairs = pin(sample_pairs(space, size, steps, training.seed))
+    pairs, size, steps = pair_table(space, training, params, prepared.ratings("train").count())
     table = normal_parameters(all_nodes(space), dim, training.seed)
     for step in range(steps):
-        joined = with_vectors(pairs.where(F.col("step") == step), table)
-        gradient = summed_gradient(pair_gradient(joined, size), dim)
-        table = adam_step(table, gradient, dim, step + 1, training.learning_rate)
+        table = bpr_step(table, of_step(pairs, step), size, dim, step + 1, training.learning_rate)
     return _embedding_model("bpr", space, table.select("node", "vec"), dim, (HISTORY, KNOWN_USER))
 
 
@@ -106,6 +118,22 @@ def propagate_nodes(arcs: DataFrame, vectors: DataFrame, layers: int, dim: int)
     return mean.select("node", scale(F.col("vec"), F.lit(1.0 / (layers + 1))).alias("vec"))
 
 
+def lightgcn_step(
+    table: DataFrame, arcs: DataFrame, batch: DataFrame, size: int, dim: int, layers: int, l2: float, step: int, rate: float
+) -> DataFrame:
+    """One step: gradients of the propagated vectors, propagated back, and the decay of the drawn rows."""
+    start = table.select("node", "vec")
+    joined = with_vectors(batch, propagate_nodes(arcs, start, layers, dim))
+    outer = summed_gradient(pair_gradient(joined, size), dim)
+    back = propagate_nodes(arcs, outer.withColumnRenamed("g", "vec"), layers, dim)
+    uses = batch.select(F.explode(F.array("user", "positive", "negative")).alias("node"))
+    decay = uses.groupBy("node").agg(F.count(F.lit(1)).alias("k")).join(start, "node").select(
+        "node", scale(F.col("vec"), F.col("k") * (2 * l2 / size)).alias("g")
+    )
+    rows = back.withColumnRenamed("vec", "g").unionByName(decay)
+    return adam_step(table, summed_gradient(rows, dim), dim, step, rate)
+
+
 def fit_lightgcn(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     """The adjacency is symmetric, so gradients flow back through the same propagation."""
     training, dim = Training.of(params), int(params.get("embedding_dim", 32))
@@ -113,25 +141,15 @@ def fit_lightgcn(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     if layers < 1:
         raise ValueError("layers must be positive")
     space = NodeSpace.of(prepared)
-    size = max(1, training.batch_size)
-    steps = training.steps(params, prepared.ratings("train").count())
-    pairs = pin(sample_pairs(space, size, steps, training.seed))
+    pairs, size, steps = pair_table(space, training, params, prepared.ratings("train").count())
     arcs = pin(node_arcs(space))
     side = F.when(F.col("node") < 0, F.lit(space.n_users)).otherwise(F.lit(space.n_items))
     limit = F.sqrt(F.lit(6.0) / (side + dim))
     table = uniform_parameters(all_nodes(space), dim, training.seed, limit)
     for step in range(steps):
-        start = table.select("node", "vec")
-        batch = pairs.where(F.col("step") == step)
-        joined = with_vectors(batch, propagate_nodes(arcs, start, layers, dim))
-        outer = summed_gradient(pair_gradient(joined, size), dim)
-        back = propagate_nodes(arcs, outer.withColumnRenamed("g", "vec"), layers, dim)
-        uses = batch.select(F.explode(F.array("user", "positive", "negative")).alias("node"))
-        decay = uses.groupBy("node").agg(F.count(F.lit(1)).alias("k")).join(start, "node").select(
-            "node", scale(F.col("vec"), F.col("k") * (2 * l2 / size)).alias("g")
+        table = lightgcn_step(
+            table, arcs, of_step(pairs, step), size, dim, layers, l2, step + 1, training.learning_rate
         )
-        rows = back.withColumnRenamed("vec", "g").unionByName(decay)
-        table = adam_step(table, summed_gradient(rows, dim), dim, step + 1, training.learning_rate)
     vectors = propagate_nodes(arcs, table.select("node", "vec"), layers, dim)
     return _embedding_model("lightgcn", space, pin(vectors), dim, (KNOWN_USER,), layers=layers)
 
@@ -190,9 +208,7 @@ def fit_two_tower(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     training, dim = Training.of(params), int(params.get("embedding_dim", 32))
     hidden = max(dim * 2, 8)
     space = NodeSpace.of(prepared)
-    size = max(1, training.batch_size)
-    steps = training.steps(params, prepared.ratings("train").count())
-    pairs = pin(sample_pairs(space, size, steps, training.seed))
+    pairs, size, steps = pair_table(space, training, params, prepared.ratings("train").count())
     table = normal_parameters(all_nodes(space), hidden, training.seed)
     towers = DenseAdam(tower_weights(hidden, dim, training.seed), training.learning_rate)
     for step in range(steps):
@@ -210,7 +226,7 @@ def fit_two_tower(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
                     "g": [*gu, *gp, *gn, pack(total)],
                 })
 
-        joined = with_vectors(pairs.where(F.col("step") == step), table)
+        joined = with_vectors(of_step(pairs, step), table)
         rows = pin(joined.mapInPandas(gradient, "node bigint, g array<double>"))
         features = summed_gradient(rows.where(F.col("node") != DENSE_NODE), hidden)
         table = adam_step(table, features, hidden, step + 1, training.learning_rate)

@@ -137,13 +137,14 @@ def fit_multivae(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     for epoch in range(max(1, training.epochs)):
         beta = min(0.2, (epoch + 1) / max(training.epochs, 1) * 0.2)
         place = F.pmod(F.xxhash64("user", F.lit(seed), F.lit(epoch)), F.lit(n_batches))
+        batches = pin(entries.withColumn("batch", place), by="batch")
         for number in range(n_batches):
             step += 1
             kept = F.when(
                 seeded_unit(seed, F.lit(step), F.col("user"), F.col("item")) >= dropout,
                 F.col("x") / (1 - dropout),
             ).otherwise(F.lit(0.0))
-            rows = entries.where(place == number).withColumn("x", kept)
+            rows = batches.where(F.col("batch") == number).drop("batch").withColumn("x", kept)
             if rows.isEmpty():
                 continue
             weights = dict(dense.weights)
@@ -290,9 +291,10 @@ def fit_sasrec(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     step = 0
     for epoch in range(max(1, training.epochs)):
         place = F.pmod(F.xxhash64("ex", F.lit(seed), F.lit(epoch)), F.lit(n_batches))
+        batches = pin(examples.withColumn("batch", place), by="batch")
         for number in range(n_batches):
             step += 1
-            batch = examples.where(place == number)
+            batch = batches.where(F.col("batch") == number).drop("batch")
             weights, items = dict(dense.weights), table.select("node", "vec")
 
             def run(frames, weights=weights, step=step):

@@ -45,15 +45,21 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table that several later steps read, and go on from the written copy.
 
+    With ``by``, rows of one value of that column are written by one task to one folder, so that a
+    reader of few values opens only theirs; meant for columns whose values hold few rows each.
+
     Cuts the lineage, survives lost executors, and the Parquet copy still prunes columns and
     carries true sizes for join planning. The copy is dropped when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kindred-pins/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.repartition(by).write.partitionBy(by).parquet(path)
     file_system, target = hadoop_path(spark, path)
     file_system.deleteOnExit(target)
     pinned = spark.read.schema(df.schema).parquet(path)
