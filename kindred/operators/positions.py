@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.session import pin
+
 HOT_ROWS = 2_000_000  # rows one task may sort without help
 MAX_HOT_GROUPS = 65_536  # proven bound: hot groups hold more than total / MAX_HOT_GROUPS rows
 BUCKETS_PER_GROUP = 512
@@ -121,18 +123,26 @@ def _bucketed(
     )
 
 
-def _global_positions(
-    df: DataFrame, order: Sequence[Column], out: str, hot_rows: int
-) -> DataFrame:
+def _global_positions(df: DataFrame, order: Sequence[Column], out: str, rows: int) -> DataFrame:
+    """Positions among all rows: one range sort, rows counted in every sorted part.
+
+    The sorted parts are written once, so that a row keeps its part and its place in it.
+    """
     spark = df.sparkSession
-    total = df.count()
-    one = df.withColumn("_all", F.lit(0))
-    if total <= hot_rows:
-        # Small by the count just taken; a single sort is cheaper than buckets.
-        window = Window.partitionBy("_all").orderBy(*order)
-        return one.withColumn(out, F.row_number().over(window).cast("bigint")).drop("_all")
-    hot = spark.createDataFrame([(0, total)], "_all int, n bigint")
-    return _bucketed(one, hot, ["_all"], order, out, hot_rows).drop("_all")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    keys = [o.alias(f"_o{i}") for i, o in enumerate(order)]
+    names = [f"_o{i}" for i in range(len(keys))]
+    dealt = df.select("*", *keys).repartitionByRange(parts, *names).sortWithinPartitions(*names)
+    placed = pin(dealt.drop(*names).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    # One row a part.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_first", "_before")
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return placed.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(starts), "_part").select(
+        *df.columns, number.cast("bigint").alias(out)
+    )
 
 
 def chunked(

@@ -7,6 +7,7 @@ and only the best k of a query leave a tile. The tile's matrix product runs in n
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.ids import plain_ids, restore_ids
+from kindred.session import pin
 
 TILE = 4096
 QUERY, ITEM, PAIR = 0, 1, 2
@@ -61,14 +63,19 @@ def tiled(
     pairs: DataFrame | None = None,
     tile: int = TILE,
     carry: str | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Run ``function(queries, items, pairs)`` on every pair of tiles.
 
     ``queries`` is (qid, vec), ``items`` is (item, vec), ``pairs`` is (qid, item[, x]): pairs
     reach only the tile that holds both their ends. Frames arrive sorted by id. ``carry`` names
-    a further column that travels with the queries.
+    a further column that travels with the queries. ``placed`` tables say themselves where they go:
+    queries and items have (tq, ti), one of them an array of all tiles that the row is wanted in, and
+    pairs have both numbers.
     """
-    tq, ti = _tiles(queries.count(), tile), _tiles(items.count(), tile)
+    tq = ti = 1
+    if not placed:
+        tq, ti = _tiles(queries.count(), tile), _tiles(items.count(), tile)
     q_type = queries.schema["qid"].dataType.simpleString()
     i_type = items.schema["item"].dataType.simpleString()
 
@@ -78,18 +85,23 @@ def tiled(
     def null(kind: str) -> Column:
         return F.lit(None).cast(kind)
 
-    every = {"q": F.explode(F.sequence(F.lit(0), F.lit(tq - 1))),
-             "i": F.explode(F.sequence(F.lit(0), F.lit(ti - 1)))}
+    if placed:
+        own = {"q": F.col("tq"), "i": F.col("ti")}
+        every = {"q": F.explode("tq"), "i": F.explode("ti")}
+    else:
+        own = {"q": bucket("qid", tq), "i": bucket("item", ti)}
+        every = {"q": F.explode(F.sequence(F.lit(0), F.lit(tq - 1))),
+                 "i": F.explode(F.sequence(F.lit(0), F.lit(ti - 1)))}
     load = [] if carry is None else [queries.schema[carry].dataType.simpleString()]
     carried = [F.col(carry)] if load else []
     unloaded = [null(load[0]).alias(carry)] if load else []
     rows = queries.select(
-        bucket("qid", tq).alias("tq"), every["i"].alias("ti"), F.lit(QUERY).alias("kind"),
+        own["q"].alias("tq"), every["i"].alias("ti"), F.lit(QUERY).alias("kind"),
         "qid", null(i_type).alias("item"), as_double(F.col("vec")).alias("vec"),
         null("double").alias("x"), *carried,
     ).unionByName(
         items.select(
-            every["q"].alias("tq"), bucket("item", ti).alias("ti"), F.lit(ITEM).alias("kind"),
+            every["q"].alias("tq"), own["i"].alias("ti"), F.lit(ITEM).alias("kind"),
             null(q_type).alias("qid"), "item", as_double(F.col("vec")).alias("vec"),
             null("double").alias("x"), *unloaded,
         )
@@ -98,7 +110,7 @@ def tiled(
         x = F.col("x").cast("double") if "x" in pairs.columns else null("double")
         rows = rows.unionByName(
             pairs.select(
-                bucket("qid", tq).alias("tq"), bucket("item", ti).alias("ti"),
+                own["q"].alias("tq"), own["i"].alias("ti"),
                 F.lit(PAIR).alias("kind"), "qid", "item", null("array<double>").alias("vec"),
                 x.alias("x"), *unloaded,
             )
@@ -158,8 +170,14 @@ def inner_product_topk(
     exclude_same: bool = False,
     digits: int = 9,
     tile: int = TILE,
+    report: dict[str, int] | None = None,
 ) -> DataFrame:
-    """(qid, item, score, rank): exact top-k inner products; ``masked`` (qid, item) left out."""
+    """(qid, item, score, rank): exact top-k inner products; ``masked`` (qid, item) left out.
+
+    Where lengths of item vectors differ, the longest items are compared first; an item of length c
+    scores at most |q| c, so a query then meets only the levels of length that can still reach its k-th
+    score, and tile pairs that no query wants are not made. ``report`` gets the numbers of tile pairs.
+    """
     ids = {"qid": queries.schema["qid"].dataType, "item": items.schema["item"].dataType}
     queries, items = plain_ids(queries, "qid"), plain_ids(items, "item")
     masked = None if masked is None else plain_ids(masked, "qid", "item")
@@ -191,14 +209,116 @@ def inner_product_topk(
         masked = masked.join(queries.select("qid"), "qid", "left_semi").join(
             items.select("item"), "item", "left_semi"
         ).select("qid", "item")
-    best = tiled(
-        queries, items, local, f"qid {q_type}, item {i_type}, score double", masked, tile
-    )
+    schema = f"qid {q_type}, item {i_type}, score double"
+    levels = _length_levels(items, max(k, tile), tile)
+    if levels is None:
+        best = tiled(queries, items, local, schema, masked, tile)
+    else:
+        best = _by_length(queries, items, local, schema, masked, tile, k, levels, 10.0**-digits, report)
     ranked = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item"))
     ranked_rows = best.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
     return restore_ids(ranked_rows.where(F.col("rank") <= k), ids)
 
 
+#: Levels of length that items are cut into, and the ratio of lengths from which it pays.
+LEVELS, SPREAD = 32, 1.25
+
+
+def _length(vec: Column) -> Column:
+    return F.sqrt(F.aggregate(as_double(vec), F.lit(0.0), lambda s, x: s + x * x))
+
+
+@dataclass
+class Levels:
+    """Levels of items by length, the longest first: lower bounds, greatest lengths, numbers of items."""
+
+    bounds: list[float]
+    longest: list[float]
+    counts: list[int]
+
+    def of(self, length: Column) -> Column:
+        return sum((F.when(length < b, 1).otherwise(0) for b in self.bounds), F.lit(0))
+
+
+def _length_levels(items: DataFrame, least: int, tile: int) -> Levels | None:
+    """None where one comparison of everything is cheaper: few tiles, or lengths that are much alike."""
+    sized = items.select(_length(F.col("vec")).alias("c"))
+    shares = [i / LEVELS for i in range(1, LEVELS)]
+    n, cuts = sized.agg(F.count("c"), F.percentile_approx("c", shares, 10_000)).first()
+    if n < 4 * least or not cuts or cuts[-1] < SPREAD * cuts[0]:
+        return None
+    step = max(1, -(-least * LEVELS // n))  # a level holds at least ``least`` items, about
+    bounds = sorted({c for c in cuts[::-1][step - 1 :: step] if c > 0}, reverse=True)
+    draft = Levels(bounds, [], [])
+    found = sized.groupBy(draft.of(F.col("c")).alias("level")).agg(F.max("c").alias("most"), F.count("c").alias("n"))
+    rows = {r["level"]: (r["most"], r["n"]) for r in found.collect()}  # at most LEVELS rows
+    return Levels(bounds, [rows.get(i, (0.0, 0))[0] for i in range(len(bounds) + 1)], [rows.get(i, (0.0, 0))[1] for i in range(len(bounds) + 1)])
+
+
+def _starts(counts: list[int], tile: int) -> list[int]:
+    """First tile of each group, and the number of tiles, when groups of rows are cut into tiles."""
+    out = [0]
+    for n in counts:
+        out.append(out[-1] + -(-n // tile))
+    return out
+
+
+def _pick(values: list[int], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def _by_length(
+    queries: DataFrame, items: DataFrame, local, schema: str, masked: DataFrame | None, tile: int, k: int,
+    levels: Levels, grain: float, report: dict[str, int] | None,
+) -> DataFrame:
+    """Candidates (qid, item, score) that hold every query's top k."""
+    longest = pin(items.withColumn("level", levels.of(_length(F.col("vec")))))
+    first = longest.where("level = 0").drop("level")
+    held = None if masked is None else masked.join(first.select("item"), "item", "left_semi").select("qid", "item")
+    best = pin(tiled(queries, first, local, schema, held, tile))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item"))))
+    floor = ranked.where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
+    # Levels get shorter, so a query wants the first ones only; a rounded score may be a grain higher.
+    reach = [_length(F.col("vec")) * F.lit(most) * (1 + 1e-12) + F.lit(grain) >= F.col("floor") for most in levels.longest[1:]]
+    wanted = sum((F.when(F.col("floor").isNull() | r, 1).otherwise(0) for r in reach), F.lit(0))
+    asked = pin(queries.join(floor, "qid", "left").withColumn("wants", wanted).drop("floor").where("wants > 0"))
+    many = {r["wants"]: r["n"] for r in asked.groupBy("wants").agg(F.count(F.lit(1)).alias("n")).collect()}
+    deepest = len(levels.counts) - 1
+    # Queries that want most come first, cut into classes of a tile or more; so a level is wanted by a
+    # first stretch of query tiles.
+    class_of, tops, sizes = [0] * (deepest + 1), [], []
+    for want in range(deepest, 0, -1):
+        if not sizes or sizes[-1] >= tile:
+            tops.append(want)
+            sizes.append(0)
+        sizes[-1] += many.get(want, 0)
+        class_of[want] = len(sizes) - 1
+    at_q, at_i = _starts(sizes, tile), _starts(levels.counts[1:], tile)
+    until = [at_q[sum(t >= lv for t in tops)] for lv in range(1, deepest + 1)]  # query tiles of a level
+    used = sum((at_i[lv] - at_i[lv - 1]) * until[lv - 1] for lv in range(1, deepest + 1))
+    if report is not None:
+        report.update(wanted=used, skipped=_starts([queries.count()], tile)[1] * at_i[-1] - used)
+    if not used:
+        return best
+
+    def place(start: list[int], group: Column, key: str) -> Column:
+        width = F.greatest(_pick(start[1:], group) - _pick(start[:-1], group), F.lit(1))
+        return (_pick(start[:-1], group) + F.pmod(F.xxhash64(key), width)).cast("int")
+
+    at = asked.select(
+        "qid", "vec", place(at_q, _pick(class_of, F.col("wants")), "qid").alias("tq"),
+        F.sequence(F.lit(0), _pick(at_i[1:], F.col("wants") - 1) - 1).alias("ti"),
+    )
+    rest = longest.where("level > 0").withColumn("until", _pick(until, F.col("level") - 1)).where("until > 0").select(
+        "item", "vec", F.sequence(F.lit(0), F.col("until") - 1).alias("tq"), place(at_i, F.col("level") - 1, "item").alias("ti"),
+    )
+    hidden = None
+    if masked is not None:
+        hidden = masked.join(at.select("qid", "tq", F.array_max("ti").alias("most")), "qid").join(rest.select("item", "ti"), "item")
+        hidden = hidden.where("ti <= most").select("qid", "item", "tq", "ti")
+    return best.unionByName(tiled(at, rest, local, schema, hidden, tile, placed=True))
+
+
 def embedding_neighbours(vectors: DataFrame, n: int = 100, tile: int = TILE) -> DataFrame:
     """(item, other, weight, rank): top-n positive inner products with the other rows."""
     queries = vectors.select(F.col("item").alias("qid"), "vec")
