@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import ceil
 from typing import Any
 
 import numpy as np
@@ -17,11 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.fusion import RRF_CONSTANT, candidate_pool, component_ranks
-from kindred.operators.positions import first_free
+from kindred.operators.fusion import RRF_CONSTANT, component_ranks
+from kindred.operators.positions import first_free, group_positions, hot_groups
 from kindred.operators.scoring import (
     ScoreView,
+    _base_requests,
+    _sparse_requests,
     _with_pos,
+    marks_ahead,
+    prefix,
     seen_pairs,
     top_k,
     union_all,
@@ -32,6 +35,7 @@ from kindred.session import pin, release
 
 TRUNCATION = 30  # ranks that pairs are taken from
 BINS = 255  # a bin fits a byte
+BOX_SHARE = 4  # a pool by boxes pays where boxes x k is below the catalog by this factor
 FIXED = 2.0**30  # gradients are added up as integers of this scale
 
 
@@ -419,32 +423,178 @@ def fit_lambdamart(
 # --------------------------------------------------------------------------- exact serving
 
 
-def _thresholds(tree: dict[str, Any], out: dict[int, list[float]]) -> None:
+def _thresholds(tree: dict[str, Any], out: dict[int, set[float]]) -> None:
     if "value" not in tree:
-        out.setdefault(tree["feature"], []).append(float(tree["threshold"]))
+        out.setdefault(tree["feature"], set()).add(float(tree["threshold"]))
         _thresholds(tree["left"], out)
         _thresholds(tree["right"], out)
 
 
-def serving_depth(
-    ensemble: dict[str, Any], views: list[ScoreView], space: ItemSpace, constant: float
-) -> int:
-    """Rank past which no split of the ensemble can tell two unscored items apart."""
-    cuts: dict[int, list[float]] = {}
+def ensemble_cuts(ensemble: dict[str, Any], view: ScoreView) -> tuple[list[float], list[float]]:
+    """Thresholds on a view's (score, reciprocal rank) in any tree."""
+    cuts: dict[int, set[float]] = {}
     for tree in ensemble["trees"]:
         _thresholds(tree, cuts)
-    deepest = 1
+    names = ensemble["features"]
+    return tuple(sorted(cuts.get(names.index(f"{view.name}_{kind}"), ())) for kind in ("score", "rr"))
+
+
+def rank_cuts(thresholds: list[float], n: int, constant: float) -> list[int]:
+    """Ranks after which a split on the reciprocal rank goes the other way, inside 1..n."""
+    out = set()
+    for t in thresholds:
+        if t <= 0:
+            continue
+        rank = max(0, int(min(1.0 / t - constant, n + 1.0)))
+        while rank > 0 and 1.0 / (constant + rank) <= t:
+            rank -= 1
+        while rank < n and 1.0 / (constant + rank + 1) > t:
+            rank += 1
+        if 0 < rank < n:
+            out.add(rank)
+    return sorted(out)
+
+
+def vector_depth(ensemble: dict[str, Any], view: ScoreView, space: ItemSpace, constant: float) -> int:
+    """Rank past which no split tells two items apart by their inner products."""
+    scores, ranks = ensemble_cuts(ensemble, view)
+    return space.n if scores else min(space.n, max(rank_cuts(ranks, space.n, constant), default=0) + 1)
+
+
+def _cells(
+    ensemble: dict[str, Any], views: list[ScoreView], space: ItemSpace, constant: float
+) -> tuple[DataFrame, dict[str, list[int]]]:
+    """(item_id, pos, cell, q), and the rank cuts of every view.
+
+    Items of one cell lie between the same cuts of every shared base ranking; q is the item's place
+    among them in id order. The cuts of scores and ranks bound the number of cells, not the items.
+    """
+    items, cell, cuts = space.items, F.lit(0).cast("bigint"), {}
     for view in views:
-        at = ensemble["features"].index(f"{view.name}_rr")
-        for t in cuts.get(at, []):
-            deepest = max(deepest, space.n if t <= 0 else ceil(1.0 / t - constant) + 1)
-        score_cuts = cuts.get(ensemble["features"].index(f"{view.name}_score"), [])
-        if score_cuts and view.vectors is not None:
-            deepest = space.n
-        if score_cuts and view.base is not None:
-            above = view.base.where(F.col("score") > min(score_cuts)).count()
-            deepest = max(deepest, above + 1)
-    return min(space.n, deepest)
+        scores, rr = ensemble_cuts(ensemble, view)
+        cuts[view.name] = rank_cuts(rr, space.n, constant)
+        if view.base is None:
+            continue
+        edges = set(cuts[view.name])
+        if scores:
+            above = view.base.agg(*[F.count_if(F.col("score") > t).alias(f"s{i}") for i, t in enumerate(scores)]).first()
+            edges |= {int(x) for x in above if 0 < x < space.n}
+        if not edges:
+            continue
+        listed = F.array(*[F.lit(e).cast("bigint") for e in sorted(edges)])
+        column = f"_seg_{view.name}"
+        place = F.size(F.filter(listed, lambda e: e < F.col("_base"))).cast("bigint")
+        base = view.base.select("item_id", F.col("pos").alias("_base")).select("item_id", place.alias(column))
+        items = items.join(base, "item_id")
+        cell = cell * (len(edges) + 1) + F.col(column)
+    placed = items.select("item_id", "pos", cell.alias("cell"))
+    return pin(group_positions(placed, ["cell"], [F.col("pos")], "q")), cuts
+
+
+def _zero_cuts(
+    view: ScoreView, ranks: list[int], batch: QueryBatch, space: ItemSpace, seen: DataFrame | None
+) -> DataFrame:
+    """(request_id, beta): id-order places after which the view's unscored items pass a rank cut."""
+    requests = _sparse_requests(view, batch.requests)
+    live = view.nonzero if seen is None else view.nonzero.join(seen, ["request_id", "item_id"], "left_anti")
+    blocked = live.select("request_id", "item_id")
+    if seen is not None:
+        blocked = blocked.union(seen.select("request_id", "item_id")).distinct()
+    ahead = live.groupBy("request_id").agg(F.count_if(F.col("score") > 0).alias("p"))
+    free = requests.join(ahead, "request_id", "left").withColumn(
+        "cut", F.explode(F.array(*[F.lit(r).cast("bigint") for r in ranks]))
+    ).withColumn("nth", F.col("cut") - F.coalesce("p", F.lit(0))).where("nth > 0")
+    # The j-th blocked place, e, stands before the nth free one exactly when e - j < nth.
+    order = group_positions(_with_pos(blocked, space.items), ["request_id"], [F.col("pos")], "j", hot=batch.hot)
+    marks = order.select("request_id", (F.col("pos") - F.col("j")).alias("pos"))
+    points = free.select("request_id", (F.col("nth") - 1).alias("pos"))
+    found = marks_ahead(points, marks, batch.hot)
+    return found.select("request_id", (F.col("pos") + 1 + F.col("ahead")).alias("beta")).where(F.col("beta") < space.n)
+
+
+def learned_pool(
+    ensemble: dict[str, Any],
+    views: list[ScoreView],
+    batch: QueryBatch,
+    space: ItemSpace,
+    k: int,
+    seen: DataFrame | None,
+    constant: float,
+) -> DataFrame:
+    """(request_id, item_id) pairs that hold the ensemble's top k of every request.
+
+    Trees are constant on boxes: stretches of the base rankings between cuts, crossed with stretches of
+    id order between the cuts of unscored ranks. In a box all unscored items tie, so only its k lowest
+    free ids compete. Explicit scores, items near the top of a vector ranking, and base items that
+    seen items may carry across a cut are in the pool by name; so a request's pool is bounded by
+    those and boxes x k. Where that is more than the catalog, the pool is the catalog.
+    """
+    named = [v.nonzero.select("request_id", "item_id") for v in views if v.nonzero is not None]
+    hidden = None if seen is None else seen.select("request_id", "item_id")
+    shift = None if seen is None else seen.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    for view in views:
+        if view.vectors is not None:
+            depth = batch.requests.select("request_id", F.lit(vector_depth(ensemble, view, space, constant)).alias("depth"))
+            if shift is not None:
+                depth = depth.join(shift, "request_id", "left").select(
+                    "request_id", (F.col("depth") + F.coalesce("n", F.lit(0))).cast("bigint").alias("depth")
+                )
+            named.append(prefix(view, batch, space, depth))
+    cells, cuts = _cells(ensemble, views, space, constant)
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    for view in views:
+        if view.base is not None and shift is not None and cuts[view.name]:
+            using = shift.join(_base_requests(view, batch.requests), "request_id", "left_semi")
+            at = using.withColumn("cut", F.explode(F.array(*[F.lit(r).cast("bigint") for r in cuts[view.name]])))
+            moved = at.select("request_id", F.explode(F.sequence(
+                F.col("cut") + 1, F.least(F.col("cut") + F.col("n"), F.lit(space.n))
+            )).alias("pos"))
+            named.append(moved.join(view.base.select("item_id", "pos"), "pos").select("request_id", "item_id"))
+    pool = union_all(named).distinct() if named else None
+    if pool is not None and hidden is not None:
+        pool = pool.join(hidden, ["request_id", "item_id"], "left_anti")
+    pool = None if pool is None else pin(pool)
+    taken = [x for x in (pool, hidden) if x is not None]
+    taken = union_all(taken) if taken else None
+    zero = [v for v in views if v.nonzero is not None and cuts[v.name]]
+    boxes = sizes.count() * (1 + sum(len(cuts[v.name]) for v in zero))
+    if boxes * k * BOX_SHARE >= space.n:
+        need = batch.requests.select("request_id", F.lit(space.n).cast("bigint").alias("need"))
+        excluded = space.items.select(F.lit(None).cast(batch.requests.schema["request_id"].dataType).alias("request_id"), "pos").limit(0)
+        if taken is not None:
+            excluded = _with_pos(taken, space.items)
+        rest = first_free(excluded, need, "request_id", space.n, hot=batch.hot).join(space.items, "pos")
+    else:
+        rest = _lowest_of_boxes(cells, sizes, [_zero_cuts(v, cuts[v.name], batch, space, seen) for v in zero], batch, k, taken)
+    rest = rest.select("request_id", "item_id")
+    return pin(rest if pool is None else pool.select("request_id", "item_id").union(rest))
+
+
+def _lowest_of_boxes(
+    cells: DataFrame, sizes: DataFrame, betas: list[DataFrame], batch: QueryBatch, k: int, taken: DataFrame | None
+) -> DataFrame:
+    """The k lowest items of every box that are not taken: of every cell, from every id-order cut on."""
+    first = batch.requests.select("request_id", F.lit(0).cast("bigint").alias("beta"))
+    cuts = pin(union_all([first, *betas]).distinct())
+    boxes = cuts.join(F.broadcast(sizes), how="cross")  # cells are bounded by the cuts of the trees
+    # How many of a cell's items lie at or before the cut: cuts and items of a cell sorted together.
+    points = boxes.select(F.col("cell").alias("request_id"), F.col("beta").alias("pos"), F.col("request_id").alias("r"), "size")
+    marks = cells.select(F.col("cell").alias("request_id"), "pos")
+    counted = marks_ahead(points, marks, hot_groups(cells, ["cell"]))
+    box = F.struct(
+        F.col("r"), F.col("request_id").alias("cell"), F.col("ahead").alias("start"), (F.col("size") - F.col("ahead")).alias("left")
+    )
+    starts = pin(counted.select(box.alias("g")).distinct().where("g.left > 0"))
+    need = starts.select("g", F.least(F.lit(k), F.col("g.left")).cast("bigint").alias("need"))
+    if taken is None:
+        free = need.select("g", F.explode(F.sequence(F.lit(1).cast("bigint"), "need")).alias("pos"))
+    else:
+        there = taken.join(cells.select("item_id", "cell", "q"), "item_id")
+        same = (there["request_id"] == F.col("g.r")) & (there["cell"] == F.col("g.cell"))
+        excluded = starts.join(there, same).where(F.col("q") > F.col("g.start")).select("g", (F.col("q") - F.col("g.start")).alias("pos"))
+        free = first_free(excluded, need, "g", F.col("g.left"))
+    found = free.select(F.col("g.r").alias("request_id"), F.col("g.cell").alias("cell"), (F.col("pos") + F.col("g.start")).alias("q"))
+    return found.distinct().join(cells.select("cell", "q", "item_id"), ["cell", "q"])
 
 
 def learned_topk(
@@ -456,30 +606,8 @@ def learned_topk(
     seen: DataFrame | None,
     constant: float = RRF_CONSTANT,
 ) -> DataFrame:
-    """Top k of the ensemble over the whole catalog.
-
-    Trees are piecewise constant: unscored items ranked deeper than every split reach the same
-    leaves, so of those only the k with the lowest ids can be in the result.
-    """
+    """Top k of the ensemble over the whole catalog; equal scores go by item."""
     views = [v.expanded() for v in views]
-    depth = batch.requests.select(
-        "request_id", F.lit(serving_depth(ensemble, views, space, constant)).alias("depth")
-    )
-    if seen is not None:
-        counts = seen.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
-        depth = depth.join(counts, "request_id", "left").select(
-            "request_id",
-            (F.col("depth") + F.coalesce("n", F.lit(0))).cast("bigint").alias("depth"),
-        )
-    explicit = [v.nonzero.select("request_id", "item_id") for v in views if v.nonzero is not None]
-    pool = union_all([candidate_pool(views, batch, space, depth), *explicit]).distinct()
-    if seen is not None:
-        pool = pool.join(seen, ["request_id", "item_id"], "left_anti")
-    pool = pin(pool)
-    taken = pool if seen is None else pool.union(seen.select("request_id", "item_id"))
-    need = batch.requests.select("request_id", F.lit(k).alias("need"))
-    rest = first_free(_with_pos(taken, space.items), need, "request_id", space.n, hot=batch.hot)
-    rest = rest.join(space.items, "pos").select("request_id", "item_id")
-    pool = pin(pool.union(rest))
+    pool = learned_pool(ensemble, views, batch, space, k, seen, constant)
     rows = features(views, batch, space, pool, seen, constant)
     return top_k(rows.select("request_id", "item_id", ensemble_scores(ensemble).alias("score")), k)

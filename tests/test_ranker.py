@@ -183,3 +183,66 @@ def test_registered_runtime_scores(small_prepared, restored):
     register(RUNTIMES, "by-id", lambda model, batch: ScoreView(model.plugin, base=base))
     rows = rec.recommend(model, batch, space, 2, exclude_seen=False).collect()
     assert {r.item_id for r in rows} == {r.item_id for r in space.items.where("pos <= 2").collect()}
+
+
+# ---------------------------------------------------------------- serving over boxes
+
+
+def boxed_case(spark, n=400, requests=6, seed=2):
+    """A shared base, a sparse view and a vector view over n items, and what requests have seen."""
+    from kindred.plans.fitted import ItemSpace, QueryBatch
+
+    rng = np.random.default_rng(seed)
+    items = spark.createDataFrame([(10 * i, i) for i in range(1, n + 1)], "item_id long, pos long")
+    order = rng.permutation(n)
+    ties = sorted((-(n - i // 3), int(10 * (order[i] + 1))) for i in range(n))
+    base = spark.createDataFrame([(item, float(-s), i + 1) for i, (s, item) in enumerate(ties)], "item_id long, score double, pos long")
+    sparse, seen = [], []
+    for r in range(requests):
+        for i in rng.choice(n, rng.integers(0, 25), replace=False):
+            sparse.append((r, int(10 * (i + 1)), float(np.round(rng.normal(0.5, 1), 3)) or 0.5))
+        for i in rng.choice(n, rng.integers(0, 20), replace=False):
+            seen.append((r, int(10 * (i + 1)), 1.0))
+    nonzero = spark.createDataFrame(sparse, "request_id long, item_id long, score double")
+    vector = spark.createDataFrame(seen, "request_id long, item_id long, value double")
+    asked = spark.createDataFrame([(r,) for r in range(requests)], "request_id long")
+    q = spark.createDataFrame([(r, rng.normal(size=3).tolist()) for r in range(requests)], "qid long, vec array<double>")
+    e = spark.createDataFrame([(10 * i, rng.normal(size=3).tolist()) for i in range(1, n + 1)], "item long, vec array<double>")
+    views = {"base": ScoreView("base", base=base), "near": ScoreView("near", nonzero=nonzero), "vec": ScoreView("vec", vectors=(q, e))}
+    return views, QueryBatch("history", asked, vector), ItemSpace(items, n)
+
+
+def random_trees(names, rng, n):
+    def threshold(f):
+        if names[f].endswith("rr"):
+            return 1.0 / (60 + float(rng.integers(1, n)) + 0.5)
+        return {"base_score": float(rng.integers(250, 400)), "near_score": float(rng.normal())}[names[f]]
+
+    def grow(depth):
+        if depth == 0:
+            return {"value": float(np.round(rng.normal(), 3))}
+        usable = [f for f in range(len(names)) if names[f] != "vec_score"]
+        f = int(rng.choice(usable))
+        return {"feature": f, "threshold": threshold(f), "left": grow(depth - 1), "right": grow(depth - 1)}
+
+    return {"features": names, "rate": 0.5, "trees": [grow(2) for _ in range(3)]}
+
+
+@pytest.mark.parametrize("names,hide", [(("base", "near"), True), (("near",), True), (("base", "near"), False), (("base", "near", "vec"), True)])
+def test_pool_of_boxes_holds_the_top_k(spark, monkeypatch, names, hide):
+    """Against scoring every unseen item, over ties, masks, deep cuts; the pool stays below the catalog."""
+    monkeypatch.setattr(ranker, "BOX_SHARE", 0)
+    all_views, batch, space = boxed_case(spark)
+    views = [all_views[n] for n in names]
+    seen = batch.vector.select("request_id", "item_id") if hide else None
+    every = batch.requests.crossJoin(space.items.select("item_id"))
+    if hide:
+        every = every.join(seen, ["request_id", "item_id"], "left_anti")
+    rows = ranker.features(views, batch, space, every, seen)
+    trees = random_trees(ranker.feature_names(views), np.random.default_rng(len(names) + hide), space.n)
+    want = rec.top_k(rows.select("request_id", "item_id", ranker.ensemble_scores(trees).alias("score")), 4)
+    got = ranker.learned_topk(trees, views, batch, space, 4, seen)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    if "vec" not in names:
+        pool = ranker.learned_pool(trees, views, batch, space, 4, seen, 60.0)
+        assert pool.count() == pool.distinct().count() < 0.8 * every.count()
