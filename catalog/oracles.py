@@ -260,13 +260,12 @@ cte("profile", "cr_train vecs", """SELECT user_id, dim, sum(value * x) / sum(abs
 cte("profile_scores", "profile vecs", f"""SELECT user_id, item AS item_id, {q9('sum(p * x)')} AS score
     FROM profile JOIN (SELECT item, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM vecs)
     USING (dim) GROUP BY ALL""")
-cte("plast", "pordered", "SELECT user_id, arg_max(item_id, pos) AS item FROM pordered GROUP BY 1")
 cte("docsim", "pweights", """SELECT a.doc_key AS ka, b.doc_key AS kb, sum(a.weight * b.weight) AS w
     FROM pweights a JOIN pweights b USING (token) GROUP BY ALL""")
-cte("tfidf_scores", "plast docsim pdocs", f"""SELECT l.user_id, y.item_id,
-    {q9('s.w - CASE WHEN y.item_id = l.item THEN 1 ELSE 0 END')} AS score FROM plast l
-    JOIN pdocs x ON x.item_id = l.item JOIN docsim s ON s.ka = x.doc_key
-    JOIN pdocs y ON y.doc_key = s.kb""")
+cte("tfidf_scores", "pr_train docsim pdocs", f"""SELECT n.user_id, y.item_id,
+    {q9('n.s - coalesce(r.value, 0)')} AS score FROM (SELECT user_id, kb, {q9('sum(value * w)')} AS s FROM (SELECT user_id,
+    doc_key, sum(value) AS value FROM pr_train JOIN pdocs USING (item_id) GROUP BY ALL) JOIN docsim ON ka = doc_key GROUP BY ALL) n
+    JOIN pdocs y ON y.doc_key = n.kb LEFT JOIN pr_train r ON r.user_id = n.user_id AND r.item_id = y.item_id""")
 cte("last_scores", "sorder cknn10 citems svector", """SELECT l.request_id, i.item_id,
     coalesce(k.weight, 0) AS score FROM (SELECT request_id, arg_max(item_id, rank) AS item FROM sorder
     GROUP BY 1) l CROSS JOIN citems i LEFT JOIN cknn10 k ON k.item = l.item AND k.other = i.item_id

@@ -390,16 +390,18 @@ def score_embedding_profile(spark, sf):
 
 @query
 def score_tfidf_factored(spark, sf):
-    """tf-idf scores of the last part each customer bought, for the whole catalog."""
+    """tf-idf scores of all that each customer bought, for the whole catalog."""
     data = views.prepared_purchases(spark, sf)
-    item_docs, texts = textsim.distinct_documents(views.part_documents(spark, sf))
-    weights = textsim.tfidf(texts, item_docs.count())
-    last = sequences.last_items(data.part("train"), data.order).select(
-        F.col("user_id").alias("request_id"), "item_id", F.lit(1.0).alias("value")
-    )
-    near = textsim.near_documents(last, item_docs, weights)
-    scores = textsim.factored_candidates(near, last, textsim.with_places(item_docs), K)
-    return _topk(scoring.top_k(scores, K))
+    key = ("part_texts", sf, spark.sparkContext.applicationId)
+    if key not in views._MODELS:
+        item_docs, texts = textsim.distinct_documents(views.part_documents(spark, sf))
+        item_docs = pin(textsim.with_places(item_docs))
+        views._MODELS[key] = (item_docs, pin(textsim.tfidf(texts, item_docs.count())))
+    item_docs, weights = views._MODELS[key]
+    history = _user_batch(data).vector.where("value <> 0")
+    reach = history.groupBy("request_id").agg((F.count(F.lit(1)) + K).alias("reach"))
+    near = pin(textsim.best_documents(history, item_docs, weights, reach))
+    return _topk(scoring.top_k(textsim.factored_candidates(near, history, item_docs, K), K))
 
 
 # --------------------------------------------------------------------------- fusion

@@ -34,7 +34,7 @@ class ScoreView:
     """``nonzero`` (request_id, item_id, score), ``base`` (item_id, score, pos), or ``vectors``.
 
     ``base_requests`` lists the requests that use the base; None means all of them.
-    ``factored`` (near, history, item_docs) states text scores per document; they are expanded to
+    ``factored`` (history, item_docs, weights) states text scores per document; they are expanded to
     ``nonzero`` rows only where a caller needs every one of them.
     """
 
@@ -50,7 +50,9 @@ class ScoreView:
         """The same view with its factored scores written out per item."""
         if self.factored is None or self.nonzero is not None:
             return self
-        return ScoreView(self.name, nonzero=pin(textsim.factored_scores(*self.factored)))
+        history, item_docs, weights = self.factored
+        near = pin(textsim.near_documents(history, item_docs, weights))
+        return ScoreView(self.name, nonzero=pin(textsim.factored_scores(near, history, item_docs)))
 
     def ranked(self, batch: QueryBatch) -> DataFrame:
         """Explicit scores with their rank among those of the same sign, written once."""
@@ -117,8 +119,7 @@ def _sparse_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
     name, tables = model.plugin, model.tables
     if model.params.get("form") == "factored":
         history = batch.vector.where(F.col("value") != 0)
-        near = pin(textsim.near_documents(history, tables["item_docs"], tables["weights"]))
-        return ScoreView(name, factored=(near, history, tables["item_docs"]))
+        return ScoreView(name, factored=(history, tables["item_docs"], tables["weights"]))
     if model.params.get("aggregation") == "last_item" and batch.last is not None:
         return ScoreView(name, nonzero=pin(last_item_rows(batch.last, tables["similarity"])))
     return ScoreView(name, nonzero=pin(weighted_history(batch.vector, tables["similarity"])))
@@ -253,7 +254,9 @@ def _factored_topk(
     view: ScoreView, batch: QueryBatch, space: ItemSpace, k: int, seen: DataFrame | None
 ) -> DataFrame:
     """Positive scores come from the best documents; only requests short of k expand the rest."""
-    near, history, item_docs = view.factored
+    history, item_docs, weights = view.factored
+    reach = history.groupBy("request_id").agg((F.count(F.lit(1)) + k).alias("reach"))
+    near = pin(textsim.best_documents(history, item_docs, weights, reach))
     candidates = textsim.factored_candidates(near, history, item_docs, k)
     above = pin(top_k(candidates.where(F.col("score") > 0), k, seen))
     full = above.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
@@ -265,8 +268,9 @@ def _factored_topk(
         return None if df is None else df.join(short, "request_id", "left_semi")
 
     some = QueryBatch(batch.mode, short, only(batch.vector), hot=batch.hot)
+    left = pin(only(history))
     rest = ScoreView(view.name, nonzero=pin(textsim.factored_scores(
-        only(near), only(history), item_docs
+        pin(textsim.near_documents(left, item_docs, weights)), left, item_docs
     )))
     served = above.join(short, "request_id", "left_anti")
     return served.unionByName(view_topk(rest, some, space, k, only(seen)).select(served.columns))

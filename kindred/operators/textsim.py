@@ -14,6 +14,7 @@ from kindred.functions.text import hash_column, hash_sign, tokens
 from kindred.operators.pairs import gram, mirror
 from kindred.operators.positions import group_positions
 from kindred.operators.vectors import TILE, inner_product_topk
+from kindred.session import pin
 
 
 def distinct_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,18 +124,26 @@ def document_neighbours(
     )
 
 
-def near_documents(history: DataFrame, item_docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(request_id, doc_key, s): the profile sum(v_i * T_i) of a request against all documents."""
-    per_doc = (
+def _by_document(history: DataFrame, item_docs: DataFrame) -> DataFrame:
+    return (
         history.join(item_docs.select("item_id", "doc_key"), "item_id")
         .groupBy("request_id", "doc_key")
         .agg(F.sum("value").alias("value"))
     )
-    profile = (
+
+
+def _profile(per_doc: DataFrame, weights: DataFrame) -> DataFrame:
+    """(request_id, token, p): sum(v_i * T_i) over the documents of a request."""
+    return (
         per_doc.join(weights, "doc_key")
         .groupBy("request_id", "token")
         .agg(F.sum(F.col("value") * F.col("weight")).alias("p"))
     )
+
+
+def near_documents(history: DataFrame, item_docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(request_id, doc_key, s): the profile sum(v_i * T_i) of a request against all documents."""
+    profile = _profile(_by_document(history, item_docs), weights)
     return (
         profile.join(weights, "token")
         .groupBy("request_id", "doc_key")
@@ -143,6 +152,61 @@ def near_documents(history: DataFrame, item_docs: DataFrame, weights: DataFrame)
     )
 
 
+#: Documents per wanted one that the rarest tokens of a request may bring in for a first bound.
+PROBE = 8
+
+
+def ordered_tokens(profile: DataFrame, weights: DataFrame) -> DataFrame:
+    """(request_id, token, p, postings, rest): a profile's tokens, the rarest first.
+
+    ``postings`` adds up the documents of the tokens so far, ``rest`` is the length of the profile from
+    this token on: a document with none of the tokens before scores no more than that.
+    """
+    sizes = weights.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = Window.partitionBy("request_id").orderBy("df", "token")
+    behind = by_rarity.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return profile.join(sizes, "token").select(
+        "request_id", "token", "p", F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, 0)).alias("postings"),
+        F.sqrt(F.sum(F.col("p") * F.col("p")).over(behind)).alias("rest"),
+    )
+
+
+def best_documents(
+    history: DataFrame, item_docs: DataFrame, weights: DataFrame, reach: DataFrame, probe: int = PROBE
+) -> DataFrame:
+    """(request_id, doc_key, s): exact scores of at least the ``reach`` best documents of every request.
+
+    ``reach`` is (request_id, reach). The rarest tokens of a profile bring in first documents, whose
+    scores bound the last wanted one from below. Documents without the tokens before some token
+    cannot reach that bound once the length of the rest falls under it, so frequent tokens, which come
+    last, are joined only for requests whose bound leaves them open. Every document that came in is
+    scored on all its tokens. Documents of the history itself are always scored.
+    """
+    per_doc = pin(_by_document(history, item_docs))
+    profile = pin(_profile(per_doc, weights))
+    listed = pin(ordered_tokens(profile, weights).join(reach, "request_id"))
+    early = F.col("postings") <= F.lit(probe) * F.col("reach")
+
+    def documents(some: DataFrame) -> DataFrame:
+        return some.select("request_id", "token").join(weights.select("token", "doc_key"), "token").select("request_id", "doc_key").distinct()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        products = pairs.join(weights, "doc_key").join(profile, ["request_id", "token"])
+        return products.groupBy("request_id", "doc_key").agg(quantize(F.sum(F.col("p") * F.col("weight"))).alias("s"))
+
+    first = pin(documents(listed.where(early)).union(per_doc.select("request_id", "doc_key")).distinct())
+    known = pin(scored(first))
+    best = Window.partitionBy("request_id").orderBy(F.col("s").desc(), F.col("doc_key"))
+    bound = known.where(F.col("s") > 0).withColumn("i", F.row_number().over(best)).join(reach, "request_id").where(
+        F.col("i") == F.col("reach")
+    ).select("request_id", F.col("s").alias("bound"))
+    late = listed.where(~early).join(bound, "request_id", "left").where(
+        F.col("bound").isNull() | (F.col("rest") * (1 + 1e-12) + 1e-9 >= F.col("bound"))
+    )
+    second = documents(late).join(first, ["request_id", "doc_key"], "left_anti")
+    return known.unionByName(scored(second)).where(F.col("s") != 0)
+
+
 def own_scores(near: DataFrame, history: DataFrame, item_docs: DataFrame) -> DataFrame:
     """(request_id, item_id, score) of the history items: their own unit similarity is taken off."""
     placed = history.join(item_docs.select("item_id", "doc_key"), "item_id")

@@ -404,3 +404,29 @@ def test_factored_text_scores_equal_the_full_similarity(spark, k, mask):
             if np.isfinite(s[i]):
                 want[request, n + 1] = int(i)
     assert got == want
+
+
+def test_best_documents_skip_frequent_tokens(spark):
+    """Same best documents as scoring all of them, with a token in every document left out."""
+    import random
+
+    rng = random.Random(4)
+    docs = [(i, " ".join(["the", "of", *(f"w{rng.randint(0, 150)}" for _ in range(rng.randint(2, 9)))])) for i in range(300)]
+    docs += [(300, "the of"), (301, "the of the the")]
+    frame = spark.createDataFrame(docs, "item_id long, doc string")
+    item_docs, texts = textsim.distinct_documents(frame)
+    weights = textsim.tfidf(texts, len(docs)).cache()
+    rows = [(r, rng.randrange(302), float(rng.randint(1, 4))) for r in range(12) for _ in range(r % 4 + 1)]
+    rows = list({(r, i): v for r, i, v in rows}.items())
+    history = spark.createDataFrame([(r, i, v) for (r, i), v in rows], "request_id long, item_id long, value double")
+    reach = history.groupBy("request_id").agg((F.count("*") + 3).alias("reach"))
+    got = {(r.request_id, r.doc_key): r.s for r in textsim.best_documents(history, item_docs, weights, reach, probe=4).collect()}
+    every = textsim.near_documents(history, item_docs, weights).collect()
+    deep = {r.request_id: r.reach for r in reach.collect()}
+    for request, n in deep.items():
+        mine = sorted((r for r in every if r.request_id == request), key=lambda r: -r.s)
+        floor = mine[min(n, len(mine)) - 1].s
+        assert all(got.get((request, r.doc_key)) == r.s for r in mine if r.s >= floor)
+    assert len(got) < 0.7 * len(every)
+    with_all = {(r.request_id, r.doc_key): r.s for r in every}
+    assert all(with_all[k] == v for k, v in got.items())
