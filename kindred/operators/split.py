@@ -137,11 +137,12 @@ def split_events(
 
 def split_integrity(split: DataFrame, events: DataFrame, order: Sequence[str]) -> DataFrame:
     """Counts of rows missing from, foreign to, or repeated in the split table."""
-    keys = list(order)
-    lost = events.join(split, keys, "left_anti").agg(F.count(F.lit(1)).alias("missing_rows"))
-    foreign = split.join(events, keys, "left_anti").agg(F.count(F.lit(1)).alias("foreign_rows"))
+    key = F.struct(*order).alias("_key")  # a struct also equals where it holds nulls
+    split, events = split.select(key), events.select(key)
+    lost = events.join(split, "_key", "left_anti").agg(F.count(F.lit(1)).alias("missing_rows"))
+    foreign = split.join(events, "_key", "left_anti").agg(F.count(F.lit(1)).alias("foreign_rows"))
     repeated = (
-        split.groupBy(*keys)
+        split.groupBy("_key")
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(F.count_if(F.col("n") > 1).alias("repeated_rows"))
     )

@@ -6,9 +6,10 @@ import dataclasses
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -47,16 +48,30 @@ def digest_token(digest: str) -> str:
     return found[1]
 
 
-def table_digest(df: DataFrame) -> str:
-    """Digest of a table as a bag of rows, in one distributed pass, free of row order."""
-    columns = sorted(df.columns)
+def digest_aggregates(df: DataFrame) -> list[Column]:
+    """Sums over a table's rows that its digest is made of; free of row order."""
     # The hash passes over nulls, so their places are hashed too.
-    marked = [c for name in columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+    marked = [c for name in sorted(df.columns) for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
     one, two = F.xxhash64(*marked), F.xxhash64(F.lit("second"), *marked)
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bit_xor(one).alias("mixed"),
-        F.sum(two.cast("decimal(38,0)")).alias("total"),
-    ).first()
+    return [
+        F.count(F.lit(1)).alias("rows"), F.bit_xor(one).alias("mixed"), F.sum(two.cast("decimal(38,0)")).alias("total"),
+    ]
+
+
+def digest_of(df: DataFrame, row: dict[str, Any]) -> str:
+    columns = sorted(df.columns)
     types = [df.schema[c].dataType.simpleString() for c in columns]
     return value_digest([columns, types, row["rows"], row["mixed"], str(row["total"])])
+
+
+def table_digest(df: DataFrame) -> str:
+    """Digest of a table as a bag of rows, in one distributed pass."""
+    return digest_of(df, df.agg(*digest_aggregates(df)).first().asDict())
+
+
+def digest_while(df: DataFrame, write: Callable[[DataFrame], None]) -> tuple[str, int]:
+    """(digest, rows) of a table, taken on the way while ``write`` writes it."""
+    seen = Observation()
+    write(df.observe(seen, *digest_aggregates(df)))
+    row = seen.get
+    return digest_of(df, row), int(row["rows"])

@@ -6,6 +6,7 @@ Tables are written first and the manifest last, so a folder with a manifest is c
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
@@ -15,9 +16,19 @@ from pyspark.sql import functions as F
 
 from kindred.functions.numbers import clean_metadata, is_finite
 from kindred.operators.positions import hot_groups
-from kindred.operators.split import Prepared, Split, split_integrity
+from kindred.operators.split import Prepared, Split
 from kindred.plans.fitted import FittedModel
-from kindred.sources.digests import canonical_json, digest_token, plain, table_digest, value_digest
+from kindred.session import hadoop_path
+from kindred.sources.digests import (
+    canonical_json,
+    digest_aggregates,
+    digest_of,
+    digest_token,
+    digest_while,
+    plain,
+    table_digest,
+    value_digest,
+)
 from kindred.sources.tables import path_exists
 
 SCHEMA_VERSION = 1
@@ -73,23 +84,48 @@ def dataset_digest(prepared: Prepared) -> str:
     return value_digest(basis)
 
 
+LABELS = ("train", "validation", "test")
+
+
+def _staging(parent: str) -> str:
+    return f"{parent}/.staging-{uuid.uuid4().hex}"
+
+
+def _settle(spark: SparkSession, staging: str, path: str) -> None:
+    """Give a complete folder its name; one that is already there and complete is kept instead."""
+    file_system, source = hadoop_path(spark, staging)
+    _, target = hadoop_path(spark, path)
+    if path_exists(spark, f"{path}/manifest/_SUCCESS"):
+        file_system.delete(source, True)
+        return
+    file_system.delete(target, True)  # what an ended run has left
+    file_system.mkdirs(target.getParent())
+    if not file_system.rename(source, target):
+        raise OSError(f"{staging} could not be renamed to {path}")
+
+
 def save_prepared(prepared: Prepared, parent: str) -> Prepared:
-    """Write under the digest; an existing complete folder is reused."""
-    spark = prepared.events.sparkSession
-    events, catalog = table_digest(prepared.events), table_digest(prepared.catalog)
+    """Write under the digest; an existing complete folder is reused.
+
+    Every table is written once, its digest and number of rows taken on the way, and the folder gets
+    its name when all is there.
+    """
+    spark, staging = prepared.events.sparkSession, _staging(parent)
+    events, rows = digest_while(
+        prepared.events, lambda df: df.write.partitionBy("split").parquet(f"{staging}/events")
+    )
+    catalog, _ = digest_while(prepared.catalog, lambda df: df.write.parquet(f"{staging}/catalog"))
     digest = value_digest({"settings": prepared.settings, "events": events, "catalog": catalog})
     path = f"{parent}/{digest_token(digest)}"
-    if not path_exists(spark, f"{path}/manifest/_SUCCESS"):
-        prepared.events.write.mode("overwrite").partitionBy("split").parquet(f"{path}/events")
-        prepared.catalog.write.mode("overwrite").parquet(f"{path}/catalog")
-        write_manifest(spark, path, {
-            "schema_version": SCHEMA_VERSION,
-            "dataset_digest": digest,
-            "settings": prepared.settings,
-            "shape": [prepared.n_users, prepared.n_items],
-            "event_count": prepared.events.count(),
-            "payloads": {"events": events, "catalog": catalog},
-        })
+    write_manifest(spark, staging, {
+        "schema_version": SCHEMA_VERSION,
+        "dataset_digest": digest,
+        "settings": prepared.settings,
+        "shape": [prepared.n_users, prepared.n_items],
+        "event_count": rows,
+        "payloads": {"events": events, "catalog": catalog},
+    })
+    _settle(spark, staging, path)
     return load_prepared(spark, path, verify=False)
 
 
@@ -113,17 +149,22 @@ def load_prepared(spark: SparkSession, path: str, verify: bool = True) -> Prepar
 
 
 def _verify_prepared(prepared: Prepared, manifest: dict[str, Any]) -> None:
-    found = {"events": table_digest(prepared.events), "catalog": table_digest(prepared.catalog)}
+    """Digest, shape, labels and order of the events from one aggregate over them."""
+    events = prepared.events
+    row = events.agg(
+        *digest_aggregates(events),
+        F.count_if(~F.coalesce(F.col("split").isin(*LABELS), F.lit(False))).alias("unlabelled"),
+        F.count_distinct(F.struct(*prepared.order)).alias("places"),
+        F.count_distinct("user_id").alias("users"), F.count_distinct("item_id").alias("items"),
+    ).first().asDict()
+    found = {"events": digest_of(events, row), "catalog": table_digest(prepared.catalog)}
     if found != manifest["payloads"]:
         raise IntegrityError("table digests differ from the manifest")
     if value_digest({"settings": prepared.settings, **found}) != manifest["dataset_digest"]:
         raise IntegrityError("the dataset digest does not follow from its content")
-    if [prepared.n_users, prepared.n_items] != manifest["shape"]:
+    if [row["users"], row["items"]] != manifest["shape"]:
         raise IntegrityError("the shape does not match the manifest")
-    labels = ("train", "validation", "test")
-    known = prepared.events.where(F.col("split").isin(*labels))
-    counts = split_integrity(known, prepared.events, prepared.order).first()
-    if any(counts) or prepared.events.count() != manifest["event_count"]:
+    if row["unlabelled"] or row["places"] != row["rows"] or row["rows"] != manifest["event_count"]:
         raise IntegrityError("split rows are incomplete or overlapping")
 
 
@@ -161,33 +202,41 @@ def _identity(manifest: dict[str, Any]) -> dict[str, Any]:
 
 
 def payload_violations(model: FittedModel, items: DataFrame) -> dict[str, int]:
-    """Counts of non-finite values, unknown items and odd dimensions; empty when all is well."""
+    """Counts of non-finite values, unknown items and odd dimensions; empty when all is well.
+
+    One aggregate for each payload table.
+    """
     found: dict[str, int] = {}
 
-    def count(name: str, df: DataFrame, bad) -> None:
-        n = df.where(bad).count()
-        if n:
-            found[f"{model.plugin}.{name}"] = n
+    def count(df: DataFrame, **bad) -> None:
+        row = df.agg(*[F.count_if(c).alias(n) for n, c in bad.items()]).first()
+        found.update({f"{model.plugin}.{n}": row[n] for n in bad if row[n]})
 
     tables = model.tables
-    known = items.select(F.col("item_id").alias("_id"))
+    known = items.select(F.col("item_id").alias("_id"), F.lit(True).alias("_known")).distinct()
     if "similarity" in tables:
         s = tables["similarity"]
-        count("non_finite", s, ~is_finite(F.col("weight")))
         for side in ("item", "other"):
-            foreign = s.join(known, F.col(side) == F.col("_id"), "left_anti")
-            count(f"unknown_{side}", foreign, F.lit(True))
+            s = s.join(known.toDF(f"_{side}", f"_{side}_known"), F.col(side) == F.col(f"_{side}"), "left")
+        count(
+            s, non_finite=~is_finite(F.col("weight")), unknown_item=F.col("_item_known").isNull(),
+            unknown_other=F.col("_other_known").isNull(),
+        )
     if "scores" in tables:
-        count("bad_scores", tables["scores"], ~is_finite(F.col("score")))
-        missing = known.join(tables["scores"], F.col("_id") == F.col("item_id"), "left_anti")
-        count("unscored_items", missing, F.lit(True))
+        both = known.join(tables["scores"], F.col("_id") == F.col("item_id"), "full")
+        count(
+            both, bad_scores=F.col("item_id").isNotNull() & ~F.coalesce(is_finite(F.col("score")), F.lit(False)),
+            unscored_items=F.col("item_id").isNull(),
+        )
     dims = set()
     for name in ("users", "items"):
         if name in tables:
             df = tables[name]
             odd = F.exists("vec", lambda x: ~is_finite(x))
-            count(f"{name}_non_finite", df, odd)
-            dims |= {r[0] for r in df.select(F.size("vec")).distinct().limit(3).collect()}
+            row = df.agg(F.count_if(odd).alias("odd"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).first()
+            if row["odd"]:
+                found[f"{model.plugin}.{name}_non_finite"] = row["odd"]
+            dims |= {row["lo"], row["hi"]} - {None}
     if model.runtime == "embedding" and len(dims) > 1:
         found[f"{model.plugin}.dimensions"] = len(dims)
     for part in model.components:
@@ -208,21 +257,22 @@ def save_model(
         **_payloads(model), "train": prepared.ratings("train"),
         "users": prepared.users, "catalog": catalog,
     }
+    staging, payloads = _staging(f"{parent}/{model.plugin}"), {}
+    for name, df in sorted(tables.items()):
+        payloads[name], _ = digest_while(df, lambda seen, name=name: seen.write.parquet(f"{staging}/{name}"))
     manifest: dict[str, Any] = {
         "schema_version": SCHEMA_VERSION,
         "model": _shape(model),
         "dataset_digest": prepared.digest or dataset_digest(prepared),
         "config": plain(config or {}),
-        "payloads": {name: table_digest(df) for name, df in sorted(tables.items())},
+        "payloads": payloads,
         "catalog_size": prepared.n_items,
     }
     manifest["artifact_id"] = value_digest(_identity(manifest))
     path = f"{parent}/{model.plugin}/{digest_token(manifest['artifact_id'])}"
-    if not path_exists(spark, f"{path}/manifest/_SUCCESS"):
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-        manifest |= {"contract": CONTRACT, "created_at": datetime.now(UTC).isoformat()}
-        write_manifest(spark, path, manifest)
+    manifest |= {"contract": CONTRACT, "created_at": datetime.now(UTC).isoformat()}
+    write_manifest(spark, staging, manifest)
+    _settle(spark, staging, path)
     return load_model(spark, path, verify=False)
 
 

@@ -31,7 +31,7 @@ def test_digest_sees_where_nulls_are(spark):
 def test_quoted_csv(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('user_id,text\n1,"two\nlines"\n2,"say ""hi"", ok"\n')
-    rows = {r.user_id: r.text for r in read_table(spark, str(path)).collect()}
+    rows = {r.user_id: r.text for r in read_table(spark, str(path), multi_line=True).collect()}
     assert rows == {1: "two\nlines", 2: 'say "hi", ok'}
 
 

@@ -330,3 +330,29 @@ def test_nested_metadata_is_part_of_the_document(spark):
     )
     docs = {r.item_id: r.doc for r in catalog_documents(catalog).collect()}
     assert docs == {1: '["rock","jazz"] {"a":"x","b":2} {"k":"v"} t', 2: "2"}
+
+
+def test_digests_are_taken_while_writing(spark, tmp_path, small_prepared):
+    """The same digest as one of its own job; a save is one write for each table."""
+    from kindred.sources.digests import digest_while
+
+    for n, df in enumerate([spark.range(1000).withColumn("x", F.col("id") % 7), spark.range(0), small_prepared.events]):
+        got = digest_while(df.repartition(5), lambda seen: seen.write.parquet(str(tmp_path / f"t{n}")))
+        assert got == (table_digest(df), df.count())
+    small_prepared.n_users, small_prepared.n_items
+    group, tracker = "one save", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, "")
+    saved = save_prepared(small_prepared, str(tmp_path / "data"))
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs <= 9
+    assert [p.name for p in (tmp_path / "data").iterdir()] == [digest_token(saved.digest)]
+
+
+def test_integrity_holds_null_places_equal(spark):
+    from kindred.operators.split import split_integrity
+
+    rows = spark.createDataFrame([(1, None), (None, 2), (3, 4)], "a long, b long")
+    assert tuple(split_integrity(rows, rows, ["a", "b"]).first()) == (0, 0, 0)
+    assert tuple(split_integrity(rows.limit(2), rows, ["a", "b"]).first())[1:] == (0, 0)
+    assert tuple(split_integrity(rows.union(rows), rows, ["a", "b"]).first()) == (0, 0, 3)
