@@ -38,20 +38,27 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
+def place_key(seed: str = "mix"):
+    """What a row is shuffled by: a hash of doc_id and text."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
     """doc_id, size, source, source_size, target, repeats, taken for every row of `docs`.
 
     Every source is shuffled by a hash and offered `cap` times over. An offer's virtual finish time
     is the words its source has offered up to and with it, divided by the source's target. All
-    offers in the order of their finish times are taken until the sum of all sizes is used up;
-    offers with equal place are taken together or not at all.
-    Null texts have size 0 and take nothing; null sources are one source; equal rows have equal
-    places and the same result; an empty table gives an empty table.
+    offers in the order of their finish times are taken until the sum of all sizes is used up.
+    A row's place follows from its doc_id and text; rows alike in both stand one behind the other, so that
+    some of them can be taken and others not, and it does not matter which.
+    Null texts have size 0 and take nothing; null sources are one source; an empty table gives an
+    empty table.
     """
     offered = pin(docs.select(
         "doc_id", "source",
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
+        place_key(seed).alias("key"),
     ))
     sums = pin(targets(offered.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
     total, n = sums.agg(F.sum("source_size")).first()[0] or 0, offered.count()
@@ -65,7 +72,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = "mix") ->
         .withColumn("before", F.sum("words").over(Window.partitionBy("name").orderBy("piece")) - F.col("words"))
         .drop("words")
     )
-    running = F.sum("size").over(Window.partitionBy("name", "piece").orderBy("key", "size"))
+    running = F.sum("size").over(Window.partitionBy("name", "piece").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
     placed = (
         offered.withColumn("running", running)
         .join(before, ["name", "piece"])
@@ -103,7 +110,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = "mix") ->
         repeats = sum((F.when(w & (F.col("target") > 0) & (F.col("size") > 0), 1).otherwise(0) for w in within), F.lit(0))
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", repeats.cast("int").alias("repeats"),
-        (repeats * F.col("size")).cast("long").alias("taken"),
+        (repeats * F.col("size")).cast("long").alias("taken"), "key",
     )
 
 
@@ -115,7 +122,7 @@ OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight, 3 * source_size AS most FROM s),
 l AS (SELECT *, most / weight AS ratio,
@@ -123,13 +130,12 @@ l AS (SELECT *, most / weight AS ratio,
     / sum(weight) OVER (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 v AS (SELECT arg_min(level, ratio) AS level FROM l WHERE ratio >= level),
 t AS (SELECT source, source_size, CASE WHEN v.level IS NULL OR most <= v.level * weight THEN CAST(most AS DOUBLE) ELSE v.level * weight END AS target FROM l, v),
-p AS (SELECT d.*, t.source_size, t.target, coalesce('=' || d.source, 'null') AS name,
-    sum(size) OVER (PARTITION BY d.source ORDER BY key, size RANGE UNBOUNDED PRECEDING) AS up_to
+p AS (SELECT d.*, t.source_size, t.target, coalesce('=' || d.source, 'null') AS name, row_number() OVER () AS row_id,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS UNBOUNDED PRECEDING) AS up_to
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 o AS (SELECT p.*, turn, (turn * source_size + up_to) / target AS finish FROM p, (VALUES (0), (1), (2)) e(turn) WHERE size > 0 AND target > 0),
 r AS (SELECT *, sum(size) OVER (ORDER BY finish, name, key, size RANGE UNBOUNDED PRECEDING) AS used FROM o),
-k AS (SELECT name, key, size, doc_id, turn FROM r WHERE used <= (SELECT sum(size) FROM d)),
-c AS (SELECT name, key, size, doc_id, count(DISTINCT turn) AS repeats FROM k GROUP BY ALL)
+c AS (SELECT row_id, count(*) AS repeats FROM r WHERE used <= (SELECT sum(size) FROM d) GROUP BY row_id)
 SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(c.repeats, 0) * p.size AS BIGINT) AS taken
-FROM p LEFT JOIN c ON p.name = c.name AND p.key = c.key AND p.size = c.size
+FROM p LEFT JOIN c USING (row_id)
 """

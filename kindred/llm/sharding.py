@@ -37,28 +37,35 @@ def pack(items: np.ndarray, room: np.ndarray) -> np.ndarray:
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, tokens, text_crc32, shard, slot for every row; law `bytes`: sizes near equal.
 
-    Equal texts are one group and stay together, unless they exceed an eighth of a shard: then rows
-    are cut into pieces by a hash of doc_id. Large groups (a bounded number) are packed first; the
+    Equal texts are one group and stay together, unless they exceed an eighth of a shard in bytes,
+    tokens or rows: then rows are cut into pieces, by a hash of doc_id, or where null or repeated
+    doc_ids make that uneven, by place. Large groups (a bounded number) are packed first; the
     others are packed in parallel tasks, each filling its share of the room that is left.
-    Null texts are one group of 8 bytes a row (crc of no bytes: 0). Rows with equal text and doc_id
-    are alike and share a piece. An empty table gives an empty table.
+    Null texts are one group of 8 bytes a row (crc of no bytes: 0). An empty table gives an empty table.
     """
     text = F.coalesce("text", F.lit(""))
     rows = pin(docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.md5(text.cast("binary"))).alias("key"),
+        F.monotonically_increasing_id().alias("place"),
     ))
     spark = docs.sparkSession
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
     n = total[2]
     capacity = np.array([max(x or 0, 1) for x in total], float) / shards
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    # At most shards * SPLIT groups can be this large.
-    hot = {r["key"]: int(-(-r["bytes"] * SPLIT // capacity[0])) for r in groups.where(F.col("bytes") > capacity[0] / SPLIT).collect()}
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    share = F.greatest(*[F.col(c) / F.lit(float(x)) for c, x in zip(("bytes", "tokens", "rows"), capacity)])
+    # At most 3 * shards * SPLIT groups can be this large.
+    hot = {r["key"]: int(np.ceil(r["share"] * SPLIT)) for r in groups.select("key", share.alias("share")).where(F.col("share") > 1 / SPLIT).collect()}
     cuts = spark.createDataFrame(list(hot.items()), "key string, cuts int")
-    salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.coalesce("cuts", F.lit(1))).cast("int")
-    rows = rows.join(F.broadcast(cuts), "key", "left").withColumn("piece", salt).drop("cuts")
+    # Ids that hold a large part of a group's piece: rows alike, told apart by their places.
+    same = rows.join(F.broadcast(cuts), "key").groupBy("key", "doc_id", "cuts").agg(F.count("*").alias("n"))
+    same = same.where(F.col("n") > F.lit(capacity[2] / LARGE)).select(F.col("key").alias("same_key"), F.col("doc_id").alias("same_id"), F.lit(True).alias("alike"))
+    found = (F.col("key") == F.col("same_key")) & F.col("doc_id").eqNullSafe(F.col("same_id"))
+    rows = rows.join(F.broadcast(cuts), "key", "left").join(F.broadcast(same), found, "left").drop("same_key", "same_id")
+    salt = F.when(F.col("alike"), F.xxhash64("place")).otherwise(F.xxhash64(F.coalesce("doc_id", F.lit(0))))
+    rows = pin(rows.withColumn("piece", F.pmod(salt, F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts", "alike"))
     parts = pin(rows.groupBy("key", "piece").agg(
         F.sum("size").cast("double").alias("bytes"), F.sum("tokens").cast("double").alias("tokens"), F.count("*").cast("double").alias("rows")
     ))
@@ -84,11 +91,11 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         .groupBy("task").applyInPandas(fill, "key string, piece int, shard int")
     )
     at = pin(rest.union(placed))
-    rows = rows.join(at, ["key", "piece"]).withColumn("bin", F.pmod(F.xxhash64("key", "doc_id"), F.lit(max(1, n // GROUPS))).cast("int"))
+    rows = rows.join(at, ["key", "piece"]).withColumn("bin", F.pmod(F.xxhash64("key", "doc_id", "place"), F.lit(max(1, n // GROUPS))).cast("int"))
     rows = pin(rows)
     counts = rows.groupBy("shard", "bin").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("bin")) - F.col("n")).drop("n")
-    place = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("key", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("key", "doc_id", "place"))
     return rows.withColumn("place", place).join(counts, ["shard", "bin"]).select(
         "doc_id", "size", "tokens", "text_crc32", "shard", (F.col("before") + F.col("place") - 1).alias("slot")
     )
