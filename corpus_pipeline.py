@@ -6,12 +6,12 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it k
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kindred.llm.bpe import FILE, tokenize
 from kindred.llm.common import table, text_key
 from kindred.llm.lines import dedup_lines
-from kindred.llm.mixing import mix
+from kindred.llm.mixing import mix, place_key
 from kindred.llm.neardup import near_duplicates
 from kindred.llm.quality import learn, score
 from kindred.session import pin
@@ -45,13 +45,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    keyed = docs.select(*COLUMNS)
-    taken = mix(keyed).where("repeats > 0").select("doc_id", "source", "size", "repeats").distinct()
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    left, right = keyed.withColumn("size", words), taken
-    same = left["doc_id"].eqNullSafe(right["doc_id"]) & left["source"].eqNullSafe(right["source"]) & (left["size"] == right["size"])
-    joined = left.join(right, same).select(*[left[c] for c in COLUMNS], right["repeats"])
-    return joined.withColumn("turn", F.explode(F.sequence(F.lit(1), "repeats"))).select(*COLUMNS)
+    keyed = docs.select(*COLUMNS).withColumn("key", place_key())
+    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    # Rows alike in doc_id, text and source share a key; what the mix takes of them is dealt out in turn.
+    taken = mix(docs.select(*COLUMNS)).select("key", source.alias("name"), "repeats")
+    taken = taken.groupBy("key", "name").agg(F.sum("repeats").alias("repeats"), F.count("*").alias("rows")).where("repeats > 0")
+    left = keyed.withColumn("name", source)
+    nth = F.row_number().over(Window.partitionBy("key", "name").orderBy("key"))
+    joined = left.withColumn("nth", nth).join(taken, ["key", "name"])
+    own = F.floor(F.col("repeats") / F.col("rows")) + F.when(F.col("nth") <= F.col("repeats") % F.col("rows"), 1).otherwise(0)
+    joined = joined.withColumn("own", own.cast("int")).where("own > 0")
+    return joined.withColumn("turn", F.explode(F.sequence(F.lit(1), "own"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
