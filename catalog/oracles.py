@@ -345,6 +345,20 @@ def pulled(name: str, vectors: str) -> None:
         UNION ALL SELECT positive, dim, c * u FROM {name}_rows UNION ALL SELECT negative, dim, -c * u FROM {name}_rows) GROUP BY ALL""")
 
 
+def cell(d: int) -> str:
+    return f"((item_id * {d + 3}) % 17 / 17 - 0.4)"
+
+
+cte("ae_a", "cr_train", f"""SELECT user_id, sum(value * {cell(0)}) / any_value(norm) AS a0, sum(value * {cell(1)}) / any_value(norm) AS a1
+    FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY user_id)) AS norm FROM cr_train) GROUP BY 1""")
+cte("ae_h", "ae_a", "SELECT user_id, tanh(a0 + 0.1) AS h0, tanh(a1 - 0.2) AS h1 FROM ae_a")
+cte("ae_z", "ae_h", """SELECT user_id, 0.5::DOUBLE * h0 + 0.25::DOUBLE * h1 + 0.1 AS z0, -0.25::DOUBLE * h0 + 0.75::DOUBLE * h1 - 0.1 AS z1
+    FROM ae_h""")
+cte("ae_o", "ae_z", "SELECT user_id, tanh(z0 - 0.5::DOUBLE * z1 + 0.05) AS o0, tanh(0.5::DOUBLE * z0 + 0.25::DOUBLE * z1) AS o1 FROM ae_z")
+cte("ae", "ae_o citems cseen", f"""SELECT user_id, item_id, {q9(f'o0 * {cell(0)} + o1 * {cell(1)} + {cell(2)}')} AS score
+    FROM ae_o, citems WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM cseen)""")
+
+
 def stepped(gradient: str) -> str:
     """First step of Adam: the gradient over its own size."""
     return f"""SELECT node, dim, {r6('s.x - 0.05::DOUBLE * coalesce(g.x / (abs(g.x) + 1e-8), 0)')} AS x
@@ -394,6 +408,7 @@ ORACLES: dict[str, str] = {
     "run_metrics": sql("rrf2 cr_test", metrics(top("rrf2", 10), "cr_test")),
     "recommend_requests": REQUESTS,
     "stream_requests": REQUESTS,
+    "score_autoencoder": sql("ae", top("ae", 10)),
     "score_embedding_user": sql("uvec_unseen", top("uvec_unseen", 10)),
     "user_requests": sql("turns", f"""SELECT request_id, item_id, {r6('score')} AS score, rank FROM (SELECT *, row_number() OVER
         (PARTITION BY request_id ORDER BY score DESC, item_id) AS rank FROM turns) WHERE rank <= deep"""),

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import views
 from catalog.queries import K, _topk, _user_batch, big, query, r6
 from kindred.functions.numbers import quantize
-from kindred.operators import recommend, scoring
+from kindred.operators import neural, recommend, scoring
 from kindred.operators.retrievers import item_space
 from kindred.plans.fitted import KNOWN_USER, FittedModel
 from kindred.plans.serving import Server
@@ -250,3 +251,25 @@ def user_requests(spark, sf):
     hide = twice.where("exclude_seen").select("request_id")
     found = recommend.recommend(views.model(spark, sf, "clicks", "markov"), batch, item_space(data), K, hide)
     return _topk(recommend.within_depth(found, twice), "request_id")
+
+
+#: A given autoencoder of two hidden and two latent cells.
+AUTOENCODER = {
+    "enc_b": [0.1, -0.2], "mu_W": [[0.5, -0.25], [0.25, 0.75]], "mu_b": [0.1, -0.1],
+    "lv_W": [[0.0, 0.0], [0.0, 0.0]], "lv_b": [0.0, 0.0], "dec_W": [[1.0, 0.5], [-0.5, 0.25]], "dec_b": [0.05, 0.0],
+}
+
+
+@query
+def score_autoencoder(spark, sf):
+    """Users' training rows through a given encoder and decoder."""
+    data = views.prepared_clicks(spark, sf)
+
+    def cells(n: int) -> DataFrame:
+        parts = [(F.pmod(F.col("item_id") * (d + 3), F.lit(17)) / 17 - 0.4).alias(f"d{d}") for d in range(n)]
+        return data.items.select(F.col("item_id").alias("item"), F.array(*parts).alias("vec"))
+
+    weights = neural.weights_to_lists({k: np.array(v) for k, v in AUTOENCODER.items()})
+    model = FittedModel("given", "autoencoder", (KNOWN_USER,), {"encoder": cells(2), "items": cells(3)}, {"hidden": 2, "weights": weights})
+    batch = _user_batch(data)
+    return _topk(scoring.view_topk(scoring.score_view(model, batch), batch, item_space(data), K, scoring.seen_pairs(batch)))
