@@ -1,8 +1,9 @@
 """Byte-level BPE: words are merged by a fold of higher-order functions over a literal rank map.
 
-A token is one character of a private alphabet (its code point grows with its rank), so a word
-being merged is a short string, a merge is a replacement in it, and the pair to merge next is the
-least entry of the rank map among its neighbouring characters.
+A token is one character of a private alphabet (its code point is the token's id), so a word being
+merged is a short string, a merge is a replacement in it, and the pair to merge next is the least entry
+of the rank map among its neighbouring characters. Long words keep the entries of their pairs in an
+array, so that a step looks up two pairs and not all.
 """
 
 from __future__ import annotations
@@ -19,24 +20,29 @@ from kindred.llm.common import table
 from kindred.session import pin
 
 FILE = "byte_bpe_multi_50k.tiktoken"
-#: Most tokens of a vocabulary: the private alphabet is the basic plane without surrogates.
-MOST = 63_000
+#: Most tokens of a vocabulary: the private alphabet is the basic plane below the surrogates.
+MOST = 0xD800
 #: Words whose encoding is looked up instead of folded where they occur: a bound for the table that
 #: goes to all tasks (about 60 bytes a word), not for the result.
 FREQUENT = 1 << 18
 _BUCKETS = 1 << 16
-_OFFSET, _GAP = 0x100, 0xD800
+#: Words longer than this are merged place by place.
+LONG = 128
+#: A character is its token's id; id 0 has one of its own, as `translate` drops the character 0.
+_ZERO = "\ufffd"
+#: Comes after all merged characters.
+_NONE = "\ufffc"
+_SINGLY, _AT_ONCE = "!", "-"
 
 
 def char(token: int) -> str:
-    at = token + _OFFSET
-    return chr(at if at < _GAP else at + 0x800)
+    return chr(token) if token else _ZERO
 
 
 @dataclass(frozen=True)
 class Vocabulary:
     ranks: dict[bytes, int]
-    pairs: dict[str, str]  # two token characters -> merged character, a mark if one at a time, the two
+    pairs: dict[str, str]  # two token characters -> merged character, a mark, the two
 
 
 @lru_cache(maxsize=4)
@@ -50,6 +56,8 @@ def vocabulary(path: str) -> Vocabulary:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
     if len(ranks) > MOST or max(ranks.values()) >= MOST or any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError(f"a vocabulary needs all single bytes and ranks under {MOST}")
+    if any(rank == 0 and len(token) > 1 for token, rank in ranks.items()):
+        raise ValueError("rank 0 must be a single byte")
     pairs = {}
     for token, rank in ranks.items():
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -61,7 +69,7 @@ def vocabulary(path: str) -> Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         if len(parts) == 2:
             # Joining it can bring a pair that goes first if a part has a later rank than the whole.
-            mark = "!" if max(ranks[x] for x in parts) > rank else ""
+            mark = _SINGLY if max(ranks[x] for x in parts) > rank else _AT_ONCE
             pair = char(ranks[parts[0]]) + char(ranks[parts[1]])
             pairs[pair] = char(rank) + mark + pair
     return Vocabulary(ranks, pairs)
@@ -111,7 +119,6 @@ def with_tables(rows: DataFrame, path: str, use, name: str, **more: Column) -> D
     whole = [(t.decode("latin-1"), char(r)) for t, r in vocab.ranks.items() if len(t) > 1]
     more["pairs"] = _maps(spark.createDataFrame(list(vocab.pairs.items()), "key string, value string"), _BUCKETS)
     more["whole"] = _maps(spark.createDataFrame(whole, "key string, value string"), _BUCKETS)
-    more["codes"] = _list(spark, [i.to_bytes(4, "little").decode("latin-1") for i in range(size)])
     more["pieces"] = _list(spark, pieces)
     t = F.struct(
         F.lit("".join(char(vocab.ranks[bytes([i])]) for i in range(256))).alias("bytes"),
@@ -132,6 +139,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
+def _entry(pair: Column, pairs: Column) -> Column:
+    """The merged character and the pair; for a pair that has none, the mark that comes after all characters."""
+    return F.coalesce(_find(pairs, pair), F.concat(F.lit(_NONE + _SINGLY), pair))
+
+
 def _by_pair(start: Column, pairs: Column) -> Column:
     """Merges all places of the least pair in a step.
 
@@ -147,7 +159,7 @@ def _by_pair(start: Column, pairs: Column) -> Column:
             pair, to = F.substring(best, -2, 2), F.substring(best, 1, 1)
             first = F.instr(now, pair)
             once = F.concat(F.substring(now, F.lit(1), first - 1), to, F.substring(now, first + 2, F.length(now)))
-            after = F.when(F.substring(best, 2, 1) == "!", once).otherwise(F.replace(now, pair, to))
+            after = F.when(F.substring(best, 2, 1) == _SINGLY, once).otherwise(F.replace(now, pair, to))
             return F.struct(F.coalesce(after, now).alias("now"), best.isNull().alias("done"))
 
         return F.when(state["done"] | (F.length(now) < 2), state).otherwise(let(best, go))
@@ -156,6 +168,39 @@ def _by_pair(start: Column, pairs: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.length(start)), begin, step, lambda s: s["now"])
 
 
+def _by_place(start: Column, pairs: Column) -> Column:
+    """Merges the least pair of a long word, where it stands first, until no pair is left that merges.
+
+    The state is the entries of all neighbouring pairs, which spell the tokens too: a merge takes one entry out
+    and looks up its two neighbours anew, all others stay as they are. A word that ends as a single
+    token is in the vocabulary as a whole and never comes here.
+    """
+    def step(state, _):
+        now = state["now"]
+
+        def go(found):
+            best, at = found["best"], found["at"]
+            token = F.substring(best, 1, 1)
+            anew = lambda e, i: (
+                F.when(i == at - 2, _entry(F.concat(F.substring(e, 3, 1), token), pairs))
+                .when(i == at, _entry(F.concat(token, F.substring(e, 4, 1)), pairs)).when(i != at - 1, e)
+            )
+            merged = F.filter(F.transform(now, anew), lambda e: e.isNotNull())
+            return F.when(best >= _NONE, F.struct(now.alias("now"), F.lit(True).alias("done"))).otherwise(
+                F.struct(merged.alias("now"), F.lit(False).alias("done"))
+            )
+
+        place = lambda best: F.struct(best.alias("best"), F.array_position(now, best).cast("int").alias("at"))
+        return F.when(state["done"], state).otherwise(let(let(F.array_min(now), place), go))
+
+    entries = F.transform(F.sequence(F.lit(1), F.length(start) - 1), lambda i: _entry(F.substring(start, i, F.lit(2)), pairs))
+    begin = F.struct(entries.alias("now"), F.lit(False).alias("done"))
+    spelt = lambda s: F.concat(
+        F.array_join(F.transform(s["now"], lambda e: F.substring(e, 3, 1)), ""), F.substring(F.element_at(s["now"], -1), 4, 1)
+    )
+    return F.aggregate(F.sequence(F.lit(2), F.length(start)), begin, step, spelt)
+
+
 def _merged(word: Column, t: Column) -> Column:
     """The word's tokens as a string of the private alphabet."""
     latin = F.lit("".join(map(chr, range(256))))
@@ -163,19 +208,19 @@ def _merged(word: Column, t: Column) -> Column:
     def folded(one):
         start = F.call_function("translate", one, latin, t["bytes"])
         size = F.length(one)
-        slow = F.when(size < 2, start).otherwise(_by_pair(start, t["pairs"]))
+        slow = F.when(size < 2, start).when(size <= LONG, _by_pair(start, t["pairs"])).otherwise(_by_place(start, t["pairs"]))
         return F.coalesce(_find(t["whole"], one), slow)
 
     return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), folded)
 
 
+def _plain(tokens: Column) -> Column:
+    return F.replace(tokens, F.lit(_ZERO), F.lit("\0"))
+
+
 def _ids(tokens: Column) -> Column:
     """Token characters -> array of ids."""
-    def one(c):
-        at = F.ascii(c)
-        return at - _OFFSET - F.when(at >= _GAP, 0x800).otherwise(0)
-
-    return F.transform(F.filter(F.split(tokens, ""), lambda c: c != ""), one)
+    return F.transform(F.filter(F.split(_plain(tokens), ""), lambda c: c != ""), F.ascii)
 
 
 def encode(word: Column, t: Column) -> Column:
@@ -188,14 +233,17 @@ def decode(ids: Column, t: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.element_at(t["pieces"], i + 1)), "")
 
 
-def packed(ids: Column, t: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers; a character a byte."""
-    return F.array_join(F.transform(ids, lambda i: F.element_at(t["codes"], i + 1)), "")
+def _packed(tokens: Column) -> Column:
+    """Ids as little-endian unsigned 32-bit integers; a character a byte.
+
+    UTF-32 writes the characters, which are the ids, as big-endian integers; backwards they are little-endian.
+    """
+    return F.reverse(F.decode(F.encode(F.reverse(_plain(tokens)), "UTF-32"), "ISO-8859-1"))
 
 
 def _coded(word: Column, t: Column) -> Column:
     """A word's ids and the bytes decoded from them, a character a byte."""
-    return let(encode(word, t), lambda ids: F.struct(packed(ids, t).alias("ids"), decode(ids, t).alias("bytes")))
+    return let(_merged(word, t), lambda tokens: F.struct(_packed(tokens).alias("ids"), decode(_ids(tokens), t).alias("bytes")))
 
 
 def frequent_words(docs: DataFrame, path: str, most: int, buckets: int) -> Column:
@@ -225,7 +273,7 @@ def tokenize(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     buckets = max(1, frequent // 4)
     known = frequent_words(docs, path, frequent, buckets)
     coded = lambda t: F.transform(words(F.col("text")), lambda w: F.coalesce(_find(t["known"], w, buckets), _coded(w, t)))
-    kept = docs.drop("n_tokens", "ids", "decoded", "coded", *(f"bpe_{x}" for x in ("known", "pairs", "whole", "codes", "pieces")))
+    kept = docs.drop("n_tokens", "ids", "decoded", "coded", *(f"bpe_{x}" for x in ("known", "pairs", "whole", "pieces")))
     joined = lambda part: F.encode(F.array_join(F.col("coded")[part], ""), "ISO-8859-1")
     rows = with_tables(kept, path, coded, "coded", known=known).select(*kept.columns, joined("ids").alias("ids"), joined("bytes").alias("decoded"))
     return rows.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
