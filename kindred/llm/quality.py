@@ -132,41 +132,54 @@ def held_out(doc_id: Column) -> Column:
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [features(t or "") for t in batch["text"]]
-        yield pd.DataFrame({"positive": batch["positive"], "x": rows})
+        yield pd.DataFrame({"positive": batch["positive"], "draw": batch["draw"], "x": rows})
 
 
-def _some(rows: DataFrame, most: int) -> DataFrame:
-    """About `most` rows, `most` at the most, by a hash of doc_id and text."""
+def _draw(rows: DataFrame, most: int) -> DataFrame:
+    """A few more than `most` rows, with `draw`, a hash of the row that they are chosen by."""
     n = rows.count()
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    return rows.where(draw < int(1_000_000 * min(1.0, most / max(n, 1)))).limit(most)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *rows.columns), 1)
+    share = (most + 6 * most**0.5 + 10) / max(n, 1)
+    return rows.withColumn("draw", draw).where(F.col("draw") < int(2**63 * share) if share < 1 else F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def _least(texts: DataFrame, most: int) -> DataFrame:
+    """Features of the `most` rows with the least draw; texts are described where they are."""
+    described = texts.select("text", "positive", "draw").mapInPandas(_described, "positive boolean, draw long, x array<double>")
+    return described.orderBy("draw", "x").limit(most)
+
+
+def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """Fits on at most `positives` rows that are labelled good and `unlabelled` rows of text alone.
 
-    Labels of held-out rows are left out before anything else.
+    Labels of held-out rows are left out before anything else. The rows are those with the least
+    hashes of all, so reruns agree at every size. Fewer than two rows of either kind give no model.
     """
     trusted = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    trusted = _some(trusted, positives)  # at most `positives` ids
-    good = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id").select("text", F.lit(True).alias("positive"))
-    web = _some(docs.select("doc_id", "text"), unlabelled).select("text", F.lit(False).alias("positive"))
-    rows = good.limit(2 * positives).unionByName(web).mapInPandas(_described, "positive boolean, x array<double>").toPandas()
-    if not len(rows):
-        raise ValueError("a fit needs trusted positives and unlabelled rows")
-    x, positive = np.array(rows["x"].tolist()), rows["positive"].to_numpy(bool)
+    trusted = _draw(trusted, positives).orderBy("draw", "doc_id").limit(positives).select("doc_id")
+    texts = docs.select("doc_id", "text")
+    good = _draw(texts.join(F.broadcast(trusted), "doc_id", "left_semi"), 2 * positives).withColumn("positive", F.lit(True))
+    web = _draw(texts, unlabelled).withColumn("positive", F.lit(False))
+    rows = _least(good, 2 * positives).unionByName(_least(web, unlabelled)).toPandas()
+    positive = rows["positive"].to_numpy(bool)
+    if positive.sum() < 2 or (~positive).sum() < 2:
+        return None
+    x = np.array(rows["x"].tolist())
     order = np.lexsort((*x.T, positive))  # the order of collected rows is not fixed
     return fit(x[order], positive[order])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of `docs` but those named so before, with held_out, score and predicted.
 
-    Null texts are empty texts. An empty table gives an empty table.
+    Null texts are empty texts. An empty table gives an empty table. Without a model nothing speaks
+    against a document: all get the score of the threshold.
     """
     def scored(text: pd.Series) -> pd.Series:
         if not len(text):
             return pd.Series([], dtype=float)
+        if model is None:
+            return pd.Series(THRESHOLD, index=text.index)
         return pd.Series(model.score(np.array([features(t or "") for t in text])))
 
     call = F.pandas_udf(scored, "double")

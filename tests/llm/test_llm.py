@@ -191,8 +191,17 @@ def test_quality_model(spark, empty):
     held = got[got.held_out & (got.doc_id < 360)]
     assert ((held.predicted == 1) == (held.doc_id < 300)).mean() > 0.9 and got.score.between(0, 1).all()
     assert all(bool(h) == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out))
-    with pytest.raises(ValueError):
-        quality.learn(empty, labels.limit(0))
+    none = quality.learn(docs, labels.limit(0))
+    assert none is None and {r.predicted for r in quality.score(docs, none).collect()} == {1}
+    assert quality.learn(empty, labels) is None and quality.score(empty, None).count() == 0
+
+
+def test_quality_draw(spark):
+    rows = spark.range(5000).selectExpr("id doc_id", "if(id % 3 = 0, null, concat('t', id)) text")
+    least = lambda n: [r.draw for r in quality._draw(rows.repartition(n), 200).orderBy("draw").limit(200).collect()]
+    first = least(3)
+    assert len(first) == 200 and first == least(7)
+    assert first == [r.draw for r in quality._draw(rows, 10**6).orderBy("draw").limit(200).collect()]
 
 
 def test_secrets(spark):
