@@ -16,6 +16,9 @@ from kindred.llm.neardup import near_duplicates
 from kindred.llm.quality import learn, score
 from kindred.session import pin
 
+#: Words that `tokens` looks up instead of folding: half of what the operator alone takes, as the table also
+#: passes through the driver, which the earlier stages have used before. Rows do not depend on it.
+FREQUENT = 1 << 17
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -60,7 +63,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, number and digest of the token ids, digest of the decoded bytes."""
-    done = tokenize(docs.select("doc_id", "source", "text"), public_tokenizers.path(FILE))
+    done = tokenize(docs.select("doc_id", "source", "text"), public_tokenizers.path(FILE), FREQUENT)
     return done.select(
         "doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
