@@ -14,7 +14,7 @@ from kindred.functions.numbers import holdout_counts
 from kindred.functions.text import seeded_key
 from kindred.operators.contract import ContractError, item_catalog
 from kindred.operators.positions import HOT_ROWS, group_positions, hot_groups
-from kindred.session import pin
+from kindred.session import pin, release
 
 STRATEGIES = ("user_holdout", "temporal")
 
@@ -54,7 +54,9 @@ class Prepared:
     def ratings(self, split: str) -> DataFrame:
         """Summed values per (user, item), written once per split and then shared."""
         if split not in self._ratings:
-            self._ratings[split] = pin(ratings(self.part(split)))
+            events = self.part(split)
+            # Rows of a user lie together in the written files, so counts by user merge before they travel.
+            self._ratings[split] = pin(ratings(events if self.hot_users is not None else events.repartition("user_id")))
         return self._ratings[split]
 
     @cached_property
@@ -160,6 +162,14 @@ def ratings(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "item_id").agg(F.sum("value").alias("value"))
 
 
+def _ties(events: DataFrame, order: Sequence[str], rows: int) -> int:
+    """Rows that ``order`` does not tell apart; whole keys travel only where their hashes repeat."""
+    hashes = events.select(F.xxhash64(*order).alias("_hash")).repartition("_hash")
+    if hashes.distinct().count() == rows:
+        return 0
+    return rows - events.agg(F.count_distinct(F.struct(*order))).first()[0]
+
+
 def prepare(
     events: DataFrame,
     order: Sequence[str],
@@ -170,21 +180,26 @@ def prepare(
 ) -> Prepared:
     """Split normalized events; the labelled events and the catalog are written once.
 
-    One aggregate checks that ``order`` tells all rows apart (ties would make the split and the last
-    catalog record a matter of chance) and, for a temporal split, that every row has a time.
+    The given rows are written once before they are checked and split, so joins behind them run once.
+    Checks: ``order`` tells all rows apart (ties would make the split and the last catalog record a
+    matter of chance) and, for a temporal split, every row has a time.
     """
     split.check()
     timed = split.strategy == "temporal" and "timestamp" in events.columns
-    rows, places, untimed = events.agg(
-        F.count(F.lit(1)), F.count_distinct(F.struct(*order)),
-        F.count_if(F.col("timestamp").isNull()) if timed else F.lit(0),
+    given = pin(events)
+    rows, untimed = given.agg(
+        F.count(F.lit(1)), F.count_if(F.col("timestamp").isNull()) if timed else F.lit(0)
     ).first()
     if untimed:
+        release(given)
         raise ContractError("temporal split requires a timestamp for every interaction")
-    if rows != places:
-        raise ContractError(f"{', '.join(order)} must tell all rows apart ({rows - places} ties)")
-    hot = hot_groups(events, ["user_id"], hot_rows)
-    labelled = pin(split_events(events, order, split, hot=hot, hot_rows=hot_rows, check_times=False))
+    ties = _ties(given, order, rows)
+    if ties:
+        release(given)
+        raise ContractError(f"{', '.join(order)} must tell all rows apart ({ties} ties)")
+    hot = hot_groups(given, ["user_id"], hot_rows)
+    labelled = pin(split_events(given, order, split, hot=hot, hot_rows=hot_rows, check_times=False))
+    release(given)
     return Prepared(
         events=labelled,
         order=tuple(order),
