@@ -1,12 +1,16 @@
 """Hot groups give the same results as plain windows."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.operators import pairs, scoring
+from kindred.operators.contract import ContractError
 from kindred.operators.pairs import gram
 from kindred.operators.positions import chunked, first_free, group_positions, hot_groups
 from kindred.operators.sequences import prefix_examples, transitions
-from kindred.operators.split import Split, split_events
+from kindred.operators.split import Split, prepare, split_events
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +87,69 @@ def test_gram_in_cells(spark, skewed, cell):
         F.sum(F.col("a.w") * F.col("b.w")).alias("weight"))
     got = gram(ratings, "user_id", "item_id", "w", cell)
     assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+
+
+def _rows(df):
+    return {(r["item"], r["other"]): round(r["weight"], 9) for r in df.collect()}
+
+
+@pytest.mark.parametrize("hot, cell", [(10**6, 3), (10**6, 1000), (3, 4)])
+def test_sums_in_both_directions_travel_once(spark, skewed, monkeypatch, hot, cell):
+    monkeypatch.setattr(pairs, "HOT_ITEM", hot)
+    monkeypatch.setattr(pairs, "DENSE", 10**6)
+    ratings = skewed.groupBy("user_id", "item_id").agg(F.sum("value").alias("w"))
+    got = pairs.gram_both(ratings, "user_id", "item_id", "w", cell)
+    want = pairs.mirror(gram(ratings, "user_id", "item_id", "w", cell))
+    assert _rows(got) == _rows(want) and got.count() == want.count()
+    if hot == 10**6:  # ranks and sums need the rows of a pair together, and so do the rows of an item
+        plan = pairs.top_neighbours(got, 3)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(item") == 1 and "hashpartitioning(item#" in plan
+
+
+def test_dense_groups_are_summed_before_they_travel(spark):
+    ratings = spark.range(400).selectExpr("id div 4 AS user_id", "id % 4 AS item_id", "1.0D AS w")
+    plan = pairs.gram_both(ratings, "user_id", "item_id", "w")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item#" in plan and ", other#" in plan.split("hashpartitioning(item#")[1].split(")")[0]
+    missing = ratings.withColumn("item_id", F.when(F.col("item_id") > 0, F.col("item_id")))
+    assert _rows(pairs.gram_both(missing, "user_id", "item_id", "w")) == _rows(
+        pairs.mirror(gram(missing, "user_id", "item_id", "w")))
+
+
+def test_history_products_travel_by_request(spark):
+    vector = spark.createDataFrame(
+        [(1, 1, 2.0), (1, 2, 1.0), (2, 2, 3.0), (2, 3, 0.0), (3, 9, 1.0)], "request_id long, item_id long, value double")
+    edges = spark.createDataFrame(
+        [(1, 2, 0.5), (1, 3, 0.25), (2, 3, 0.5), (3, 1, 1.0)], "item long, other long, weight double")
+    got = scoring.weighted_history(vector, edges)
+    want = {(1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.5)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert {tuple(r) for r in scoring.weighted_history(vector, edges, vector).collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "other#" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning(")[1:])
+
+
+def test_only_near_positions_are_kept(spark):
+    order = spark.range(1, 1001).select(F.col("id").alias("item_id"), F.col("id").alias("pos"))
+    taken = spark.range(400).selectExpr("id % 40 AS request_id", "1 + (id * 37) % 1000 AS item_id")
+    near = scoring.near_positions([taken, taken], order, 5)
+    assert near.count() == taken.where("item_id <= 25").distinct().count()  # 10 rows twice, and 5 free ones
+    need = spark.range(40).select(F.col("id").alias("request_id"), F.lit(5).alias("need"))
+    whole = first_free(taken.distinct().withColumnRenamed("item_id", "pos"), need, "request_id", 1000)
+    part = first_free(near, need, "request_id", 1000)
+    assert whole.exceptAll(part).isEmpty() and part.exceptAll(whole).isEmpty()
+
+
+def test_prepare_reads_its_input_once(spark):
+    rows = [(u, i, 1.0, datetime(2024, 1, 1) + timedelta(hours=i), 10 * u + i) for u in range(3) for i in range(5)]
+    raw = spark.createDataFrame(rows, "user_id long, item_id long, value double, timestamp timestamp, row long")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    prepared = prepare(raw.mapInPandas(count, raw.schema), ["row"], Split("temporal", 0.2, 0.2))
+    assert prepared.events.count() == 15 and seen.value == 15
+    with pytest.raises(ContractError, match=r"row must tell all rows apart \(1 ties\)"):
+        prepare(raw.withColumn("row", F.when(F.col("row") > 1, F.col("row"))), ["row"], Split("temporal", 0.2, 0.2))
