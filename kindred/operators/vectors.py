@@ -20,6 +20,9 @@ from kindred.functions.ids import plain_ids, restore_ids
 from kindred.session import pin
 
 TILE = 4096
+WIDER = 4  # times that a tile may grow where tile pairs are many, so that rows travel less often
+MANY = 256  # tile pairs that are left for tasks to share
+BLOCK = 512  # query rows of a tile that are scored at once
 QUERY, ITEM, PAIR = 0, 1, 2
 
 
@@ -55,6 +58,14 @@ def _tiles(rows: int, tile: int) -> int:
     return max(1, ceil(rows / tile))
 
 
+def _grown(queries: int, items: int, tile: int, wider: int) -> tuple[int, int]:
+    """Numbers of tiles of both sides, from tiles that grow while enough pairs of them are left."""
+    size = tile
+    while 2 * size <= wider * tile and _tiles(queries, 2 * size) * _tiles(items, 2 * size) >= MANY:
+        size *= 2
+    return _tiles(queries, size), _tiles(items, size)
+
+
 def tiled(
     queries: DataFrame,
     items: DataFrame,
@@ -64,6 +75,7 @@ def tiled(
     tile: int = TILE,
     carry: str | None = None,
     placed: bool = False,
+    wider: int = 1,
 ) -> DataFrame:
     """Run ``function(queries, items, pairs)`` on every pair of tiles.
 
@@ -71,11 +83,12 @@ def tiled(
     reach only the tile that holds both their ends. Frames arrive sorted by id. ``carry`` names
     a further column that travels with the queries. ``placed`` tables say themselves where they go:
     queries and items have (tq, ti), one of them an array of all tiles that the row is wanted in, and
-    pairs have both numbers.
+    pairs have both numbers. Tiles of many rows grow up to ``wider`` times, for functions whose memory
+    does not grow with the product of a tile pair.
     """
     tq = ti = 1
     if not placed:
-        tq, ti = _tiles(queries.count(), tile), _tiles(items.count(), tile)
+        tq, ti = _grown(queries.count(), items.count(), tile, wider)
     q_type = queries.schema["qid"].dataType.simpleString()
     i_type = items.schema["item"].dataType.simpleString()
 
@@ -185,24 +198,26 @@ def inner_product_topk(
     i_type = items.schema["item"].dataType.simpleString()
 
     def local(q: pd.DataFrame, i: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        scores = matrix(q) @ matrix(i).T
-        scores = np.rint(scores * 10.0**digits) / 10.0**digits
+        left, right = matrix(q), matrix(i).T
+        hide_q, hide_i = np.empty(0, int), np.empty(0, int)
         if len(pairs):
-            scores[locate(pairs["qid"], q["qid"]), locate(pairs["item"], i["item"])] = -np.inf
-        if exclude_same:
-            at = locate(q["qid"], i["item"])
+            hide_q, hide_i = locate(pairs["qid"], q["qid"]), locate(pairs["item"], i["item"])
+        same = locate(q["qid"], i["item"]) if exclude_same else np.full(len(q), -1)
+        found = []
+        for start in range(0, len(q), BLOCK):
+            scores = left[start : start + BLOCK] @ right
+            scores = np.rint(scores * 10.0**digits) / 10.0**digits
+            here = (hide_q >= start) & (hide_q < start + BLOCK)
+            scores[hide_q[here] - start, hide_i[here]] = -np.inf
+            at = same[start : start + BLOCK]
             present = np.flatnonzero(at >= 0)
             scores[present, at[present]] = -np.inf
-        if positive_only:
-            scores[~(scores > 0)] = -np.inf
-        rows, columns = best_in_rows(scores, k)
-        return pd.DataFrame(
-            {
-                "qid": q["qid"].to_numpy()[rows],
-                "item": i["item"].to_numpy()[columns],
-                "score": scores[rows, columns],
-            }
-        )
+            if positive_only:
+                scores[~(scores > 0)] = -np.inf
+            rows, columns = best_in_rows(scores, k)
+            found.append((rows + start, columns, scores[rows, columns]))
+        rows, columns, best = (np.concatenate(part) for part in zip(*found))
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "item": i["item"].to_numpy()[columns], "score": best})
 
     if masked is not None:
         # A pair can only mask something when both its ends exist.
@@ -212,7 +227,7 @@ def inner_product_topk(
     schema = f"qid {q_type}, item {i_type}, score double"
     levels = _length_levels(items, max(k, tile), tile)
     if levels is None:
-        best = tiled(queries, items, local, schema, masked, tile)
+        best = tiled(queries, items, local, schema, masked, tile, wider=WIDER)
     else:
         best = _by_length(queries, items, local, schema, masked, tile, k, levels, 10.0**-digits, report)
     ranked = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item"))

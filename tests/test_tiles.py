@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from kindred.operators import vectors
 from kindred.operators.vectors import _length_levels, inner_product_topk
 
 
@@ -53,3 +54,19 @@ def test_like_lengths_are_compared_at_once(spark):
     report = {}
     got = inner_product_topk(queries, items, 3, tile=20, report=report)
     assert {tuple(r) for r in got.select("qid", "item", "score", "rank").collect()} == brute(e, q, 3) and not report
+
+
+@pytest.mark.parametrize("tile", [8, 2000])
+def test_many_tiles_grow_and_are_scored_in_blocks(spark, tile):
+    assert vectors._grown(700, 100, 8, 4) == (44, 7) and vectors._grown(700, 100, 8, 1) == (88, 13)
+    assert vectors._grown(425_000, 425_000, vectors.TILE, vectors.WIDER) == (26, 26)
+    items, asked, e, q = made(spark, 100, 700, 0.0)
+    hidden = [(5, 3), (600, 4), (600, 99), (699, 0)]
+    masked = spark.createDataFrame(hidden, "qid long, item long")
+    got = {(r.qid, r.rank): (r.item, r.score) for r in inner_product_topk(asked, items, 4, masked, tile=tile).collect()}
+    want = np.rint(q @ e.T * 1e9) / 1e9
+    for a, b in hidden:
+        want[a, b] = -np.inf
+    for row in range(700):
+        best = np.lexsort((np.arange(100), -want[row]))[:4]
+        assert [got[row, i + 1][0] for i in range(4)] == best.tolist()
