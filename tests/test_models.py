@@ -76,6 +76,25 @@ def test_pair_gradient_by_differences(spark):
         assert np.allclose(got[n], numeric(loss, v), atol=1e-7)
 
 
+def test_small_batches_leave_the_table_in_place(spark):
+    """The vectors of a batch of few pairs are found without a shuffle or sort of all vectors."""
+    table = spark.range(1, 40).select(
+        F.when(F.col("id") < 20, -F.col("id")).otherwise(F.col("id") - 19).alias("node"),
+        F.array(F.col("id") / 7, F.col("id") / 3).alias("vec"),
+    )
+    batch = spark.createDataFrame([(-1, 2, 3), (-1, 2, 3), (-7, 5, 5), (-99, 1, 2)], "user bigint, positive bigint, negative bigint")
+    few, many = with_vectors(batch, table, 4), with_vectors(batch, table)
+    columns = ["user", "positive", "negative", "u", "p", "n"]
+    assert sorted(few.select(columns).collect()) == sorted(many.select(columns).collect())
+    assert few.count() == 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = with_vectors(batch, table, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_adam_matches_dense_rule(spark):
     table = with_moments(spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])],
                                                "node long, vec array<double>"), 2)
