@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -252,6 +253,32 @@ def test_search_ties_by_id(spark, monkeypatch):
     assert got == [(7, p, p) for p in range(1, 6)] + [(50, 1, 50)]
 
 
+@pytest.mark.parametrize("often", [2, 512])
+def test_search_scores_many_queries_of_a_shard_at_once(monkeypatch, often):
+    """Scores are the sums over all words, bounds are above them, whichever words are columns."""
+    monkeypatch.setattr(search, "OFTEN", often)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, 30) if x < 200) for _ in range(100)] + [None]
+    frame = pd.DataFrame({"shard": 0, "doc_id": np.arange(101), "text": texts})
+    row = next(next(search._indexed(iter([frame]))).itertuples())
+    terms, blocks, of = search._scorer(row, 20.0)
+    counts = [search._counts(t, {}) for t in texts]
+    weight = rng.random(len(terms))
+    many = 7
+    at = [np.searchsorted(terms, counts[q][0]) for q in range(many)]
+    bound, scored = of(np.repeat(np.arange(many), [len(a) for a in at]), np.concatenate(at), np.concatenate([weight[a] for a in at]), many)
+    total = scored(np.ones((many, blocks), bool))
+    for q in range(many):
+        for d, (own, tf, length) in enumerate(counts):
+            both = np.isin(own, counts[q][0])
+            f = tf[both].astype(float)
+            want = (weight[np.searchsorted(terms, own[both])] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / 20.0))).sum()
+            assert abs(total[q, d] - want) < 1e-9 and bound[q, d // search.BLOCK] >= want - 1e-9
+    some = rng.random((many, blocks)) < 0.5
+    kept = np.repeat(some, search.BLOCK, axis=1)[:, :101]
+    assert np.allclose(scored(some), np.where(kept, total, 0.0))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
