@@ -137,6 +137,22 @@ def test_remove_repeats(docs, empty, hot, monkeypatch):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_suffix_tasks_give_their_rows_in_pieces(monkeypatch):
+    """What a task makes of a batch is handed on by bytes of text, not batch by batch."""
+    monkeypatch.setattr(suffixes, "SHARD", 4_000)
+    rng = np.random.default_rng(5)
+    texts = [rng.bytes(int(n)) for n in [900] * 12 + [9_000, 10, 400]]
+    batch = pd.DataFrame({"key": [bytes([i]) * 16 for i in range(15)], "data": texts})
+    parts = list(suffixes._regions(iter([batch, batch.iloc[:0]])))
+    assert len(parts) > 3 and max(len(set(p["key"])) for p in parts) <= 5
+    rows = [(k, f, n) for p in parts for k, f, n in zip(p["key"], p["first"], p["windows"])]
+    whole = [(batch["key"][o], f, n) for o, f, n, *_ in suffixes.regions_of(texts)]
+    assert sorted(rows) == sorted(whole)
+    ids = pd.DataFrame({"doc_id": range(15), "data": texts, "spans": None, "copied": [i == 12 for i in range(15)]})
+    done = list(suffixes._removed(iter([ids])))
+    assert len(done) > 3 and pd.concat(done)["n_removed"].tolist() == [9_000 if i == 12 else 0 for i in range(15)]
+
+
 def test_bpe(docs, empty):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.FILE), "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
