@@ -6,11 +6,16 @@ tokenized, weighted and compared once; items come back by a join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.numbers import quantize
-from kindred.functions.text import hash_column, hash_sign, tokens
+from kindred.functions.text import tokens
 from kindred.operators.pairs import gram, mirror
 from kindred.operators.positions import group_positions
 from kindred.operators.vectors import TILE, inner_product_topk
@@ -59,22 +64,30 @@ def hashed_features(texts: DataFrame, dimension: int = 128) -> DataFrame:
     """(doc_key, col, weight): signed token counts per hash column, unit length."""
     if dimension < 2:
         raise ValueError("the hashed dimension must be at least two")
-    tf = term_frequencies(texts)
-    # The hash runs once per distinct token of a document, after its repeats were merged.
-    summed = (
-        tf.select(
-            "doc_key",
-            hash_column(F.col("token"), dimension).alias("col"),
-            (hash_sign(F.col("token")) * F.col("tf")).alias("v"),
-        )
-        .groupBy("doc_key", "col")
-        .agg(F.sum("v").alias("v"))
-        .where(F.col("v") != 0)
-    )
-    norms = summed.groupBy("doc_key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return summed.join(norms, "doc_key").select(
-        "doc_key", "col", (F.col("v") / F.col("norm")).alias("weight")
-    )
+    hashed = _hashed_row(dimension)(tokens(F.col("doc")))
+    return texts.select("doc_key", F.explode(hashed).alias("entry")).select("doc_key", "entry.col", "entry.weight")
+
+
+def _hashed_row(dimension: int) -> Callable[[Column], Column]:
+    """Tokens of a text -> array of (col, weight): the text is summed where it stands, token by token."""
+
+    def hashed(words: pa.Array) -> pa.Array:
+        coded = words.flatten().dictionary_encode()  # a token is hashed once in a batch
+        digests = [hashlib.sha256(t).digest() for t in coded.dictionary.cast(pa.binary()).to_pylist()]
+        cols = np.array([int.from_bytes(d[:4], "big") % dimension for d in digests], dtype=np.int64)
+        signs = np.array([1.0 if d[4] & 1 else -1.0 for d in digests])
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        cells, cell = np.unique(np.repeat(np.arange(len(words)), sizes) * dimension + cols[at], return_inverse=True)
+        sums = np.bincount(cell, weights=signs[at], minlength=len(cells))
+        cells, sums = cells[sums != 0], sums[sums != 0]
+        rows = cells // dimension
+        norms = np.sqrt(np.bincount(rows, weights=sums * sums, minlength=len(words)))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(words)))]).astype(np.int32)
+        entries = pa.StructArray.from_arrays([pa.array(cells % dimension), pa.array(sums / norms[rows])], ["col", "weight"])
+        return pa.ListArray.from_arrays(pa.array(offsets), entries)
+
+    return F.arrow_udf(hashed, "array<struct<col:bigint,weight:double>>")
 
 
 def feature_vectors(features: DataFrame, dimension: int) -> DataFrame:
