@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kindred.functions.text import hash_column, hash_sign
-from kindred.operators import textsim
+from kindred.operators import textsim, vectors
 from kindred.session import pin
 
 
@@ -28,3 +29,28 @@ def test_hashed_features_stay_where_the_text_is(spark):
     assert got == {(k, c): v / norm[k] for (k, c), v in sums.items() if v}
     vec = {r.doc_key: r.vec for r in textsim.feature_vectors(found, 4).collect()}
     assert vec == {k: [got.get((k, c), 0.0) for c in range(4)] for k, _ in got}
+
+
+def test_neighbours_of_copies_are_not_ranked_row_by_row(spark):
+    """Items of a document share its list; only items that repeat are ranked again."""
+    docs = [(i, f"word w{i % 4}") for i in range(40)] + [(3, "word w3"), (5, "word w2")]
+    item_docs, texts = textsim.distinct_documents(spark.createDataFrame(docs, "item_id long, doc string"))
+    vecs = textsim.feature_vectors(textsim.hashed_features(texts, 16), 16)
+    edges = textsim.document_neighbours(item_docs, vecs, 3)
+    logical = edges._jdf.queryExecution().optimizedPlan().toString()
+    ranked = logical[logical.index("Window"):]
+    assert "LeftSemi" in ranked and "LeftAnti" in logical  # only repeated items come to the window
+    got = sorted((r.item, r.rank, r.other, round(r.weight, 6)) for r in edges.collect())
+    key = {r.item_id: r.doc_key for r in item_docs.collect() if r.item_id not in (3, 5)}
+    by_key = {r.doc_key: np.array(r.vec) for r in vecs.collect()}
+    keys = [(r.item_id, r.doc_key) for r in item_docs.collect()]
+    for item in key:
+        scores = sorted((-round(float(by_key[key[item]] @ by_key[k]), 9), i) for i, k in keys if i != item)
+        want = [(item, n + 1, i, round(-s, 6)) for n, (s, i) in enumerate(x for x in scores if x[0] < 0) if n < 3]
+        assert [g for g in got if g[0] == item] == want
+    assert len([g for g in got if g[0] == 3]) == 3 and len([g for g in got if g[0] == 5]) == 3
+
+
+def test_tiles_of_documents_travel_seldom():
+    """Half a million documents: a row went to 62 tiles before."""
+    assert sum(vectors._grown(500_000, 500_000, vectors.TILE, textsim.DOC_WIDER, textsim.DOC_MANY)) == 16
