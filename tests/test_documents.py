@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions.text import hash_column, hash_sign
-from kindred.operators import textsim, vectors
+from kindred.operators import scoring, textsim, vectors
 from kindred.session import pin
 
 
@@ -54,3 +55,40 @@ def test_neighbours_of_copies_are_not_ranked_row_by_row(spark):
 def test_tiles_of_documents_travel_seldom():
     """Half a million documents: a row went to 62 tiles before."""
     assert sum(vectors._grown(500_000, 500_000, vectors.TILE, textsim.DOC_WIDER, textsim.DOC_MANY)) == 16
+
+
+@pytest.mark.parametrize("entries", [60, 1 << 22])
+def test_best_documents_in_tiles(spark, entries):
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(1, 7)))) for i in range(120)]
+    item_docs, texts = textsim.distinct_documents(spark.createDataFrame(docs, "item_id long, doc string"))
+    weights = textsim.tfidf(texts, len(docs)).cache()
+    rows = {(int(r), int(i)): float(rng.integers(-1, 4) or 1) for r, i in rng.integers(0, [9, 120], (40, 2))}
+    history = spark.createDataFrame([(r, i, v) for (r, i), v in rows.items()], "request_id long, item_id long, value double")
+    reach = history.groupBy("request_id").agg((F.count("*") + 3).alias("reach"))
+    found = textsim.best_documents(history, item_docs, weights, reach, probe=1, entries=entries)
+    got = {(r.request_id, r.doc_key): r.s for r in found.collect()}
+    every = {(r.request_id, r.doc_key): r.s for r in textsim.near_documents(history, item_docs, weights).collect()}
+    assert all(abs(every[x] - s) < 1e-9 for x, s in got.items())
+    for r, n in ((r.request_id, r.reach) for r in reach.collect()):
+        mine = sorted((s for (x, _), s in every.items() if x == r), reverse=True)
+        floor = mine[min(n, len(mine)) - 1]
+        assert all(x in got for x, s in every.items() if x[0] == r and s > max(floor, 0) + 1e-9)
+    key = {r.item_id: r.doc_key for r in item_docs.collect()}
+    assert all((r, key[i]) in got for r, i in rows if (r, key[i]) in every)
+
+
+def test_candidates_of_copies_are_few(spark):
+    """The items of the best document fill a request; the worse ones were listed before as well."""
+    docs = [(i, f"a{i % 5} b{i % 3}") for i in range(600)]
+    item_docs, texts = textsim.distinct_documents(spark.createDataFrame(docs, "item_id long, doc string"))
+    item_docs = textsim.with_places(item_docs).cache()
+    weights = textsim.tfidf(texts, len(docs)).cache()
+    rows = [(r, i) for r in range(6) for i in range(r, 150, 15)]
+    history = spark.createDataFrame([(r, i, 1.0) for r, i in rows], "request_id long, item_id long, value double").cache()
+    near = textsim.near_documents(history, item_docs, weights).cache()
+    found = textsim.factored_candidates(near, history, item_docs, 4).cache()
+    assert found.count() <= 6 * (10 + 4 + 10)
+    every = textsim.factored_scores(near, history, item_docs).where("score > 0")
+    want, got = scoring.top_k(every, 4).collect(), scoring.top_k(found.where("score > 0"), 4).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 24
