@@ -53,25 +53,31 @@ def _cdf(x: np.ndarray) -> np.ndarray:
 
 
 def forward(emb: np.ndarray, pad: np.ndarray, w: Weights, layers: int, masks=None):
-    """(last-slot output, caches) of embedded sequences (batch, length, dim); pads are True."""
+    """(last-slot output, caches) of embedded sequences (batch, length, dim); pads are True.
+
+    Only the last slot of the last layer is read, so that layer works on it alone.
+    """
     length, dim = emb.shape[1:]
     blocked = np.triu(np.ones((length, length), dtype=bool), 1)[None] | pad[:, None, :]
     live = ~pad[:, :, None]
     x, caches = (emb + w["positions"]) * live, []
     for n in range(layers):
-        one, two = (1.0, 1.0) if masks is None else (masks[n][0], masks[n][1])
-        q, k, v = (x @ w[f"{n}{c}W"] + w[f"{n}{c}b"] for c in "qkv")
-        scores = np.where(blocked, MASKED, q @ k.transpose(0, 2, 1) / sqrt(dim))
+        read = slice(-1, None) if n == layers - 1 else slice(None)
+        one, two = (1.0, 1.0) if masks is None else (masks[n][0][:, read], masks[n][1][:, read])
+        own = x[:, read]
+        q = own @ w[f"{n}qW"] + w[f"{n}qb"]
+        k, v = (x @ w[f"{n}{c}W"] + w[f"{n}{c}b"] for c in "kv")
+        scores = np.where(blocked[:, read], MASKED, q @ k.transpose(0, 2, 1) / sqrt(dim))
         att = np.exp(scores - scores.max(axis=-1, keepdims=True))
         att /= att.sum(axis=-1, keepdims=True)
         mix = att @ v
-        y, ln1 = _normalize(x + one * (mix @ w[f"{n}oW"] + w[f"{n}ob"]), w[f"{n}sg"], w[f"{n}sb"])
+        y, ln1 = _normalize(own + one * (mix @ w[f"{n}oW"] + w[f"{n}ob"]), w[f"{n}sg"], w[f"{n}sb"])
         f = y @ w[f"{n}fW"] + w[f"{n}fb"]
         cdf = _cdf(f)
         r = y + two * ((f * cdf) @ w[f"{n}eW"] + w[f"{n}eb"])
         z, ln2 = _normalize(r, w[f"{n}tg"], w[f"{n}tb"])
         caches.append((x, q, k, v, att, mix, y, ln1, f, cdf, ln2, one, two))
-        x = z * live
+        x = z * live[:, read]
     return x[:, -1], (caches, live, blocked)
 
 
@@ -86,12 +92,12 @@ def backward(grad_last: np.ndarray, cache, w: Weights, layers: int):
         grads[f"{n}{name}b"] = flat_g.sum(axis=0)
         return g @ w[f"{n}{name}W"].T
 
-    g = np.zeros(caches[0][0].shape)
-    g[:, -1] = grad_last
+    g = grad_last[:, None, :]
     dim = g.shape[-1]
     for n in reversed(range(layers)):
+        read = slice(-1, None) if n == layers - 1 else slice(None)
         x, q, k, v, att, mix, y, ln1, f, cdf, ln2, one, two = caches[n]
-        g, grads[f"{n}tg"], grads[f"{n}tb"] = _normalize_back(g * live, ln2, w[f"{n}tg"])
+        g, grads[f"{n}tg"], grads[f"{n}tb"] = _normalize_back(g * live[:, read], ln2, w[f"{n}tg"])
         g_act = dense(n, "e", f * cdf, g * two)
         slope = cdf + f * np.exp(-0.5 * f * f) / sqrt(2 * pi)
         g_y = g + dense(n, "f", y, g_act * slope)
@@ -100,9 +106,11 @@ def backward(grad_last: np.ndarray, cache, w: Weights, layers: int):
         g_att = g_mix @ v.transpose(0, 2, 1)
         g_v = att.transpose(0, 2, 1) @ g_mix
         g_s = att * (g_att - (g_att * att).sum(axis=-1, keepdims=True))
-        g_s = np.where(blocked, 0.0, g_s) / sqrt(dim)
+        g_s = np.where(blocked[:, read], 0.0, g_s) / sqrt(dim)
         g_q, g_k = g_s @ k, g_s.transpose(0, 2, 1) @ q
-        g = g + dense(n, "q", x, g_q) + dense(n, "k", x, g_k) + dense(n, "v", x, g_v)
+        own = g + dense(n, "q", x[:, read], g_q)
+        g = dense(n, "k", x, g_k) + dense(n, "v", x, g_v)
+        g[:, read] += own
     g = g * live
     grads["positions"] = g.sum(axis=0)
     return g, grads

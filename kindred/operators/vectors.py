@@ -78,6 +78,7 @@ def tiled(
     placed: bool = False,
     wider: int = 1,
     many: int = MANY,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Run ``function(queries, items, pairs)`` on every pair of tiles.
 
@@ -86,11 +87,12 @@ def tiled(
     a further column that travels with the queries. ``placed`` tables say themselves where they go:
     queries and items have (tq, ti), one of them an array of all tiles that the row is wanted in, and
     pairs have both numbers. Tiles of many rows grow up to ``wider`` times while ``many`` pairs of them are
-    left, for functions whose memory does not grow with the product of a tile pair.
+    left, for functions whose memory does not grow with the product of a tile pair. ``sizes`` are the
+    numbers of queries and items where the caller knows them.
     """
     tq = ti = 1
     if not placed:
-        tq, ti = _grown(queries.count(), items.count(), tile, wider, many)
+        tq, ti = _grown(*(sizes or (queries.count(), items.count())), tile, wider, many)
     q_type = queries.schema["qid"].dataType.simpleString()
     i_type = items.schema["item"].dataType.simpleString()
 

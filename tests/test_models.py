@@ -8,13 +8,15 @@ from kindred.operators.factor import (
 )
 from kindred.operators.recommend import recommend_sessions, recommend_users
 from kindred.operators.retrievers import item_space
-from kindred.operators.softmax import softmax_gradient
+from kindred.operators.softmax import softmax_gradient, softmax_rows
 from kindred.operators.training import (
     DenseAdam, NodeSpace, adam_step, all_nodes, normal_parameters, sample_pairs, summed_gradient,
     with_moments,
 )
+from kindred.operators.vectors import sum_vectors
 from kindred.plans.hybrid import fit_hybrid
 from kindred.plans.registry import fit_model
+from kindred.session import pin
 
 SMALL = {"embedding_dim": 4, "steps": 2, "epochs": 1, "batch_size": 16, "learning_rate": 0.05,
          "seed": 3, "layers": 1, "max_length": 4, "hidden_dim": 6, "latent_dim": 3}
@@ -202,6 +204,64 @@ def test_softmax_gradient_in_tiles(spark, monkeypatch):
     assert np.allclose(got_i, numeric(loss, e), atol=1e-6)
 
 
+def test_softmax_rows_of_one_tile(spark):
+    """Where one tile holds all items there is one pass, with the same sums as two passes."""
+    rng = np.random.default_rng(6)
+    q = spark.createDataFrame([(n, rng.normal(size=3).tolist(), float(rng.random())) for n in range(7)],
+                              "qid long, vec array<double>, t double")
+    i = spark.createDataFrame([(n, rng.normal(size=3).tolist()) for n in range(5)], "item long, vec array<double>")
+    one = sum_vectors(softmax_rows(q, i, (7, 5)).groupBy("side", "id"), "g", 3)
+    for side, key, want in zip((0, 1), ("qid", "item"), softmax_gradient(q, i, 3)):
+        got = np.array([r.g for r in one.where(F.col("side") == side).orderBy("id").collect()])
+        assert np.allclose(got, [r.g for r in want.orderBy(key).collect()])
+
+
+def test_last_layer_works_on_the_last_slot():
+    w = attention.block_weights(4, 3, 2, 1)
+    emb, pad = np.random.default_rng(5).normal(size=(2, 4, 3)), np.zeros((2, 4), dtype=bool)
+    out, (caches, _, _) = attention.forward(emb, pad, w, 2)
+    assert out.shape == (2, 3)
+    assert [c[8].shape[1] for c in caches] == [4, 1]  # slots that the feed-forward part works on
+
+
+@pytest.mark.parametrize("name", ["multivae", "sasrec"])
+def test_a_step_writes_four_tables(small_prepared, monkeypatch, name):
+    from kindred.operators import softmax, training
+
+    written = []
+
+    def counted(df, by=None):
+        written.append(df)
+        return pin(df, by)
+
+    def tables(batch_size):
+        written.clear()
+        fit_model(name, small_prepared, {**SMALL, "epochs": 1, "batch_size": batch_size})
+        return len(written)
+
+    for module in (neural, softmax, training):
+        monkeypatch.setattr(module, "pin", counted)
+    rows = {"multivae": 6, "sasrec": prefix_rows(small_prepared)}[name]
+    one, more = tables(rows), tables(rows // 3)
+    assert more - one <= 4 * (neural.batches_of(rows, rows // 3) - 1)
+
+
+def prefix_rows(prepared):
+    train = prepared.part("train")
+    return train.count() - train.select("user_id").distinct().count()
+
+
+def test_sasrec_is_the_same_in_small_chunks(small_prepared, monkeypatch):
+    def vectors():
+        model = fit_model("sasrec", small_prepared, {**SMALL, "epochs": 1})
+        return np.array([r.vec for r in model.tables["items"].orderBy("item").collect()])
+
+    whole = vectors()
+    monkeypatch.setattr(neural, "CHUNK", 5)
+    monkeypatch.setattr(neural, "CELLS", 1)
+    assert np.allclose(whole, vectors(), atol=1e-9)
+
+
 @pytest.mark.parametrize("name,modes", [
     ("bpr", {"known_user", "history"}), ("lightgcn", {"known_user"}),
     ("two_tower", {"known_user", "history"}), ("multivae", {"known_user", "history"}),
