@@ -108,6 +108,18 @@ def test_mix_source_without_words(spark):
     assert take(bare) == {r[0]: (0, 0, 0.0, 0) for r in bare}
 
 
+def test_sorting_regions_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    regions = [rng.integers(97, 123, 900).astype(np.uint8).tobytes() for _ in range(300)]
+    tracemalloc.start()
+    suffixes.repeated_windows(regions)
+    peak = tracemalloc.get_traced_memory()[1] / sum(map(len, regions))
+    tracemalloc.stop()
+    assert peak < 85, peak  # bytes a byte of text
+
+
 def test_suffix_array_and_windows():
     for _ in range(60):
         k = RNG.choice([1, 2, 3, 200])
