@@ -210,16 +210,24 @@ def lambdas(
 
 
 def gradients(rows: DataFrame, truncation: int = TRUNCATION) -> DataFrame:
-    """(request_id, item_id, score, label) -> (request_id, item_id, g, h); equal scores go by item."""
-    ids = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("request_id", "item_id")]
+    """(request_id, item_id, score, label) -> (request_id, item_id, g, h); equal scores go by item.
 
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("item_id", ignore_index=True)
-        g, h = lambdas(frame["score"].to_numpy(float), frame["label"].to_numpy(), truncation)
-        return pd.DataFrame({"request_id": frame["request_id"], "item_id": frame["item_id"], "g": g, "h": h})
+    A request is one row of lists while its gradients are taken; ids never leave Spark.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("item_id", F.col("score").cast("double").alias("score"), "label")))
+    packed = rows.groupBy("request_id").agg(listed.alias("t")).select(
+        "request_id", *[F.col("t")[c].alias(c) for c in ("item_id", "score", "label")]
+    )
 
-    some = rows.select("request_id", "item_id", "score", "label")
-    return some.groupBy("request_id").applyInPandas(group, ", ".join([*ids, "g double", "h double"]))
+    def run(scores: pd.Series, labels: pd.Series) -> pd.DataFrame:
+        found = [lambdas(np.asarray(s, float), np.asarray(y), truncation) for s, y in zip(scores, labels)]
+        return pd.DataFrame(found, columns=["g", "h"])
+
+    taken = F.pandas_udf(run, "g array<double>, h array<double>")("score", "label")
+    pairs = packed.select("request_id", "item_id", taken.alias("p")).select(
+        "request_id", F.arrays_zip("item_id", F.col("p.g").alias("g"), F.col("p.h").alias("h")).alias("t")
+    )
+    return pairs.select("request_id", F.explode("t").alias("t")).select("request_id", "t.*")
 
 
 def bin_edges(rows: DataFrame, names: list[str], bins: int = BINS) -> list[np.ndarray]:

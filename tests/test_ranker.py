@@ -246,3 +246,20 @@ def test_pool_of_boxes_holds_the_top_k(spark, monkeypatch, names, hide):
     if "vec" not in names:
         pool = ranker.learned_pool(trees, views, batch, space, 4, seen, 60.0)
         assert pool.count() == pool.distinct().count() < 0.8 * every.count()
+
+
+def test_gradients_take_requests_in_lists(spark):
+    """No group of pandas rows for a request; ids of any type come back, ties go by item."""
+    rows = spark.createDataFrame(
+        [("a", "y", 0.0, 1), ("a", "x", 0.0, 0), ("a", "z", 2.0, 0), ("b", "x", 1.0, 0), (None, "x", 1.0, 1), (None, "w", 3.0, 0)],
+        "request_id string, item_id string, score double, label int",
+    )
+    found = ranker.gradients(rows)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.request_id, r.item_id): (r.g, r.h) for r in found.collect()}
+    want = {}
+    for request, items in (("a", [("x", 0.0, 0), ("y", 0.0, 1), ("z", 2.0, 0)]), ("b", [("x", 1.0, 0)]), (None, [("w", 3.0, 0), ("x", 1.0, 1)])):
+        g, h = ranker.lambdas(np.array([x[1] for x in items]), np.array([x[2] for x in items]))
+        want |= {(request, x[0]): (g[i], h[i]) for i, x in enumerate(items)}
+    assert set(got) == set(want)
+    assert all(np.allclose(got[k], want[k]) for k in want)
