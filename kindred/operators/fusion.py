@@ -6,10 +6,11 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kindred.functions.numbers import quantize
+from kindred.operators import lists
 from kindred.operators.positions import first_free, group_positions
 from kindred.operators.scoring import (
     ScoreView,
@@ -82,6 +83,8 @@ def rrf_topk(
         raise ValueError("rank_constant must be positive")
     if not views:
         raise ValueError("fusion requires at least one component")
+    if lists.applies(views, batch) and (found := lists.rrf_lists(views, batch, space, k, seen, constant)) is not None:
+        return found
     views = [v.expanded() for v in views]
     depth = pool_depth(batch, len(views), k, constant, seen is not None)
     pool = candidate_pool(views, batch, space, depth)
@@ -97,6 +100,17 @@ def rrf_topk(
 
 # --------------------------------------------------------------------------- weighted z-scores
 
+def _listed() -> list[Column]:
+    return [
+        F.count("score").alias("c"), F.avg("score").alias("m"), F.var_pop("score").alias("v"),
+        F.min("score").alias("lo"), F.max("score").alias("hi"),
+    ]
+
+
+def _listed_moments(view: ScoreView) -> Row:
+    """Count, mean, variance, least and greatest score of a shared ranking."""
+    return view.base.agg(*_listed()).first()
+
 
 def _moments(view: ScoreView, batch: QueryBatch, space: ItemSpace) -> DataFrame:
     """(request_id, mean, std): population moments of the view's scores over the catalog."""
@@ -114,10 +128,7 @@ def _moments(view: ScoreView, batch: QueryBatch, space: ItemSpace) -> DataFrame:
 
     # Explicit scores: spread of the listed ones around their own mean, then the implicit zeros, so
     # that large scores lying close together keep their spread. Only equal scores have none.
-    listed = [
-        F.count("score").alias("c"), F.avg("score").alias("m"), F.var_pop("score").alias("v"),
-        F.min("score").alias("lo"), F.max("score").alias("hi"),
-    ]
+    listed = _listed()
 
     def spread(stats: DataFrame) -> DataFrame:
         stats = stats.select("request_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("c", "m", "v", "lo", "hi")])
@@ -131,7 +142,7 @@ def _moments(view: ScoreView, batch: QueryBatch, space: ItemSpace) -> DataFrame:
         )
 
     if view.base is not None:
-        total = view.base.agg(*listed).first()
+        total = _listed_moments(view)
         parts.append(spread(_base_requests(view, batch.requests).select(
             "request_id", *[F.lit(total[c]).cast("double").alias(c) for c in ("c", "m", "v", "lo", "hi")]
         )))
@@ -209,7 +220,15 @@ def weighted_topk(
     """
     if not views:
         raise ValueError("fusion requires at least one component")
-    weights, views = weights or {}, [v.expanded() for v in views]
+    weights = weights or {}
+    if lists.applies(views, batch):
+        dense = [v for v in views if v.base is not None]
+        found = lists.weighted_lists(
+            views, batch, space, k, seen, weights, lambda: _outer_order(dense[0] if dense else None, weights, space), _listed_moments
+        )
+        if found is not None:
+            return found
+    views = [v.expanded() for v in views]
     moments = union_all([
         _moments(v, batch, space).select(
             "request_id", F.lit(v.name).alias("component"),
@@ -231,13 +250,7 @@ def weighted_topk(
     if not dense:
         rest.append(_free_items(parts_taken, need, space.items, batch, space, k))
     elif len(dense) == 1 and dense[0].base is not None:
-        view, weight = dense[0], float(weights.get(dense[0].name, 1.0))
-        order = view.base
-        if weight < 0:
-            scored = view.base.drop("pos")
-            order = group_positions(scored, [], [F.col("score"), F.col("item_id")], "pos")
-        elif weight == 0:
-            order = space.items
+        view, order = dense[0], _outer_order(dense[0], weights, space)
         using = need.join(_base_requests(view, batch.requests), "request_id", "left_semi")
         rest.append(_free_items(parts_taken, using, order, batch, space, k))
         if view.base_requests is not None:
@@ -262,6 +275,16 @@ def weighted_topk(
     return top_k(fused, k, seen)
 
 
+def _outer_order(view: ScoreView | None, weights: dict[str, float], space: ItemSpace) -> DataFrame:
+    """(item_id, pos): items that only the shared ranking scores, the best fused score first."""
+    weight = 0.0 if view is None else float(weights.get(view.name, 1.0))
+    if weight > 0:
+        return view.base.select("item_id", "pos")
+    if weight == 0:
+        return space.items
+    return group_positions(view.base.drop("pos"), [], [F.col("score"), F.col("item_id")], "pos").select("item_id", "pos")
+
+
 def _explicit_and_dense(
     view: ScoreView, batch: QueryBatch, space: ItemSpace, pool: DataFrame
 ) -> list[DataFrame]:

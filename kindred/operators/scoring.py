@@ -36,7 +36,8 @@ class ScoreView:
 
     ``base_requests`` lists the requests that use the base; None means all of them.
     ``factored`` (history, item_docs, weights) states text scores per document; they are expanded to
-    ``nonzero`` rows only where a caller needs every one of them.
+    ``nonzero`` rows only where a caller needs every one of them. ``listed`` (vector, similarity, hot) states
+    weighted histories; they are written out as ``nonzero`` rows where a caller needs the rows.
     """
 
     name: str
@@ -45,10 +46,13 @@ class ScoreView:
     base_requests: DataFrame | None = None
     vectors: tuple[DataFrame, DataFrame] | None = None
     factored: tuple[DataFrame, DataFrame, DataFrame] | None = None
+    listed: tuple[DataFrame, DataFrame, DataFrame | None] | None = None
     _ranked: DataFrame | None = None
 
     def expanded(self) -> "ScoreView":
-        """The same view with its factored scores written out per item."""
+        """The same view with its factored or listed scores written out per item."""
+        if self.listed is not None and self.nonzero is None:
+            self.nonzero = pin(weighted_history(*self.listed))
         if self.factored is None or self.nonzero is not None:
             return self
         history, item_docs, weights = self.factored
@@ -138,7 +142,7 @@ def _sparse_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
         return ScoreView(name, factored=(history, tables["item_docs"], tables["weights"]))
     if model.params.get("aggregation") == "last_item" and batch.last is not None:
         return ScoreView(name, nonzero=pin(last_item_rows(batch.last, tables["similarity"])))
-    return ScoreView(name, nonzero=pin(weighted_history(batch.vector, tables["similarity"], batch.hot)))
+    return ScoreView(name, listed=(batch.vector, tables["similarity"], batch.hot))
 
 
 def _sequential_view(model: FittedModel, batch: QueryBatch) -> ScoreView:
@@ -241,6 +245,7 @@ def view_topk(
     """(request_id, item_id, score, rank): exact top-k over the whole catalog."""
     if view.factored is not None and view.nonzero is None:
         return _factored_topk(view, batch, space, k, seen)
+    view = view.expanded()
     parts: list[DataFrame] = []
     none_seen = seen is None
     if view.vectors is not None:
