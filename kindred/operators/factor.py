@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.operators import blocks
 from kindred.operators.split import Prepared
 from kindred.operators.training import (
     DENSE_NODE,
@@ -26,10 +27,11 @@ from kindred.operators.training import (
     subtract,
     summed_gradient,
     uniform_parameters,
+    unpack,
 )
 from kindred.operators.vectors import dot, sum_vectors
 from kindred.plans.fitted import HISTORY, KNOWN_USER, FittedModel
-from kindred.session import pin
+from kindred.session import pin, release
 
 
 def _embedding_model(
@@ -96,12 +98,36 @@ def bpr_step(table: DataFrame, batch: DataFrame, size: int, dim: int, step: int,
     return adam_step(table, sent(gradient, size), dim, step, rate)
 
 
+def of_block(pairs: DataFrame, low: int, high: int) -> DataFrame:
+    """The pairs of steps low .. high - 1, which are numbered from 1 for Adam."""
+    return pairs.where(F.col("step").between(low, high - 1)).select(
+        (F.col("step") + 1).alias("step"), "user", "positive", "negative"
+    )
+
+
+def bpr_blocks(table: DataFrame, pairs: DataFrame, size: int, dim: int, steps: int, rate: float) -> DataFrame:
+    """(node, vec) after all steps; as many of them at a time as :func:`blocks.block_steps` allows."""
+
+    def gradient(step, u, p, n):
+        c = (-1.0 / (1.0 + np.exp(np.einsum("ij,ij->i", u, p - n))) / size)[:, None]
+        return (p - n) * c, u * c, u * -c
+
+    many, moved = blocks.block_steps(size, dim), blocks.start(table)
+    release(table)
+    for low in range(0, steps, many):
+        moved = blocks.run_block(moved, of_block(pairs, low, min(steps, low + many)), dim, rate, gradient)
+    return pin(blocks.finish(moved, dim, rate, steps))
+
+
 def fit_bpr(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     """Matrix factorization with pairwise ranking loss and Adam on the factor table."""
     training, dim = Training.of(params), int(params.get("embedding_dim", 32))
     space = NodeSpace.of(prepared)
     pairs, size, steps = pair_table(space, training, params, prepared.ratings("train").count())
     table = normal_parameters(all_nodes(space), dim, training.seed)
+    if blocks.block_steps(size, dim):
+        vectors = bpr_blocks(table, pairs, size, dim, steps, training.learning_rate)
+        return _embedding_model("bpr", space, vectors, dim, (HISTORY, KNOWN_USER))
     for step in range(steps):
         table = bpr_step(table, of_step(pairs, step), size, dim, step + 1, training.learning_rate)
     return _embedding_model("bpr", space, table.select("node", "vec"), dim, (HISTORY, KNOWN_USER))
@@ -215,6 +241,29 @@ def two_tower_gradient(u, p, n, w: dict[str, np.ndarray], size: int):
     return gu, gp, gn, total
 
 
+def tower_blocks(table: DataFrame, pairs: DataFrame, size: int, hidden: int, steps: int, towers: DenseAdam) -> DataFrame:
+    """(node, vec) after all steps, which also move ``towers``; blocks as in :func:`bpr_blocks`."""
+    many, moved, rate = blocks.block_steps(size, hidden), blocks.start(table), towers.rate
+    release(table)
+    for low in range(0, steps, many):
+        mine = DenseAdam(dict(towers.weights), rate, towers.step, dict(towers.m), dict(towers.v))
+
+        def gradient(step, u, p, n, mine=mine):
+            gu, gp, gn, total = two_tower_gradient(u, p, n, mine.weights, size)
+            mine.update(total)
+            return gu, gp, gn
+
+        def left(mine=mine):
+            return [pack(mine.weights), pack(mine.m), pack(mine.v)]
+
+        high = min(steps, low + many)
+        moved = blocks.run_block(moved, of_block(pairs, low, high), hidden, rate, gradient, left)
+        dense = moved.where(F.col("node") == DENSE_NODE).first()
+        towers.m, towers.v = (unpack(np.array(dense[c]), towers.weights) for c in ("m", "v"))
+        towers.weights, towers.step = unpack(np.array(dense["vec"]), towers.weights), high
+    return blocks.finish(moved, hidden, rate, steps)
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -227,7 +276,10 @@ def fit_two_tower(prepared: Prepared, params: dict[str, Any]) -> FittedModel:
     pairs, size, steps = pair_table(space, training, params, prepared.ratings("train").count())
     table = normal_parameters(all_nodes(space), hidden, training.seed)
     towers = DenseAdam(tower_weights(hidden, dim, training.seed), training.learning_rate)
-    for step in range(steps):
+    many = blocks.block_steps(size, hidden)
+    if many:
+        table = tower_blocks(table, pairs, size, hidden, steps, towers)
+    for step in range(0 if many else steps):
         weights = dict(towers.weights)
 
         def gradient(frames, weights=weights):

@@ -326,7 +326,7 @@ def _dealt(views: list, batch, space, seen: DataFrame | None, place: DataFrame,
         return None
     nothing = [F.lit(None).cast(small).alias("p"), F.lit(None).cast("double").alias("value")]
     kind = lists[0].schema["entries"].dataType
-    empty = F.lit(None).cast(kind).alias("entries")
+    empty = F.array().cast(kind).alias("entries")  # null lists are slow to hand over
     rows = [batch.requests.select("request_id", F.lit(REQUEST).alias("kind"), *nothing, empty)]
     masked = 0
     if seen is not None:
