@@ -80,3 +80,16 @@ def test_small_pieces_and_large_requests(tables, monkeypatch):
     monkeypatch.setattr(lists, "MOST", 10)
     here = next(both(tables, "pa"))
     assert rows(fusion.rrf_topk(here, batch, space, 5, None)) == want and here[1].nonzero is not None
+
+
+def test_a_pinned_table_leaves_no_shuffle_files(spark, monkeypatch):
+    """The files of a write's shuffles go when it ends; the caller's setting stays as it was."""
+    from pyspark.sql import DataFrameWriter
+
+    from kindred import session
+
+    before, during = spark.conf.get(session._CLEANUP), []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: during.append(spark.conf.get(session._CLEANUP)) or write(self, *a, **k))
+    assert session.pin(spark.range(50).repartition(3, "id")).count() == 50
+    assert during == ["true"] and spark.conf.get(session._CLEANUP) == before
