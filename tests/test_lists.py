@@ -93,3 +93,18 @@ def test_a_pinned_table_leaves_no_shuffle_files(spark, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: during.append(spark.conf.get(session._CLEANUP)) or write(self, *a, **k))
     assert session.pin(spark.range(50).repartition(3, "id")).count() == 50
     assert during == ["true"] and spark.conf.get(session._CLEANUP) == before
+
+
+@pytest.mark.parametrize("coarse", [True, False])
+def test_lists_travel_in_four_bytes_where_they_fit(spark, tables, coarse):
+    """Ids and weights on the grid go as whole numbers, others as they are; sums are the same."""
+    from kindred.functions.numbers import quantize
+
+    vector = tables[2].vector
+    edges = tables[1]["a"] if coarse else tables[1]["b"].withColumn("other", F.col("other") + F.lit(1 << 40))
+    want = vector.where("value <> 0").join(edges.withColumnRenamed("item", "item_id"), "item_id").groupBy("request_id", "other").agg(
+        quantize(F.sum(F.col("value") * F.col("weight"))).alias("score")).where("score <> 0")
+    got = scoring.weighted_history(vector, edges)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("cast(other" in plan) == coarse
